@@ -15,6 +15,7 @@ from factloom.functions import text as T
 
 CONFIDENCE = 0.9
 STRUCTURED_CONFIDENCE = 0.7
+TIMES = ("asserted_at", "valid_from", "observed_at", "published_at")
 
 
 def _clauses_of(text: Column, split: bool) -> Column:
@@ -116,6 +117,9 @@ def sentence_claims(
         T.negated(clause).alias("negation"),
         T.modality(clause).alias("modality"),
         F.col("_c.warning").alias("warning"),
+        # sentences carry no predicate, object or time; other extractors fill these
+        *[F.lit(None).cast("string").alias(c) for c in ("predicate", "object") if c not in carried],
+        *[F.lit(None).cast("timestamp").alias(c) for c in TIMES if c not in carried],
     )
 
 

@@ -13,7 +13,7 @@ from factloom import schemas as S
 from factloom.functions import text as T
 from factloom.operators.pairs import CandidateRules, Classifier, candidate_pairs, lexical_classifier
 from factloom.operators.temporal import supersession_edges
-from factloom.scale import GROUP_ROWS, largest_group
+from factloom.scale import GROUP_ROWS, SALTS, largest_group, salted_copies
 from factloom.session import cut_lineage
 
 PAIR = ["query_id", "a_id", "b_id"]
@@ -58,8 +58,8 @@ def duplicate_clusters(rows: DataFrame, row_id: str) -> DataFrame:
         )
         .filter(F.col("cluster_size") > 1)
     )
-    copies = heads.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))).cast("bigint"))
-    joined = keyed.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(16))).join(copies, ["cluster", "_salt"])
+    salt = F.pmod(F.xxhash64(row_id), F.lit(SALTS))
+    joined = keyed.withColumn("_salt", salt).join(salted_copies(heads, SALTS), ["cluster", "_salt"])
     kind = (
         F.when(F.col(row_id) == F.col(f"head.{row_id}"), "head")
         .when(F.col("exact") == F.col("head.exact"), "exact")

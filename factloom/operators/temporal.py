@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import text as T
-from factloom.scale import SALTS
+from factloom.scale import SALTS, salted_copies
 
 
 def event_time() -> Column:
@@ -74,7 +74,7 @@ def latest_superseding(facts: DataFrame, keys: list[str], value: str, time: str,
     per_value = facts.filter(F.col(time).isNotNull()).groupBy(*keys, value).agg(newest)
     top = per_value.groupBy(*keys).agg(F.max(F.struct("newest", value)).alias("top"))
     salt = F.pmod(F.xxhash64(value), F.lit(SALTS))
-    copies = top.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    copies = salted_copies(top, SALTS)
     others = (
         per_value.withColumn("_salt", salt)
         .join(copies, [*keys, "_salt"])
@@ -82,9 +82,7 @@ def latest_superseding(facts: DataFrame, keys: list[str], value: str, time: str,
         .groupBy(*keys)
         .agg(F.max("newest").alias("other"))
     )
-    best = top.join(others, keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint")
-    )
+    best = salted_copies(top.join(others, keys, "left"), SALTS)
     rows = facts.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS))).join(best, [*keys, "_salt"])
     candidate = F.when(F.col(value) != F.col(f"top.{value}"), F.col("top.newest")).otherwise(F.col("other"))
     found = F.when(candidate[time] > F.col(time), candidate)

@@ -23,8 +23,21 @@ def evidence(spark: SparkSession, folder: str) -> P.Evidence:
     return P.retrieve_evidence(docs, benchmark_queries(spark, folder), priors=priors)
 
 
+# looser thresholds than the defaults: they relate more claims, so edges of every
+# kind occur in the results that are compared
+LOOSE = {
+    "classifier": pairs.lexical_classifier(0.05),
+    "rules": G.EdgeRules(entail=0.1, contradict=0.05),
+    "candidates": pairs.CandidateRules(min_overlap=0.05),
+}
+
+
+def _loose(claims: DataFrame) -> DataFrame:
+    return G.build_relations(claims, **LOOSE)
+
+
 def _relations(found: P.Evidence) -> DataFrame:
-    return cut_lineage(G.build_relations(found.claims), "relations")
+    return cut_lineage(_loose(found.claims), "relations")
 
 
 def _scores(found: P.Evidence, relations: DataFrame) -> DataFrame:
@@ -154,13 +167,22 @@ def simple_relations(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "evidence_relations",
-    _sql(O.GRAPH, "SELECT query_id, relation_id, source_claim_id, target_claim_id, relation_type, relation_confidence::DOUBLE AS relation_confidence FROM relations"),
+    _sql(O.STRICT, "SELECT query_id, relation_id, source_claim_id, target_claim_id, relation_type, relation_confidence::DOUBLE AS relation_confidence FROM relations"),
 )
 def evidence_relations(spark: SparkSession, folder: str) -> DataFrame:
     rows = G.build_relations(evidence(spark, folder).claims)
     return rows.select("query_id", "relation_id", "source_claim_id", "target_claim_id", "relation_type", "relation_confidence")
 
 
+@query(
+    "loose_relations",
+    _sql(O.GRAPH, "SELECT query_id, relation_id, source_claim_id, target_claim_id, relation_type, relation_confidence::DOUBLE AS relation_confidence FROM relations"),
+)
+def loose_relations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _loose(evidence(spark, folder).claims)
+    return rows.select("query_id", "relation_id", "source_claim_id", "target_claim_id", "relation_type", "relation_confidence")
+
+
 @query(
     "text_duplicates",
     O.chain(
@@ -198,7 +220,7 @@ def latest_supersession(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def claim_neighbors(spark: SparkSession, folder: str) -> DataFrame:
-    rows = G.neighbors(G.build_relations(evidence(spark, folder).claims))
+    rows = G.neighbors(_loose(evidence(spark, folder).claims))
     return rows.select(*KEY, joined("neighbors").alias("neighbors"))
 
 
@@ -212,7 +234,7 @@ FROM claims c LEFT JOIN relations r ON r.query_id = c.query_id AND r.source_clai
 )
 def claim_adjacency(spark: SparkSession, folder: str) -> DataFrame:
     claims = evidence(spark, folder).claims
-    rows = G.adjacency(claims, G.build_relations(claims))
+    rows = G.adjacency(claims, _loose(claims))
     weight = F.aggregate("edges", F.lit(0.0), lambda acc, e: acc + e["relation_confidence"])
     return longs(rows.select(*KEY, F.size("edges").alias("out_degree"), F.round(weight, 6).alias("weight")), "out_degree")
 
@@ -227,7 +249,7 @@ def claim_adjacency(spark: SparkSession, folder: str) -> DataFrame:
 )
 def claim_components(spark: SparkSession, folder: str) -> DataFrame:
     claims = evidence(spark, folder).claims
-    return G.clusters(claims, G.build_relations(claims))
+    return G.clusters(claims, _loose(claims))
 
 
 @query(
@@ -242,7 +264,7 @@ WHERE r.relation_type = 'support' AND s.source_id <> t.source_id GROUP BY 1, 2""
 )
 def corroborating_sources(spark: SparkSession, folder: str) -> DataFrame:
     claims = evidence(spark, folder).claims
-    rows = G.corroborating_sources(claims, G.build_relations(claims))
+    rows = G.corroborating_sources(claims, _loose(claims))
     return rows.select(*KEY, joined("sources").alias("sources"))
 
 
@@ -308,7 +330,7 @@ def relation_composition(spark: SparkSession, folder: str) -> DataFrame:
         O.GRAPH,
         """SELECT query_id, issue, id FROM (
   SELECT query_id, 'duplicate_claim' AS issue, claim_id AS id FROM claims GROUP BY 1, 3 HAVING count(*) > 1
-  UNION ALL SELECT query_id, 'low_confidence_support', relation_id FROM relations WHERE relation_type = 'support' AND relation_confidence < 0.55
+  UNION ALL SELECT query_id, 'low_confidence_support', relation_id FROM relations WHERE relation_type = 'support' AND relation_confidence < 0.12
 )""",
     ),
 )
@@ -316,7 +338,7 @@ def graph_violations(spark: SparkSession, folder: str) -> DataFrame:
     """Invariant violations (none expected) beside weak edges worth a look."""
     found = evidence(spark, folder)
     relations = _relations(found)
-    weak = relations.filter((F.col("relation_type") == S.SUPPORT) & (F.col("relation_confidence") < 0.55)).select(
+    weak = relations.filter((F.col("relation_type") == S.SUPPORT) & (F.col("relation_confidence") < 0.12)).select(
         "query_id", F.lit("low_confidence_support").alias("issue"), F.col("relation_id").alias("id")
     )
     return G.validate(found.claims, relations).unionByName(weak)
@@ -367,7 +389,7 @@ open_pairs AS (
 @query(
     "bridge_candidates",
     _sql(
-        O.GRAPH,
+        O.STRICT,
         """SELECT query_id, a_id, b_id, coalesce(asked[1], shared[1]) AS bridge_entity, array_to_string(shared, '|') AS bridge_terms,
        round(least(1.0, 0.6 + CASE WHEN len(asked) > 0 THEN 0.2 ELSE 0 END
                    + CASE WHEN list_has_any(an, goals) AND list_has_any(bn, goals) THEN 0.2 ELSE 0 END), 4)::DOUBLE AS confidence FROM open_pairs""",
@@ -376,14 +398,14 @@ open_pairs AS (
 )
 def bridge_candidates(spark: SparkSession, folder: str) -> DataFrame:
     found = evidence(spark, folder)
-    rows = BR.bridge_candidates(found.claims, _relations(found), found.queries)
+    rows = BR.bridge_candidates(found.claims, G.build_relations(found.claims), found.queries)
     return rows.withColumn("bridge_terms", joined("bridge_terms"))
 
 
 @query("bridges_by_degree")
 def bridges_by_degree(spark: SparkSession, folder: str) -> DataFrame:
     found = evidence(spark, folder)
-    rows = BR.limit_degree(BR.bridge_candidates(found.claims, _relations(found), found.queries))
+    rows = BR.limit_degree(BR.bridge_candidates(found.claims, G.build_relations(found.claims), found.queries))
     return BR.bridge_relations(rows)
 
 
@@ -431,7 +453,7 @@ def propagated_beliefs(spark: SparkSession, folder: str) -> DataFrame:
 
 def reasoned(spark: SparkSession, folder: str, variant: str = "full_graph") -> tuple[P.Evidence, P.Reasoned]:
     found = evidence(spark, folder)
-    return found, P.reason(found.claims, found.queries, P.VARIANTS[variant], priors=found.priors)
+    return found, P.reason(found.claims, found.queries, P.VARIANTS[variant], priors=found.priors, **LOOSE)
 
 
 @query(

@@ -283,7 +283,8 @@ feats AS MATERIALIZED (
 
 NEG = listing(V.NEGATION_WORDS)
 
-PAIRS = f"""
+def pairs(overlap: float = 0.2) -> str:
+    return f"""
 both_pairs AS (
   SELECT a.query_id, a.claim_id AS a_id, b.claim_id AS b_id, a.text AS a_text, b.text AS b_text,
          a.terms AS a_terms, b.terms AS b_terms, a.names AS a_names, b.names AS b_names,
@@ -291,7 +292,7 @@ both_pairs AS (
   FROM feats a JOIN feats b ON a.query_id = b.query_id AND a.claim_id < b.claim_id
 ),
 signals AS (
-  SELECT *, list_has_any(a_names, b_names) AS by_entity, {jaccard('a_terms', 'b_terms')} >= 0.2 AS by_overlap,
+  SELECT *, list_has_any(a_names, b_names) AS by_entity, {jaccard('a_terms', 'b_terms')} >= {overlap} AS by_overlap,
          a_subject <> '' AND a_subject = b_subject AS by_subject FROM both_pairs
 ),
 pairs AS MATERIALIZED (
@@ -303,19 +304,21 @@ pairs AS MATERIALIZED (
 
 _CONTENT = lambda side: f"list_filter({side}_terms, lambda t: NOT list_contains({NEG}, t))"
 
-SCORED = f"""
-overlaps AS (
+def scored(minimum: float = 0.2) -> str:
+    return f"""
+overlap_rows AS (
   SELECT *, {jaccard(_CONTENT('a'), _CONTENT('b'))} AS o,
          (a_neg OR list_has_any(a_terms, {NEG})) <> (b_neg OR list_has_any(b_terms, {NEG})) AS opposed FROM pairs
 ),
 scored AS MATERIALIZED (
-  SELECT *, CASE WHEN o >= 0.2 AND NOT opposed THEN round(o, 6) ELSE 0.0 END AS entail,
-         CASE WHEN o >= 0.2 AND opposed THEN round(o, 6) ELSE 0.0 END AS contra,
-         CASE WHEN o >= 0.2 THEN round(1 - o, 6) ELSE 1.0 END AS neutral FROM overlaps
+  SELECT *, CASE WHEN o >= {minimum} AND NOT opposed THEN round(o, 6) ELSE 0.0 END AS entail,
+         CASE WHEN o >= {minimum} AND opposed THEN round(o, 6) ELSE 0.0 END AS contra,
+         CASE WHEN o >= {minimum} THEN round(1 - o, 6) ELSE 1.0 END AS neutral FROM overlap_rows
 )
 """
 
-RELATIONS = f"""
+def relations(entail: float = 0.5, contra: float = 0.5) -> str:
+    return f"""
 text_copies AS (
   SELECT query_id, a_id, b_id FROM both_pairs WHERE {casefolded(collapsed('a_text'))} = {casefolded(collapsed('b_text'))}
 ),
@@ -324,11 +327,11 @@ edge_rows AS (
   UNION ALL
   SELECT query_id, a_id, b_id, CASE WHEN entail >= 0.8 THEN 'duplicate' ELSE 'contradiction' END,
          CASE WHEN entail >= 0.8 THEN entail ELSE contra END
-  FROM scored s WHERE (entail >= 0.8 OR contra >= 0.5)
+  FROM scored s WHERE (entail >= 0.8 OR contra >= {contra})
     AND NOT EXISTS (SELECT 1 FROM text_copies t WHERE t.query_id = s.query_id AND t.a_id = s.a_id AND t.b_id = s.b_id)
   UNION ALL
   SELECT query_id, unnest([a_id, b_id]), unnest([b_id, a_id]), 'support', entail
-  FROM scored s WHERE entail >= 0.5 AND entail < 0.8
+  FROM scored s WHERE entail >= {entail} AND entail < 0.8
     AND NOT EXISTS (SELECT 1 FROM text_copies t WHERE t.query_id = s.query_id AND t.a_id = s.a_id AND t.b_id = s.b_id)
 ),
 relations AS MATERIALIZED (
@@ -403,20 +406,23 @@ message_weights AS MATERIALIZED (
          CASE WHEN sign < 0 THEN -conf * pow(0.25, s) WHEN d = 0 THEN conf * pow(0.25, s) ELSE 0.0 END AS w
   FROM ranked_in
 ),
+out_edges AS MATERIALIZED (
+  SELECT query_id, claim_id AS receiver, sender, w, false AS own FROM message_weights
+  UNION ALL SELECT query_id, claim_id, claim_id, 0.0, true FROM scores
+),
 rounds AS (
-  SELECT query_id, claim_id, ln(initial_belief / (1 - initial_belief)) AS base, initial_belief AS belief, 0 AS t, 1.0 AS delta
+  SELECT query_id, claim_id, ln(initial_belief / (1 - initial_belief))::DOUBLE AS base, initial_belief::DOUBLE AS belief, 0 AS t, 1.0::DOUBLE AS delta
   FROM scores
   UNION ALL
-  SELECT query_id, claim_id, base, after, t + 1, max(abs(after - belief)) OVER (PARTITION BY query_id) AS delta
+  SELECT query_id, receiver, base, after, t + 1, max(abs(after - belief)) OVER (PARTITION BY query_id) AS delta
   FROM (
-    SELECT r.query_id, r.claim_id, r.base, r.belief, r.t,
-           0.5 * r.belief + 0.5 / (1 + exp(-(r.base + coalesce(m.net, 0)))) AS after
-    FROM rounds r LEFT JOIN (
-      SELECT w.query_id, w.claim_id, sum(w.w * 2 * (x.belief - 0.5)) AS net
-      FROM message_weights w JOIN rounds x ON x.query_id = w.query_id AND x.claim_id = w.sender
-      GROUP BY 1, 2
-    ) m ON m.query_id = r.query_id AND m.claim_id = r.claim_id
-    WHERE r.delta >= 1e-4 AND r.t < 50
+    SELECT *, 0.5 * belief + 0.5 / (1 + exp(-(base + net))) AS after
+    FROM (
+      SELECT o.query_id, o.receiver, max(CASE WHEN own THEN base END) AS base, max(CASE WHEN own THEN belief END) AS belief,
+             max(t) AS t, sum(w * 2 * (belief - 0.5)) AS net
+      FROM rounds r JOIN out_edges o ON o.query_id = r.query_id AND o.sender = r.claim_id
+      WHERE r.delta >= 1e-4 AND r.t < 50 GROUP BY 1, 2
+    )
   )
 ),
 beliefs AS MATERIALIZED (
@@ -444,8 +450,11 @@ conflict_sets AS MATERIALIZED (
 )
 """
 
+PAIRS, SCORED, RELATIONS = pairs(), scored(), relations()
 EVIDENCE = [DOCS, QUERIES, CHUNK_SENTENCES, chunks(), bm25(4), HITS]
 CLAIMS = [*EVIDENCE, claims()]
-GRAPH = [*CLAIMS, FEATURES, PAIRS, SCORED, RELATIONS]
+STRICT = [*CLAIMS, FEATURES, PAIRS, SCORED, RELATIONS]
+# looser thresholds relate more claims, so every kind of edge occurs
+GRAPH = [*CLAIMS, FEATURES, pairs(0.05), scored(0.05), relations(0.1, 0.05)]
 SCORING = [*GRAPH, PRIORS, SCORES]
 BELIEF = [*SCORING, PROPAGATION]

@@ -36,6 +36,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
+def salted_copies(df: DataFrame, salts: int) -> DataFrame:
+    """One copy of each row per salt, in ``_salt``."""
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    return df.withColumn("_salt", F.explode(every))
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
@@ -56,8 +62,7 @@ def lookup_join(
     if small_is_bounded:
         return big.join(F.broadcast(small), keys, how)
     salt = F.pmod(F.xxhash64(salt_by if salt_by is not None else F.struct(*big.columns)), F.lit(salts))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
-    return big.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+    return big.withColumn("_salt", salt).join(salted_copies(small, salts), [*keys, "_salt"], how).drop("_salt")
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str) -> DataFrame:
