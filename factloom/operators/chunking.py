@@ -65,7 +65,8 @@ def sentence_chunks(documents: DataFrame, size: int = 512, overlap: int = 64) ->
     """
     if size < 1 or overlap < 0 or overlap >= size:
         raise ValueError("need size >= 1 and 0 <= overlap < size")
-    base = spread(documents, "document_id").select("document_id", "source_id", T.strip(F.col("text")).alias("_text"))
+    keys = [c for c in ("query_id", "document_id", "source_id") if c in documents.columns]
+    base = spread(documents, "document_id").select(*keys, T.strip(F.col("text")).alias("_text"))
     base = base.withColumn("_pieces", T.chunk_sentence_pieces(F.col("_text")))
     spans = base.withColumn("_spans", packed_spans(F.col("_pieces"), size, overlap))
     whole = F.array(
@@ -85,10 +86,9 @@ def sentence_chunks(documents: DataFrame, size: int = 512, overlap: int = 64) ->
         whole, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.col("_text").alias("text"))
     )
     chunks = F.when(F.size("_spans") > 0, packed).otherwise(kept_whole)
-    return spans.select("document_id", "source_id", F.posexplode(chunks).alias("_i", "_c")).select(
+    return spans.select(*keys, F.posexplode(chunks).alias("_i", "_c")).select(
         F.concat("document_id", F.lit("::p"), F.col("_i").cast("string")).alias("passage_id"),
-        "document_id",
-        "source_id",
+        *keys,
         F.col("_c.start").alias("span_start"),
         F.col("_c.end").alias("span_end"),
         F.col("_c.text").alias("text"),

@@ -82,6 +82,31 @@ def bm25_scores(
     )
 
 
+def bm25_within(passages: DataFrame, queries: DataFrame, k: int, *, k1: float = K1, b: float = B) -> DataFrame:
+    """BM25 where every query has its own small corpus (``passages.query_id``).
+
+    Corpus statistics are per query, so every join carries the query id.
+    """
+    counted = passages.select("query_id", "passage_id", T.tokens(F.col("text")).alias("_t"))
+    corpora = counted.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_t")).alias("mean_length"))
+    tf = (
+        counted.select("query_id", "passage_id", F.size("_t").alias("length"), F.explode("_t").alias("term"))
+        .join(query_terms(queries), ["query_id", "term"])
+        .groupBy("query_id", "passage_id", "length", "term")
+        .agg(F.count(F.lit(1)).alias("tf"))
+    )
+    df = tf.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    rows = tf.join(df, ["query_id", "term"]).join(corpora, "query_id")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    penalty = F.when(
+        F.col("mean_length") > 0, k1 * (1 - b + b * F.col("length") / F.col("mean_length"))
+    ).otherwise(F.lit(k1))
+    scored = rows.groupBy("query_id", "passage_id").agg(
+        F.round(F.sum(idf * F.col("tf") * (k1 + 1) / (F.col("tf") + penalty)), 6).alias("score")
+    )
+    return top_per_key(scored.filter(F.col("score") > 0), ["query_id"], _ordered(), k, "rank")
+
+
 def bm25_top_k(passages: DataFrame, queries: DataFrame, k: int, **options: float) -> DataFrame:
     return top_per_key(bm25_scores(passages, queries, **options), ["query_id"], _ordered(), k, "rank")
 

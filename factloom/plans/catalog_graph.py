@@ -680,3 +680,26 @@ def grounded_answers(spark: SparkSession, folder: str) -> DataFrame:
 @query("listed_answers")
 def listed_answers(spark: SparkSession, folder: str) -> DataFrame:
     return packaging.list_answers(_packages(spark, folder, "graph_top_claim"))
+
+
+@query("system_variants")
+def system_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Passage, claim and graph systems on the same evidence, with their metrics.
+
+    The best hit's source is the gold source and the query text the gold answer.
+    """
+    from factloom.plans.experiment import variant_results
+
+    found = evidence(spark, folder)
+    gold = found.hits.filter(F.col("rank") == 0).select("query_id", F.array("source_id").alias("gold_source_ids"))
+    gold = found.queries.join(gold, "query_id", "left").select(
+        "query_id", F.array("text").alias("answers"), F.coalesce("gold_source_ids", F.array().cast("array<string>")).alias("gold_source_ids"),
+        F.col("gold_source_ids").isNotNull().alias("gold_available"),
+    )
+    parts = None
+    for name in ("passage_rag", "claim_only_rag", "full_graph"):
+        options = LOOSE if P.VARIANTS[name].family == "graph" else {}
+        rows = variant_results(found, P.VARIANTS[name], gold, P.Settings(), **options)
+        rows = rows.select(F.lit(name).alias("variant"), "example_id", "failed", F.explode("metrics").alias("metric", "value"))
+        parts = rows if parts is None else parts.unionByName(rows)
+    return parts.withColumn("value", F.round("value", 6))

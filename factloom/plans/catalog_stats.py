@@ -462,7 +462,7 @@ def set_precision_recall(spark: SparkSession, folder: str) -> DataFrame:
     O.chain(
         _SIZES,
         final="""SELECT l_orderkey, CASE WHEN o_orderstatus = 'F' AND f1 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS joint_em,
-       round(least(1.0, o_totalprice / 100000) * f1, 6) AS joint_f1
+       round(1 / (1 + o_totalprice / 100000) * f1, 6) AS joint_f1
 FROM (SELECT l_orderkey, CASE WHEN predicted = 0 AND gold = 0 THEN 1.0 WHEN hits = 0 THEN 0.0 ELSE 2.0 * hits / (predicted + gold) END AS f1 FROM sizes)
 JOIN orders ON o_orderkey = l_orderkey""",
     ),
@@ -471,7 +471,7 @@ def joint_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Answer and supporting facts must both be right."""
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") == "F").cast("double").alias("em"),
-        F.least(F.lit(1.0), F.col("o_totalprice") / 100000).alias("f1"),
+        (1 / (1 + F.col("o_totalprice") / 100000)).alias("f1"),
     )
     rows = _sizes(spark, folder).join(orders, "l_orderkey")
     _, _, support = M.benchmark_prf(F.col("hits"), F.col("predicted"), F.col("gold"))

@@ -82,6 +82,20 @@ def retrieve_evidence(
     return Evidence(queries, passages, hits, claims, priors)
 
 
+def retrieve_own_documents(
+    documents: DataFrame, queries: DataFrame, settings: Settings | None = None, priors: DataFrame | None = None
+) -> Evidence:
+    """The same stages where every query brings its own documents."""
+    settings = settings or Settings()
+    passages = cut_lineage(
+        chunking.sentence_chunks(documents, settings.chunk_size, settings.chunk_overlap), "passages"
+    )
+    ranked = retrieval.bm25_within(passages, queries, settings.top_k)
+    hits = cut_lineage(ranked.join(passages, ["query_id", "passage_id"]), "hits")
+    claims = cut_lineage(extraction.sentence_claims(hits), "claims")
+    return Evidence(queries, passages, hits, claims, priors)
+
+
 @dataclass(frozen=True)
 class Reasoned:
     """A built and scored graph."""
