@@ -3,7 +3,9 @@
 # --- fixed values: text ------------------------------------------------------
 
 # Characters treated as whitespace (Java character-class body).
-SPACE = r"\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = r"\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}-\x{2029}\x{202f}\x{205f}\x{3000}"
+# The same characters as a plain string, for trimming.
+SPACES = "".join(chr(c) for c in [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
 # Characters that count as part of a word (Java character-class body).
 WORD = r"\p{L}\p{N}_"
 WORD_START = rf"(?<![{WORD}])"

@@ -29,7 +29,7 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{V.SPACE}]+|[{V.SPACE}]+\z", "")
+    return F.trim(text, F.lit(V.SPACES))
 
 
 def casefold(text: Column) -> Column:
@@ -74,7 +74,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def lead(text: Column) -> Column:
     """How many whitespace characters start the text."""
-    return F.length(text) - F.length(F.regexp_replace(text, rf"\A[{V.SPACE}]+", ""))
+    return F.length(text) - F.length(F.ltrim(text, F.lit(V.SPACES)))
 
 
 def filled_spans(pieces: Column, content) -> Column:
@@ -116,13 +116,14 @@ def claim_sentences(text: Column) -> Column:
 
 def clauses(sentence: Column) -> Column:
     """Split on " and " when every part keeps at least three words."""
-    pieces = _all(sentence, V.CLAUSE)
-    parts = filled_spans(pieces, lambda p: F.regexp_replace(p, V.CLAUSE_DELIMITER, ""))
+    joins = F.regexp_like(sentence, F.lit(rf"[{V.SPACE}]and[{V.SPACE}]"))
+    parts = filled_spans(_all(sentence, V.CLAUSE), lambda p: F.regexp_replace(p, V.CLAUSE_DELIMITER, ""))
     whole = F.array(
         F.struct(F.lit(0).alias("start"), F.length(sentence).alias("end"), sentence.alias("text"))
     )
     return let(
-        parts, lambda found: F.when(F.forall(found, lambda p: word_count(p["text"]) >= 3), found).otherwise(whole)
+        F.when(joins, parts).otherwise(whole),
+        lambda found: F.when(F.forall(found, lambda p: word_count(p["text"]) >= 3), found).otherwise(whole),
     )
 
 

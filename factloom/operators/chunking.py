@@ -86,7 +86,9 @@ def sentence_chunks(documents: DataFrame, size: int = 512, overlap: int = 64) ->
         whole, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.col("_text").alias("text"))
     )
     chunks = F.when(F.size("_spans") > 0, packed).otherwise(kept_whole)
-    return spans.select(*keys, F.posexplode(chunks).alias("_i", "_c")).select(
+    # the outer form keeps Spark from building the chunks again for a "not empty" filter
+    rows = spans.select(*keys, F.posexplode_outer(chunks).alias("_i", "_c")).filter(F.col("_c").isNotNull())
+    return rows.select(
         F.concat("document_id", F.lit("::p"), F.col("_i").cast("string")).alias("passage_id"),
         *keys,
         F.col("_c.start").alias("span_start"),

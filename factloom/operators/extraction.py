@@ -37,10 +37,25 @@ def _clauses_of(text: Column, split: bool) -> Column:
 
 def _first_of_each(claims: Column) -> Column:
     """Keep the first claim per case-folded text."""
-    return T.let(
-        F.transform(claims, lambda c: T.casefold(c["claim"])),
-        lambda keys: F.filter(claims, lambda c, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1),
-    )
+
+    def first(found: Column) -> Column:
+        return T.let(
+            F.transform(found, lambda c: T.casefold(c["claim"])),
+            lambda keys: F.filter(found, lambda c, i: F.array_position(keys, F.element_at(keys, i + 1)) == i + 1),
+        )
+
+    return T.let(claims, first)
+
+
+_PRONOUN_EDGES = r"^[,.;:]+|[,.;:]+$"
+
+
+def _antecedent(clause: Column, normalized: Column) -> Column:
+    """The one entity before a clause that starts with a pronoun, else NULL."""
+    first = F.regexp_extract(normalized, r"^(\S+)", 1)
+    is_pronoun = F.lower(F.regexp_replace(first, _PRONOUN_EDGES, "")).isin(V.PRONOUNS)
+    before = T.named_entities(F.substring(F.col("text"), F.lit(1), clause["start"]))
+    return T.let(before, lambda e: F.when(is_pronoun & (F.size(e) == 1), F.element_at(e, 1)))
 
 
 def sentence_claims(
@@ -53,70 +68,68 @@ def sentence_claims(
     min_confidence: float = 0.0,
     max_claims: int | None = None,
 ) -> DataFrame:
-    """Rule-based claims: one per declarative clause with two or more words."""
+    """Rule-based claims: one per declarative clause with two or more words.
+
+    Only what needs the whole passage happens before the explode; the fields of a
+    claim are plain columns after it, where generated code shares common parts.
+    """
     lettered = rf"[^{V.SPACE}]*\p{{L}}[^{V.SPACE}]*"
     kept = F.filter(
         _clauses_of(F.col("text"), split_conjunctions),
         lambda c: F.regexp_count(c["text"], F.lit(lettered)) >= 2,
     )
-    pronouns = F.array(*[F.lit(p) for p in V.PRONOUNS])
 
-    def described(c: Column) -> Column:
+    def placed(c: Column) -> Column:
         normalized = T.collapse(c["text"])
-        first = F.regexp_extract(normalized, r"^(\S+)", 1)
-        leading = F.lower(F.regexp_replace(first, r"^[,.;:]+|[,.;:]+$", ""))
-        is_pronoun = F.array_contains(pronouns, leading)
-        entities = T.named_entities(c["text"])
-        own_subject = F.try_element_at(entities, F.lit(1))
-        if not resolve_pronouns:
-            claim = normalized
-            subject = F.when(is_pronoun, first).otherwise(own_subject)
-            warning = F.when(is_pronoun, F.concat(F.lit("ambiguous pronoun '"), leading, F.lit("' left unresolved")))
-        else:
-            before = T.named_entities(F.substring(F.col("text"), F.lit(1), c["start"]))
-            resolved = F.when(is_pronoun & (F.size(before) == 1), F.element_at(before, 1))
-            rest = F.substring(normalized, F.length(first) + 1, F.length(normalized))
-            claim = F.when(resolved.isNotNull(), F.concat(resolved, rest)).otherwise(normalized)
-            subject = F.coalesce(resolved, F.when(is_pronoun, first).otherwise(own_subject))
-            warning = F.when(
-                resolved.isNotNull(), F.concat(F.lit("resolved pronoun '"), leading, F.lit("' -> '"), resolved, F.lit("'"))
-            ).when(is_pronoun, F.concat(F.lit("ambiguous pronoun '"), leading, F.lit("' left unresolved")))
+        resolved = F.lit(None).cast("string")
+        if resolve_pronouns:
+            resolved = _antecedent(c, normalized)
+            normalized = F.coalesce(F.concat(resolved, F.regexp_replace(normalized, r"^\S+", "")), normalized)
         return F.struct(
-            c["start"].alias("start"),
-            c["text"].alias("clause"),
-            claim.alias("claim"),
-            entities.alias("entities"),
-            subject.alias("subject"),
-            warning.alias("warning"),
+            c["start"].alias("start"), c["text"].alias("clause"), normalized.alias("claim"), resolved.alias("resolved")
         )
 
-    claims = F.transform(kept, described)
-    if default_confidence < min_confidence:
-        claims = F.slice(claims, 1, 0)
+    claims = F.transform(kept, placed)
     if deduplicate:
         claims = _first_of_each(claims)
+    if default_confidence < min_confidence:
+        claims = F.slice(claims, 1, 0)
     if max_claims is not None:
         claims = F.slice(claims, 1, max_claims)
     carried = [c for c in passages.columns if c not in ("text", "span_start", "span_end", "score", "rank")]
-    rows = passages.select(*carried, "span_start", F.explode(claims).alias("_c"))
-    start = (F.col("span_start") + F.col("_c.start")).cast("int")
-    clause = F.col("_c.clause")
+    clause, claim = F.col("_c.clause"), F.col("_c.claim")
+    rows = (
+        passages.select(*carried, "span_start", F.explode_outer(claims).alias("_c"))
+        .filter(F.col("_c").isNotNull())
+        .withColumn("span_start", (F.col("span_start") + F.col("_c.start")).cast("int"))
+        .withColumn("entities", T.named_entities(clause))
+        .withColumn("_first", F.regexp_extract(T.collapse(clause), r"^(\S+)", 1))
+        .withColumn("_leading", F.lower(F.regexp_replace("_first", _PRONOUN_EDGES, "")))
+    )
+    is_pronoun = F.col("_leading").isin(V.PRONOUNS)
+    resolved = F.col("_c.resolved")
+    warning = F.when(
+        resolved.isNotNull(),
+        F.concat(F.lit("resolved pronoun '"), "_leading", F.lit("' -> '"), resolved, F.lit("'")),
+    ).when(is_pronoun, F.concat(F.lit("ambiguous pronoun '"), "_leading", F.lit("' left unresolved")))
     return rows.select(
         *carried,
-        T.claim_id(F.col("passage_id"), F.col("_c.claim"), start).alias("claim_id"),
-        F.col("_c.claim").alias("text"),
-        start.alias("span_start"),
-        (start + F.length(clause)).cast("int").alias("span_end"),
+        T.claim_id(F.col("passage_id"), claim, F.col("span_start")).alias("claim_id"),
+        claim.alias("text"),
+        "span_start",
+        (F.col("span_start") + F.length(clause)).cast("int").alias("span_end"),
         clause.alias("span_text"),
         F.lit(default_confidence).alias("extraction_confidence"),
-        F.col("_c.subject").alias("subject"),
-        F.col("_c.entities").alias("entities"),
+        F.coalesce(
+            resolved, F.when(is_pronoun, F.col("_first")).otherwise(F.try_element_at("entities", F.lit(1)))
+        ).alias("subject"),
+        "entities",
         T.attribution(clause).alias("attribution"),
         T.dates(clause).alias("dates"),
         T.quantities(clause).alias("quantities"),
         T.negated(clause).alias("negation"),
         T.modality(clause).alias("modality"),
-        F.col("_c.warning").alias("warning"),
+        warning.alias("warning"),
         # sentences carry no predicate, object or time; other extractors fill these
         *[F.lit(None).cast("string").alias(c) for c in ("predicate", "object") if c not in carried],
         *[F.lit(None).cast("timestamp").alias(c) for c in TIMES if c not in carried],
@@ -128,7 +141,8 @@ def simple_claims(passages: DataFrame) -> DataFrame:
     pieces = F.regexp_extract_all(F.col("text"), F.lit(r"[^.!?]+|[.!?]+"), F.lit(0))
     terminators = F.lit(r"^[.!?]+$")
     spans = T.filled_spans(pieces, lambda p: F.when(F.regexp_like(p, terminators), F.lit("")).otherwise(T.strip(p)))
-    rows = passages.select("passage_id", "source_id", "span_start", F.posexplode(spans).alias("_i", "_s"))
+    rows = passages.select("passage_id", "source_id", "span_start", F.posexplode_outer(spans).alias("_i", "_s"))
+    rows = rows.filter(F.col("_s").isNotNull())
     return rows.select(
         F.concat("passage_id", F.lit("#c"), F.col("_i").cast("string")).alias("claim_id"),
         "passage_id",

@@ -50,6 +50,7 @@ def duplicate_clusters(rows: DataFrame, row_id: str) -> DataFrame:
     keyed = rows.select(
         row_id, F.sha2(T.normalize(F.col("text")), 256).alias("cluster"), F.sha2("text", 256).alias("exact")
     )
+    keyed = cut_lineage(keyed, "text-keys")  # the texts are read and hashed once
     heads = (
         keyed.groupBy("cluster")
         .agg(

@@ -31,47 +31,52 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.token_set(F.col("text"))).alias("term"))
 
 
-def postings(passages: DataFrame, vocabulary: DataFrame, *, bounded: bool) -> DataFrame:
-    """Term counts per passage for the vocabulary: one shuffle, keyed by passage.
+def term_statistics(passages: DataFrame, vocabulary: DataFrame, *, bounded: bool) -> DataFrame:
+    """Document frequency per vocabulary term; the empty term counts the corpus.
 
-    Each passage also yields one row under the empty term, so corpus size and
-    mean length come from the same pass over the text.
+    One pass over the text whose shuffle holds a row per term and task at most.
     """
     found = T.tokens(F.col("text"))
     rows = passages.select("passage_id", found.alias("_t")).select(
         "passage_id",
         F.size("_t").alias("length"),
-        F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"),
+        # the outer form keeps Spark from tokenizing again for a "not empty" filter
+        F.explode_outer(F.concat(F.array(F.lit("")), F.array_distinct("_t"))).alias("term"),
     )
-    wanted = vocabulary.select("term").union(vocabulary.sparkSession.createDataFrame([("",)], "term string"))
-    kept = lookup_join(rows, wanted.distinct(), ["term"], small_is_bounded=bounded, salt_by=F.col("passage_id"))
-    return kept.repartition("passage_id").groupBy("passage_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    corpus = vocabulary.sparkSession.createDataFrame([("",)], "term string")
+    wanted = vocabulary.select("term").union(corpus).distinct()
+    kept = lookup_join(rows, wanted, ["term"], small_is_bounded=bounded, salt_by=F.col("passage_id"))
+    return kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("total_length"))
 
 
-def bm25_scores(
-    passages: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B
-) -> DataFrame:
-    """Okapi BM25 of every passage that shares a term with a query."""
+def bm25_scores(passages: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
+    """Okapi BM25 of every passage that shares a term with a query.
+
+    Token lists are shuffled once, by passage. Term counts and scores are then
+    summed where a passage's tokens are, and the best k are cut per task: neither
+    terms nor (query, passage) pairs are shuffled again.
+    """
     terms = query_terms(queries)
     bounded = within_rows(terms)
-    # the index is read three times: document frequencies, corpus totals, scores
-    found = cut_lineage(postings(passages, terms.select("term").distinct(), bounded=bounded), "postings")
-    per_term = found.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("length").alias("total_length")
-    )
-    corpus = per_term.filter(F.col("term") == "")
+    # the table has one row per vocabulary term and is read three times below
+    statistics = cut_lineage(term_statistics(passages, terms.select("term").distinct(), bounded=bounded), "terms")
+    corpus = statistics.filter(F.col("term") == "")
     n = corpus.select(F.col("df").cast("double")).scalar()
     mean_length = corpus.select(F.col("total_length") / F.col("df")).scalar()
     df = F.col("df")
     weights = (
-        terms.join(per_term, "term")
+        terms.join(statistics, "term")
         .withColumn("n", n)
         .withColumn("mean_length", mean_length)
         .select("query_id", "term", "mean_length", F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)).alias("idf"))
     )
-    matched = lookup_join(
-        found.filter(F.col("term") != ""), weights, ["term"], small_is_bounded=bounded, salt_by=F.col("passage_id")
-    )
+    tokens = passages.select("passage_id", T.tokens(F.col("text")).alias("_t")).repartition("passage_id")
+    rows = tokens.select("passage_id", F.size("_t").alias("length"), F.explode_outer("_t").alias("term"))
+    salt = F.col("passage_id")
+    wanted = statistics.select("term")
+    kept = lookup_join(rows, wanted, ["term"], "left_semi", small_is_bounded=bounded, salt_by=salt)
+    counts = kept.groupBy("passage_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    matched = lookup_join(counts, weights, ["term"], small_is_bounded=bounded, salt_by=salt)
     ratio = F.when(F.col("mean_length") > 0, F.col("length") / F.col("mean_length")).otherwise(F.lit(0.0))
     penalty = F.when(F.col("mean_length") > 0, k1 * (1 - b + b * ratio)).otherwise(F.lit(k1))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + penalty)
@@ -118,8 +123,10 @@ def lexical_top_k(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("_q"))
     wanted = terms.join(sizes, "query_id")
     own = T.token_set(F.col("text"))
-    rows = passages.select("passage_id", own.alias("_t")).select(
-        "passage_id", F.size("_t").alias("_p"), F.explode("_t").alias("term")
+    rows = (
+        passages.select("passage_id", own.alias("_t"))
+        .repartition("passage_id")
+        .select("passage_id", F.size("_t").alias("_p"), F.explode_outer("_t").alias("term"))
     )
     shared = (
         lookup_join(rows, wanted, ["term"], small_is_bounded=bounded, salt_by=F.col("passage_id"))
@@ -134,7 +141,7 @@ def lexical_top_k(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     fill = queries.select("query_id").withColumn(
         "passage_id", F.explode(first.agg(F.collect_list("passage_id").alias("ids")).scalar())
     )
-    best = top_per_key(scored, ["query_id"], _ordered(), k, "rank").drop("rank")
+    best = cut_lineage(top_per_key(scored, ["query_id"], _ordered(), k, "rank").drop("rank"), "best")
     rest = fill.join(best, ["query_id", "passage_id"], "left_anti").withColumn("score", F.lit(0.0))
     # a filler may itself match below the top k; its true score decides nothing then
     return top_per_key(best.unionByName(rest), ["query_id"], _ordered(), k, "rank")

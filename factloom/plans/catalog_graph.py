@@ -12,6 +12,7 @@ from factloom.operators import graph as G
 from factloom.plans import oracle as O
 from factloom.plans import pipeline as P
 from factloom.plans.registry import benchmark_queries, documents, joined, longs, quality_labels, query, table
+from factloom.scale import spread
 from factloom.session import cut_lineage
 
 KEY = ["query_id", "claim_id"]
@@ -193,7 +194,7 @@ def loose_relations(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def text_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return G.duplicate_clusters(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return G.duplicate_clusters(spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id"), "doc_id")
 
 
 @query(

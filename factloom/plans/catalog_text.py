@@ -65,7 +65,8 @@ def normalized_answers(spark: SparkSession, folder: str) -> DataFrame:
 )
 def chunk_sentences(spark: SparkSession, folder: str) -> DataFrame:
     docs = spread(documents(spark, folder), "document_id")
-    spans = docs.select("document_id", F.posexplode(T.chunk_sentences(T.strip(F.col("text")))).alias("sentence", "s"))
+    spans = docs.select("document_id", F.posexplode_outer(T.chunk_sentences(T.strip(F.col("text")))).alias("sentence", "s"))
+    spans = spans.filter(F.col("s").isNotNull())
     return longs(
         spans.select("document_id", "sentence", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end")),
         "sentence", "span_start", "span_end",
@@ -88,7 +89,8 @@ placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) -
     ),
 )
 def claim_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    spans = _texts(spark, folder).select("doc_id", F.explode(T.claim_sentences(F.col("text"))).alias("s"))
+    spans = _texts(spark, folder).select("doc_id", F.explode_outer(T.claim_sentences(F.col("text"))).alias("s"))
+    spans = spans.filter(F.col("s").isNotNull())
     return longs(
         spans.select(
             "doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.md5("s.text").alias("sentence")
