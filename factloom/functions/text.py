@@ -46,11 +46,18 @@ def normalize(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return _all(text, rf"[^{V.SPACE}]+")
+    return F.filter(F.split(collapse(text), " "), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(rf"[^{V.SPACE}]+"))
+    """Words between whitespace, counted by the single spaces that remain."""
+    gaps = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+    return let(collapse(text), lambda c: F.when(c == "", F.lit(0)).otherwise(gaps(c) + 1))
+
+
+def lettered_word_count(text: Column) -> Column:
+    """Words that contain at least one letter."""
+    return word_count(F.regexp_replace(text, rf"[^\p{{L}}{V.SPACE}]+", ""))
 
 
 def tokens(text: Column) -> Column:
@@ -121,10 +128,10 @@ def clauses(sentence: Column) -> Column:
     whole = F.array(
         F.struct(F.lit(0).alias("start"), F.length(sentence).alias("end"), sentence.alias("text"))
     )
-    return let(
-        F.when(joins, parts).otherwise(whole),
-        lambda found: F.when(F.forall(found, lambda p: word_count(p["text"]) >= 3), found).otherwise(whole),
+    split = let(
+        parts, lambda found: F.when(F.forall(found, lambda p: word_count(p["text"]) >= 3), found).otherwise(whole)
     )
+    return F.when(joins, split).otherwise(whole)
 
 
 def simple_sentences(text: Column) -> Column:

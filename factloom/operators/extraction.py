@@ -73,10 +73,8 @@ def sentence_claims(
     Only what needs the whole passage happens before the explode; the fields of a
     claim are plain columns after it, where generated code shares common parts.
     """
-    lettered = rf"[^{V.SPACE}]*\p{{L}}[^{V.SPACE}]*"
     kept = F.filter(
-        _clauses_of(F.col("text"), split_conjunctions),
-        lambda c: F.regexp_count(c["text"], F.lit(lettered)) >= 2,
+        _clauses_of(F.col("text"), split_conjunctions), lambda c: T.lettered_word_count(c["text"]) >= 2
     )
 
     def placed(c: Column) -> Column:

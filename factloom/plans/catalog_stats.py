@@ -13,7 +13,7 @@ from factloom.functions import metrics as M
 from factloom.operators import evaluation, integrity, stats
 from factloom.plans import oracle as O
 from factloom.plans.registry import longs, query, table
-from factloom.scale import exact_quantiles, spread
+from factloom.scale import exact_quantiles
 from factloom.session import cut_lineage
 
 
@@ -403,7 +403,7 @@ FROM w JOIN x ON x.conv_id = w.conv_id AND x.turn = w.turn""",
     ),
 )
 def answer_support(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spread(_turns(spark, folder), "conv_id")
+    rows = _turns(spark, folder)
     answer, premises = F.col("prediction"), F.array("gold")
     return rows.select(
         "conv_id", "turn", F.round(M.lexical_entailment(answer, premises), 6).alias("entailment"),

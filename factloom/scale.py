@@ -26,10 +26,15 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition inputs that arrive in fewer splits than there are cores.
+    """Hash-repartition a scan that arrives in fewer splits than there are cores.
 
-    A large table already has more file splits than cores and is left alone.
+    A large table already has more file splits than cores and is left alone, and
+    so is the result of a join or aggregate: its shuffle has spread it, and asking
+    for its partitions would run it.
     """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(node in plan for node in ("Join", "Aggregate", "Window", "Sort", "Repartition")):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df

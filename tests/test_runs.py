@@ -85,6 +85,19 @@ def test_parse_and_attribution(spark):
     assert [e.split(": ")[1][:28] for e in errors] == ["answer cites rejected eviden", "answer cites unknown claim i", "malformed structured output", "model output has an empty or"]
 
 
+def test_prompts_beyond_the_context_fail_before_the_model(spark):
+    examples = builtin.temporal_conflict(spark)
+    asked = examples.select(F.col("example_id").alias("query_id"), F.col("question").alias("text"))
+    found = pipeline.retrieve_own_documents(readers.example_documents(examples), asked)
+    packs = pipeline.run_variant(found, pipeline.VARIANTS["claim_only_rag"])
+    assert packaging.generate(packs).first().error is None
+    small = packaging.Capabilities(context_limit=600)
+    assert "exceeds the adapter context limit" in packaging.generate(packs, can=small).first().error
+    with pytest.raises(ValueError):
+        packaging.capability_warnings(small, stream=True)
+    assert len(packaging.capability_warnings(packaging.Capabilities(deterministic=False, seeds=False))) == 2
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     for name, text in (("b.txt", " second "), ("a.txt", "first"), ("skip.md", "x")):
