@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,17 +35,18 @@ def local_session(app: str = "factloom", cores: str = "8", memory: str = "12g")
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a machine-local folder: on a cluster the
-    executors could not read what another machine wrote there.
+    Where the setting is missing, a local session (tests, the benchmark) gets a folder of its own that goes when the
+    program ends; on a cluster the setting is required, because executors cannot read each other's disks.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     path = tempfile.mkdtemp(prefix="factloom-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(path)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
