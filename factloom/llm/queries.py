@@ -1,0 +1,70 @@
+"""The registered queries of this folder and the SQL that states the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.llm import line_dedup, near_dedup
+from factloom.llm.common import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(run):
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLES[name] = sql
+        return run
+
+    return add
+
+
+def lowered(column: str) -> str:
+    return f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+_SETS = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({lowered("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT b.b, r.root FROM reach r JOIN both_ways b ON b.a = r.node),
+c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+@query("op2_minhash_near_dedup", _SETS)
+def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), shingle=4, percent=80)
+
+
+_LINES = """
+WITH l AS (SELECT doc_id, source, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)),
+             lambda x: x <> ''))) AS line FROM documents),
+t AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+b AS (SELECT source, line FROM l JOIN t USING (source) GROUP BY source, line, pages HAVING count(*) >= 5 AND count(*) > 0.1 * pages),
+h AS (SELECT source, list(line) AS gone FROM b GROUP BY source),
+k AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts,
+        list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR NOT list_contains(coalesce(gone, []), trim(x))) AS kept
+      FROM documents LEFT JOIN h USING (source))
+SELECT doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(parts) - len(kept), 0) AS BIGINT) AS n_dropped,
+  md5(array_to_string(kept, chr(10))) AS kept_md5 FROM k
+"""
+
+
+@query("op3_line_dedup", _LINES)
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    found = line_dedup.boilerplate(docs, "source", "text")
+    cleaned = line_dedup.drop_lines(docs, found, "source", "text")
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
