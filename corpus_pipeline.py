@@ -1,24 +1,79 @@
-"""A corpus cleaned and packed in stages; each stage is written as Parquet and read again by the next."""
+"""A corpus cleaned and packed in stages; each stage is written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and all but the last return the columns of ``docs``. A stage drops only what
+its operator rejects; documents without doc_id cannot be named by a join and stay.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import line_dedup
+from factloom.llm import decontamination, line_dedup, near_dedup, packing, toxicity
+from factloom.llm.common import bounded, fold
 from factloom.session import cut_lineage
 
+#: Documents of this score or more are rejected.
+TOXIC = 0.7
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` whose doc_id is not among ``ids`` (one column, doc_id)."""
+    return docs.join(bounded(cut_lineage(ids.distinct(), "dropped")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents by toxicity, learned from the labels outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train(docs.select("doc_id", "text"), labels.filter(fold(F.col("doc_id"), 3) != 1))
+    score = toxicity.toxicity(F.col("text"), model)["score"]
+    return docs.withColumn("_score", score).filter(F.col("_score") < TOXIC).select(*docs.columns)
+
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that stand on too many pages of a source; documents stay."""
+    """Remove lines that stand on too many documents of a source; documents stay."""
     found = line_dedup.boilerplate(docs, "source", "text")
-    return line_dedup.drop_lines(docs, found, "source", "text").drop("n_lines", "n_dropped")
+    cleaned = line_dedup.drop_lines(docs, found, "source", "text")
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest doc_id of every group of near-duplicates, and one row of it."""
+    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
+    gone = found.filter(~F.col("kept")).select("doc_id")
+    once = without(docs, gone)
+    repeated = once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    repeated = cut_lineage(repeated, "repeated")
+    if repeated.isEmpty():
+        return once
+    first = once.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return without(once, repeated).unionByName(first)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents that hold a benchmark item."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without(docs, decontamination.contaminated(docs, items).select("doc_id"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where the words of every document stand in the training sequences."""
+    return packing.best_fit(docs, "doc_id", packing.word_count(F.col("text")))
 
 
-STAGES = [("line_dedup", drop_boilerplate)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+#: Learned scores and packing have no SQL; the tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed corpus: rows doc_id, piece, start, length, sequence, offset, capacity."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = cut_lineage(stage(spark, docs, sf_dir), name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def bound_to(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` names it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def bounded(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     """``df`` marked for broadcasting if it is counted to hold at most ``limit`` rows, else as it is."""
     return F.broadcast(df) if within_rows(df, limit) else df

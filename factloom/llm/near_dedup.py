@@ -37,6 +37,8 @@ CHUNKS = SYMBOLS // CHUNK
 RADIUS = 2 * CHUNKS - 1
 #: Members of a residual key that are compared in one block.
 BLOCK = 256
+#: Bits per shingle of the bitmaps that refute such pairs.
+BITMAP = 8
 
 _rng = np.random.default_rng(5)
 _SALT = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64)
@@ -100,7 +102,8 @@ def _write_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if k != out:
                     packed = (packed << np.uint64(BITS)) | symbols[:, c * CHUNK + k]
             keys[:, p] = H.mix(packed)
-        yield pa.RecordBatch.from_arrays([_signed(keys.reshape(-1)), pa.array(np.repeat(ids, len(places)))], ["key", "rep"])
+        columns = [_signed(keys.reshape(-1)), pa.array(np.tile(np.arange(len(places), dtype=np.int16), len(ids))), pa.array(np.repeat(ids, len(places)))]
+        yield pa.RecordBatch.from_arrays(columns, ["key", "place", "rep"])
 
 
 def _within_radius(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,19 +141,65 @@ def _alike(size: int, percent: int):
     return run
 
 
-def _meet(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block within the radius whose components differ; ``own`` tells the two blocks apart."""
-    symbols = np.frombuffer(b"".join(members["signature"]), np.uint16).reshape(-1, SYMBOLS)
-    rep, part, own = (members[c].to_numpy() for c in ("rep", "component", "own"))
-    one_block = key[1] == key[2]
-    left = np.arange(len(rep)) if one_block else np.flatnonzero(own == key[1])
-    right = left if one_block else np.flatnonzero(own == key[2])
-    found = []
-    for i in left:
-        others = right[(part[right] != part[i]) & ((rep[right] > rep[i]) if one_block else True)]
-        near = others[(symbols[others] != symbols[i]).sum(axis=1) <= RADIUS]
-        found += [(max(rep[i], rep[j]), min(rep[i], rep[j])) for j in near]
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _bitmaps(size: int):
+    """A bit per hash value of every shingle, at ``BITMAP`` bits a shingle and a power of two in all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = []
+            for found in H.words(batch.column("text"), H.BLANKS):
+                row, value = H.distinct(*H.shingles(found, size))
+                for own in np.split(value, H.bounds(row, found.rows)[1:-1]):
+                    bits = np.zeros(max(64, 1 << (len(own) * BITMAP - 1).bit_length()), bool)
+                    bits[(own & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+                    maps.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(maps, pa.binary())], ["rep", "bitmap"])
+
+    return run
+
+
+def _folded(bitmap: np.ndarray, width: int) -> np.ndarray:
+    """The bitmap of fewer hash bits."""
+    return np.bitwise_or.reduce(bitmap.reshape(-1, width), axis=0)
+
+
+def _meet(percent: int):
+    def run(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of one block that may be linked: other components, within the radius, and not refuted by bitmaps.
+
+        An element of A whose bit is clear in B is not in B, so the intersection is at most |A| less those bits. A pair
+        that shares several keys is looked at under the first of them.
+        """
+        symbols = np.frombuffer(b"".join(members["signature"]), np.uint16).reshape(-1, SYMBOLS)
+        rep, part, own, n, place = (members[c].to_numpy() for c in ("rep", "component", "own", "n_shingles", "place"))
+        maps = [np.frombuffer(m, np.uint8) for m in members["bitmap"]]
+        widths = np.array([len(m) for m in maps])
+        stacked: dict[int, np.ndarray] = {}
+        one_block, place = key[1] == key[2], int(place[0])
+        left = np.arange(len(rep)) if one_block else np.flatnonzero(own == key[1])
+        right = left if one_block else np.flatnonzero(own == key[2])
+        found = []
+        for i in left:
+            close = (part[right] != part[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))
+            others = right[close & (rep[right] > rep[i])] if one_block else right[close]
+            if not len(others):
+                continue
+            same = symbols[others] == symbols[i]
+            others, same = (x[same.sum(axis=1) >= SYMBOLS - RADIUS] for x in (others, same))
+            chunks = same.reshape(-1, CHUNKS, CHUNK)
+            wrong = np.where(chunks.all(axis=2), 0, chunks.argmin(axis=2))
+            first = np.where(chunks.sum(axis=2) >= CHUNK - 1, np.arange(CHUNKS) * CHUNK + wrong, len(symbols[0])).min(axis=1)
+            others = others[first == place]
+            for width in np.unique(np.minimum(widths[others], widths[i])).tolist():
+                if width not in stacked:
+                    stacked[width] = np.stack([_folded(m, width) if len(m) >= width else np.zeros(width, np.uint8) for m in maps])
+                now = others[np.minimum(widths[others], widths[i]) == width]
+                a, b = stacked[width][i], stacked[width][now]
+                most = np.minimum(n[i] - np.bitwise_count(a & ~b).sum(axis=1, dtype=int), n[now] - np.bitwise_count(b & ~a).sum(axis=1, dtype=int))
+                found += [(max(rep[i], rep[j]), min(rep[i], rep[j])) for j in now[100 * most >= percent * (n[i] + n[now] - most)]]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -176,13 +225,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     linkable = signed.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # one representative per set; a document may stand for several sets if its doc_id repeats
     classes = linkable.groupBy("class_1", "class_2").agg(
-        F.min(F.struct("doc_id", "signature")).alias("m"), F.max("doc_id").alias("last")
+        F.min(F.struct("doc_id", "n_shingles", "signature")).alias("m")
     )
-    classes = classes.select("class_1", "class_2", F.col("m.doc_id").alias("rep"), F.col("m.signature").alias("signature"), "last")
+    classes = classes.select("class_1", "class_2", F.col("m.doc_id").alias("rep"), "m.n_shingles", "m.signature")
     classes = cut_lineage(classes, "classes")
-    marks = classes.select("rep", "signature")
+    marks = classes.select("rep", "signature", "n_shingles")
 
-    keys = marks.mapInArrow(_write_keys, "key bigint, rep bigint")
+    keys = marks.mapInArrow(_write_keys, "key bigint, place smallint, rep bigint")
     sizes = keys.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("_last"), F.count(F.lit(1)).alias("size"))
     sizes = cut_lineage(sizes.filter(F.col("center") < F.col("_last")).drop("_last"), "keys")
     met = cut_lineage(keys.join(bounded(sizes), "key"), "met")
@@ -204,11 +253,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     mixed = named.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
     mixed = mixed.filter("_lo < _hi").select("key")
     parts = F.ceil(F.col("size") / BLOCK)
-    left = named.join(mixed, "key", "left_semi").join(marks, "rep").withColumn("parts", parts)
+    left = cut_lineage(named.join(mixed, "key", "left_semi"), "mixed")
+    members = left.select(F.col("rep").alias("doc_id")).distinct()
+    maps = rows.join(bounded(members), "doc_id", "left_semi").mapInArrow(_bitmaps(shingle), "rep bigint, bitmap binary")
+    left = left.join(marks, "rep").join(maps, "rep").withColumn("parts", parts)
     left = left.withColumn("own", F.pmod(F.xxhash64("rep"), "parts"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component", "signature", "own")
-    more = left.groupBy("key", "i", "j").applyInPandas(_meet, "a bigint, b bigint").distinct()
+    columns = ["rep", "component", "signature", "n_shingles", "bitmap", "place", "own"]
+    left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *columns)
+    more = left.groupBy("key", "i", "j").applyInPandas(_meet(percent), "a bigint, b bigint").distinct()
     more = cut_lineage(more.join(close, ["a", "b"], "left_anti"), "more")
     links_2 = cut_lineage(_confirm(more, rows, shingle, percent), "links")
     if not links_2.isEmpty():

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import line_dedup, near_dedup
-from factloom.llm.common import table
+from factloom.llm import decontamination, language, line_dedup, near_dedup, packing, toxicity
+from factloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,57 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup.boilerplate(docs, "source", "text")
     cleaned = line_dedup.drop_lines(docs, found, "source", "text")
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = language.train(docs.filter(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language.language(F.col("text"), model).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = toxicity.train(docs, labels.filter(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), toxicity.toxicity(F.col("text"), model).alias("t"))
+    return found.select(
+        "doc_id", "held_out", F.col("t.score").alias("score"), (F.col("t.score") >= 0.7).cast("int").alias("predicted"),
+        F.size("t.passages").cast("bigint").alias("n_passages"),
+    )
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.best_fit(docs, "doc_id", packing.word_count(F.col("text")))
+
+
+_LEAKS = rf"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+it AS (SELECT item_id, len(w) AS length, unnest(range(0, len(w) - 4)) AS o, w FROM iw),
+i AS (SELECT item_id, length, o, array_to_string(w[o + 1:o + 5], ' ') AS g FROM it),
+ds AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS p, w FROM dw WHERE len(w) > 4),
+d AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM ds),
+m AS MATERIALIZED (SELECT doc_id, p, g FROM d SEMI JOIN i ON d.g = i.g),
+f AS (SELECT g, count(DISTINCT doc_id) AS n FROM m GROUP BY g),
+wt AS (SELECT DISTINCT i.item_id, i.length, i.g, round(1000 * (1 + ln(((SELECT count(*) FROM documents) + 1.0) / (coalesce(n, 0) + 1)))) AS weight
+       FROM i LEFT JOIN f ON f.g = i.g),
+s AS (SELECT DISTINCT doc_id, length, p - o AS start FROM m JOIN i ON i.g = m.g),
+c AS (SELECT DISTINCT s.doc_id, wt.item_id, s.start, wt.g, wt.weight FROM s JOIN wt ON wt.length = s.length
+      JOIN m ON m.doc_id = s.doc_id AND m.g = wt.g AND m.p BETWEEN s.start AND s.start + s.length - 5),
+t AS (SELECT item_id, sum(weight) AS total FROM wt GROUP BY item_id),
+k AS (SELECT doc_id, item_id, start, sum(weight) / any_value(total) AS similarity FROM c JOIN t USING (item_id) GROUP BY ALL)
+SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, CAST(greatest(min(start), 0) AS BIGINT) AS first_word, count(*) AS n_windows
+FROM k WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""
+
+
+@query("op4_benchmark_decontamination", _LEAKS)
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
