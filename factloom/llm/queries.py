@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, language, line_dedup, near_dedup, packing, toxicity
+from factloom.llm import decontamination, language, licenses, line_dedup, near_dedup, packing, toxicity, urls
 from factloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,75 @@ FROM k WHERE similarity >= 0.8 GROUP BY doc_id, item_id
 @query("op4_benchmark_decontamination", _LEAKS)
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+_WORDS = rf"list_filter(regexp_split_to_array({lowered('text')}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+def _list(items) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
+_PHRASES = " UNION ALL ".join(f"SELECT '{t.label}' AS label, {_list(t.words)} AS p" for t in licenses.PHRASES)
+_NOTICES = " UNION ALL ".join(f"SELECT '{t.label}' AS label, {_list(sorted(set(t.words)))} AS p, {t.need} AS need" for t in licenses.NOTICES)
+_LICENCES = f"""
+WITH w AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+p AS ({_PHRASES}), n AS ({_NOTICES}),
+places AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM w) JOIN p ON w[i + 1] = p[1] AND w[i + 1:i + len(p)] = p),
+b AS (SELECT doc_id, label, 1.0 AS score FROM places),
+blocks AS (SELECT doc_id, list_distinct(w[64 * k + 1:64 * k + 128]) AS bw FROM (SELECT doc_id, w, unnest(range(0, (len(w) + 63) // 64)) AS k FROM w)),
+m AS (SELECT doc_id, label, len(list_intersect(bw, p)) AS shared, len(p) AS size, need FROM blocks, n WHERE len(list_intersect(bw, p)) >= need),
+every AS (SELECT doc_id, label, score FROM b UNION ALL SELECT doc_id, label, shared / size FROM m),
+g AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(score) AS score FROM every GROUP BY doc_id),
+a AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels
+      FROM places GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM w LEFT JOIN a ON a.doc_id = w.doc_id LEFT JOIN g ON g.doc_id = w.doc_id
+"""
+
+
+@query("op1_license_scan", _LICENCES)
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licences(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def _ranks_sql(rounds: int) -> str:
+    steps = []
+    for k in range(1, rounds + 1):
+        before = "SELECT kind, host, seed AS rank FROM seeds" if k == 1 else f"SELECT * FROM r{k - 1}"
+        steps.append(
+            f"r{k} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (SELECT f.kind, f.dst AS host, b.rank * f.share * 0.85 AS rank FROM flows f "
+            f"JOIN ({before}) b ON b.kind = f.kind AND b.host = f.src UNION ALL SELECT kind, host, seed * (1 - 0.85) FROM seeds) GROUP BY kind, host)"
+        )
+    return ",\n".join(steps)
+
+
+_URLS = rf"""
+WITH RECURSIVE r0 AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r0),
+u AS (SELECT page_id, html, {lowered("raw")} AS host, regexp_extract(substr(rest, len(raw) + 1), '^[^?#]*') AS path FROM h),
+rules(kind, name, start) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fit AS (SELECT page_id, arg_max(name || start, len(name || start)) AS rule, arg_max(kind, len(name || start)) AS ruled FROM u JOIN rules
+        ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id),
+m AS (SELECT u.page_id, host, path, rule, ruled FROM u LEFT JOIN fit ON fit.page_id = u.page_id),
+links AS (SELECT src, dst, count(*) AS weight FROM (SELECT page_id, host AS src, {lowered("unnest(list_distinct(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']?(?:https?:)?//([^/?#\"''\\s<>]+)', 1)))")} AS dst
+          FROM u) WHERE src <> '' AND src <> dst GROUP BY src, dst),
+names AS (SELECT host FROM u WHERE host <> '' UNION SELECT dst FROM links WHERE dst <> ''),
+up(src, dst) AS (SELECT host, substr(host, strpos(host, '.') + 1) FROM names WHERE len(string_split(host, '.')) > 2
+       UNION SELECT dst, substr(dst, strpos(dst, '.') + 1) FROM up WHERE len(string_split(dst, '.')) > 2),
+edges AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM links UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) GROUP BY src, dst),
+flows AS (SELECT 'allow' AS kind, src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges
+          UNION ALL SELECT 'block', dst, src, weight / sum(weight) OVER (PARTITION BY dst) FROM edges),
+seeds AS (SELECT ruled AS kind, host, count(*) / sum(count(*)) OVER (PARTITION BY ruled) AS seed FROM m WHERE ruled IS NOT NULL AND host <> '' GROUP BY ruled, host),
+{_ranks_sql(urls.ROUNDS)},
+hosts AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'block'), 0) AS distrust FROM r{urls.ROUNDS} GROUP BY host)
+SELECT page_id, m.host, path, rule, coalesce(ruled, CASE WHEN round(distrust, 12) > round(trust, 12) THEN 'block' ELSE 'allow' END) AS verdict
+FROM m LEFT JOIN hosts ON hosts.host = m.host
+"""
+
+
+@query("op5_url_filter", _URLS)
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    found = urls.judged(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
