@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, language, licenses, line_dedup, near_dedup, packing, toxicity, urls
+from factloom.llm import decontamination, language, licenses, line_dedup, near_dedup, neighbours, packing, tokens, toxicity, urls
 from factloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,14 @@ FROM m LEFT JOIN hosts ON hosts.host = m.host
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     found = urls.judged(table(spark, folder, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", tokens.token_counts(F.col("text")).alias("t"))
+    return docs.select("doc_id", "t.n_tokens", F.round("t.log_prob", 6).alias("log_prob"))
+
+
+@query("op7_nearest_neighbours")
+def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
