@@ -43,7 +43,7 @@ class Model:
     weights: np.ndarray
     rate: float = 1.0  # lambda
     scale: float = 1.0  # K
-    intercept: float = -50.0
+    intercept: float = -np.inf
     slope: float = 0.0
 
 
@@ -227,7 +227,7 @@ def toxicity(text: Column, model: Model) -> Column:
             own = _significant(model, words, found)
             total[row], counts[row] = sum(x[0] for x in own), len(own)
             kept += own
-        p = 1 / (1 + np.exp(-np.clip(model.intercept + model.slope * total, -500, 500)))
+        p = 1 / (1 + np.exp(np.where(np.isinf(model.intercept), np.inf, -np.clip(model.intercept + model.slope * total, -500, 500))))
         items = pa.StructArray.from_arrays(
             [pa.array([x[1] for x in kept], pa.int32()), pa.array([x[2] for x in kept], pa.int32()), pa.array([x[0] for x in kept], pa.float64())],
             ["start", "end", "evidence"],
