@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import cut_lineage
+from factloom.session import cut_lineage, release
 
 
 def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -35,7 +35,9 @@ def components(edges: DataFrame, left: str, right: str, keys: tuple[str, ...] =
     rows = edges.filter(a != b).select(*named, F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     rows, before = cut_lineage(rows, "edges"), None
     while True:
-        rows = cut_lineage(_small_star(_large_star(rows, named).distinct(), named).distinct(), "stars")
+        moved = cut_lineage(_small_star(_large_star(rows, named).distinct(), named).distinct(), "stars")
+        release(rows)
+        rows = moved
         sums = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*named, "a", "b").cast("decimal(38,0)"))).first()
         if tuple(sums) == before:
             break

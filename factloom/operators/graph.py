@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import schemas as S
+from factloom.components import components as connected
 from factloom.functions import text as T
 from factloom.operators.pairs import CandidateRules, Classifier, candidate_pairs, lexical_classifier
 from factloom.operators.temporal import supersession_edges
-from factloom.scale import GROUP_ROWS, SALTS, largest_group, salted_copies
+from factloom.scale import SALTS, salted_copies
 from factloom.session import cut_lineage
 
 PAIR = ["query_id", "a_id", "b_id"]
@@ -243,80 +243,11 @@ def induced(relations: DataFrame, selected: DataFrame) -> DataFrame:
 # --- components ---------------------------------------------------------------
 
 
-def components(
-    relations: DataFrame,
-    types: Sequence[str] | None = None,
-    *,
-    group_rows: int = GROUP_ROWS,
-    max_rounds: int = 64,
-) -> DataFrame:
-    """Label every touched claim with the smallest claim id it is connected to.
-
-    Many small graphs need one grouped pass. A graph with more than
-    ``group_rows`` edge ends takes rounds of joins over the whole cluster.
-    """
-    ends = cut_lineage(both_ways(relations, types), "ends")
-    if largest_group(ends, ["query_id"]) <= group_rows:
-        return _grouped_components(ends)
-    return _component_rounds(ends, max_rounds)
-
-
-def _grouped_components(ends: DataFrame) -> DataFrame:
-    kind = ends.schema["query_id"].dataType.simpleString()
-
-    def label(rows: pd.DataFrame) -> pd.DataFrame:
-        head: dict[str, str] = {}
-
-        def find(x: str) -> str:
-            while head.setdefault(x, x) != x:
-                head[x] = head[head[x]]
-                x = head[x]
-            return x
-
-        for a, b in zip(rows["claim_id"], rows["neighbor_id"], strict=True):
-            low, high = sorted((find(a), find(b)))
-            head[high] = low
-        claims = list(head)
-        return pd.DataFrame(
-            {"query_id": rows["query_id"].iloc[0], "claim_id": claims, "component": [find(x) for x in claims]}
-        )
-
-    return ends.groupBy("query_id").applyInPandas(label, f"query_id {kind}, claim_id string, component string")
-
-
-def _component_rounds(ends: DataFrame, max_rounds: int) -> DataFrame:
-    """Smallest label among the neighbours, then the label's own label.
-
-    The neighbour minimum combines map-side, so hubs are harmless, and following
-    labels halves path lengths: long chains need logarithmically many rounds.
-    """
-    labels = ends.groupBy("query_id", "claim_id").agg(F.least("claim_id", F.min("neighbor_id")).alias("component"))
-    labels = cut_lineage(labels, "labels")
-    for _ in range(max_rounds):
-        around = (
-            ends.join(
-                labels.select("query_id", F.col("claim_id").alias("neighbor_id"), F.col("component").alias("_c")),
-                ["query_id", "neighbor_id"],
-            )
-            .groupBy("query_id", "claim_id")
-            .agg(F.min("_c").alias("_around"))
-        )
-        jump = labels.select("query_id", F.col("claim_id").alias("component"), F.col("component").alias("_jump"))
-        stepped = (
-            labels.join(around, ["query_id", "claim_id"])
-            .join(jump, ["query_id", "component"])
-            .select(
-                "query_id",
-                "claim_id",
-                F.least("component", "_around", "_jump").alias("_new"),
-                F.col("component").alias("_old"),
-            )
-        )
-        stepped = cut_lineage(stepped, "labels")
-        labels = stepped.select("query_id", "claim_id", F.col("_new").alias("component"))
-        if stepped.filter(F.col("_new") != F.col("_old")).isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+def components(relations: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
+    """Label every touched claim with the smallest claim id it is connected to."""
+    ends = both_ways(relations, types)
+    found = connected(ends, "claim_id", "neighbor_id", ("query_id",))
+    return found.select("query_id", F.col("node").alias("claim_id"), "component")
 
 
 def clusters(claims: DataFrame, relations: DataFrame, types: Sequence[str] | None = None) -> DataFrame:

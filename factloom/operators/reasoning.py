@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -14,8 +12,7 @@ from factloom import schemas as S
 from factloom.functions import text as T
 from factloom.functions.vectors import clamp01, logit, sigmoid
 from factloom.operators import graph as G
-from factloom.scale import GROUP_ROWS, largest_group
-from factloom.session import cut_lineage
+from factloom.session import cut_lineage, release
 
 KEY = ["query_id", "claim_id"]
 
@@ -146,8 +143,6 @@ class PropagationRules:
     contradiction_weight: float = 1.0
     lineage_discount: float = 0.25
     duplicate_discount: float = 0.0
-    fail_if_unsettled: bool = True
-    group_rows: int = GROUP_ROWS
 
 
 def message_weights(claims: DataFrame, relations: DataFrame, rules: PropagationRules) -> DataFrame:
@@ -206,100 +201,50 @@ def message_weights(claims: DataFrame, relations: DataFrame, rules: PropagationR
 def propagate(claims: DataFrame, relations: DataFrame, scores: DataFrame, rules: PropagationRules | None = None) -> DataFrame:
     """Damped fixed point of beliefs under support and contradiction.
 
-    Every query stops on its own, when its largest change falls below the
-    tolerance. Returns ``query_id, claim_id, belief, iterations, converged``.
-
-    Many small graphs are settled in one grouped pass each; a graph with more
-    than ``group_rows`` messages takes rounds of joins over the whole cluster.
+    Returns ``query_id, claim_id, belief, iterations, converged, error`` for every claim; one without a score starts at
+    0.5. Every query stops on its own when its largest change falls below the tolerance. A query that
+    does not settle keeps its last beliefs and names the fault in ``error``; the others are not touched by it.
+    The rounds are joins and combinable sums at every size.
     """
     rules = rules or PropagationRules()
     weights = cut_lineage(message_weights(claims, relations, rules), "weights")
-    start = F.least(F.greatest("initial_belief", F.lit(0.0)), F.lit(1.0))
-    state = scores.select(*KEY, logit(start, rules.logit_clamp).alias("base"), start.alias("belief"))
+    start = F.least(F.greatest(F.coalesce("initial_belief", F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
+    nodes = claims.select(*KEY).distinct().join(scores.select(*KEY, "initial_belief"), KEY, "left")
+    state = nodes.select(
+        *KEY, logit(start, rules.logit_clamp).alias("base"), start.alias("belief"), F.lit(0).alias("iterations"), F.lit(False).alias("converged")
+    )
     state = cut_lineage(state, "beliefs")
-    small = max(largest_group(weights, ["query_id"]), largest_group(state, ["query_id"])) <= rules.group_rows
-    settled = _grouped_rounds(state, weights, rules) if small else _joined_rounds(state, weights, rules)
-    result = settled.select(*KEY, clamp01(F.col("belief")).alias("belief"), "iterations", "converged")
-    if rules.fail_if_unsettled:
-        message = F.lit(f"belief propagation did not settle within {rules.max_iterations} iterations")
-        checked = F.when(F.col("converged"), F.col("converged")).otherwise(F.raise_error(message).cast("boolean"))
-        result = result.withColumn("converged", checked)
-    return result
-
-
-def _grouped_rounds(state: DataFrame, weights: DataFrame, rules: PropagationRules) -> DataFrame:
-    kind = state.schema["query_id"].dataType.simpleString()
-
-    def settle(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values("claim_id")
-        place = pd.Index(nodes["claim_id"])
-        edges = edges.sort_values(["claim_id", "sender"])
-        to, sender = place.get_indexer(edges["claim_id"]), place.get_indexer(edges["sender"])
-        weight = edges["weight"].to_numpy()
-        base, belief = nodes["base"].to_numpy(), nodes["belief"].to_numpy()
-        rounds, converged = 0, False
-        while rounds < rules.max_iterations and not converged:
-            net = base + np.bincount(to, weight * 2.0 * (belief[sender] - 0.5), len(belief))
-            target = 1.0 / (1.0 + np.exp(-np.clip(net, -rules.logit_clamp, rules.logit_clamp)))
-            after = rules.damping * belief + (1.0 - rules.damping) * target
-            rounds, converged = rounds + 1, bool(np.abs(after - belief).max() < rules.tolerance)
-            belief = after
-        return pd.DataFrame(
-            {
-                "query_id": nodes["query_id"],
-                "claim_id": nodes["claim_id"],
-                "belief": belief,
-                "iterations": rounds,
-                "converged": converged,
-            }
-        )
-
-    schema = f"query_id {kind}, claim_id string, belief double, iterations int, converged boolean"
-    return state.groupBy("query_id").cogroup(weights.groupBy("query_id")).applyInPandas(settle, schema)
-
-
-def _joined_rounds(state: DataFrame, weights: DataFrame, rules: PropagationRules) -> DataFrame:
-    state = state.withColumn("iterations", F.lit(0)).withColumn("converged", F.lit(False))
     for _ in range(rules.max_iterations):
-        # the step reads its input several times, so each one starts from files
-        state = cut_lineage(_step(state, weights, rules), "beliefs")
+        moved = cut_lineage(_step(state, weights, rules), "beliefs")
+        release(state)
+        state = moved
         if state.filter(~F.col("converged")).isEmpty():
             break
-    return state
+    message = F.lit(f"belief propagation did not settle within {rules.max_iterations} iterations")
+    error = F.when(~F.col("converged"), message)
+    return state.select(*KEY, clamp01(F.col("belief")).alias("belief"), "iterations", "converged", error.alias("error"))
 
 
 def _step(state: DataFrame, weights: DataFrame, rules: PropagationRules) -> DataFrame:
-    """One synchronous update of every query that has not settled."""
-    sent = state.select("query_id", F.col("claim_id").alias("sender"), (2 * (F.col("belief") - 0.5)).alias("_signed"))
-    inbox = (
-        weights.join(sent, ["query_id", "sender"])
-        .groupBy(*KEY)
-        .agg(F.sum(F.col("weight") * F.col("_signed")).alias("_net"))
-    )
+    """One synchronous update of every query that has not settled; settled ones send no messages."""
+    active = state.filter(~F.col("converged"))
+    sent = active.select("query_id", F.col("claim_id").alias("sender"), (2 * (F.col("belief") - 0.5)).alias("_signed"))
+    inbox = weights.join(sent, ["query_id", "sender"]).groupBy(*KEY).agg(F.sum(F.col("weight") * F.col("_signed")).alias("_net"))
     target = sigmoid(F.col("base") + F.coalesce("_net", F.lit(0.0)), rules.logit_clamp)
-    moved = cut_lineage(
-        state.join(inbox, KEY, "left").withColumn(
-            "_next", rules.damping * F.col("belief") + (1 - rules.damping) * target
-        ),
-        "moved",
-    )
-    # the largest change of a query is a two-phase aggregate, so a query with very
-    # many claims is not gathered in one task as a window over it would
+    moved = active.join(inbox, KEY, "left").withColumn("_next", rules.damping * F.col("belief") + (1 - rules.damping) * target)
+    # the largest change of a query is a two-phase aggregate, so a query with very many claims is not gathered
     change = moved.groupBy("query_id").agg(F.max(F.abs(F.col("_next") - F.col("belief"))).alias("_delta"))
-    active = ~F.col("converged")
-    return moved.join(change, "query_id").select(
-        *KEY,
-        "base",
-        F.when(active, F.col("_next")).otherwise(F.col("belief")).alias("belief"),
-        (F.col("iterations") + active.cast("int")).alias("iterations"),
-        (F.col("converged") | (F.col("_delta") < rules.tolerance)).alias("converged"),
+    after = moved.join(change, "query_id").select(
+        *KEY, "base", F.col("_next").alias("belief"), (F.col("iterations") + 1).alias("iterations"), (F.col("_delta") < rules.tolerance).alias("converged")
     )
+    return after.unionByName(state.filter("converged"))
 
 
 def keep_initial(scores: DataFrame) -> DataFrame:
     """The baseline without propagation."""
     return scores.select(
-        *KEY, F.col("initial_belief").alias("belief"), F.lit(0).alias("iterations"), F.lit(True).alias("converged")
+        *KEY, F.col("initial_belief").alias("belief"), F.lit(0).alias("iterations"), F.lit(True).alias("converged"),
+        F.lit(None).cast("string").alias("error"),
     )
 
 

@@ -6,16 +6,16 @@ Result rows have ``variant, seed, example_id, failed, error`` and either a
 
 from __future__ import annotations
 
-import random
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import metrics as M
-from factloom.scale import exact_quantiles, lookup_join, running_total, within_rows
+from factloom.scale import exact_quantiles, running_total
 
 
 def long_metrics(results: DataFrame) -> DataFrame:
@@ -184,6 +184,22 @@ def comparison(aligned: DataFrame) -> DataFrame:
     )
 
 
+#: A Mersenne prime; draws are whole numbers below it, so that other engines can repeat them exactly.
+DRAWS = (1 << 31) - 1
+
+
+def poisson_steps() -> list[int]:
+    """Draws from which on a row counts at least 1, 2, ... times; all that a draw below ``DRAWS`` can reach."""
+    steps, total, term, k = [], 0.0, math.exp(-1.0), 0
+    while True:
+        total += term
+        if int(total * DRAWS) >= DRAWS:
+            return steps
+        steps.append(int(total * DRAWS))
+        k += 1
+        term /= k
+
+
 def bootstrap_ci(
     values: DataFrame,
     keys: Sequence[str],
@@ -193,51 +209,52 @@ def bootstrap_ci(
     samples: int = 1000,
     seed: int = 0,
     confidence: float = 0.95,
-    group_rows: int = 20_000,
 ) -> DataFrame:
-    """Percentile bootstrap interval of the mean per group.
+    """Percentile bootstrap interval of the mean per group, by one estimator at every size.
 
-    Groups of a checked size draw from the seeded generator, in ``order``, and so
-    repeat a published interval exactly. Larger groups weight each row per
-    replicate with a hash-seeded Poisson count: that resamples with replacement
-    too, but as a plain sum that combines map-side.
+    In replicate b a row counts as often as a Poisson(1) draw says, which resamples with replacement. The draw is x^5
+    modulo ``DRAWS`` with x = (p + b q), where p and q come from the digest of the seed and ``order`` (unique within
+    a group). Each task sums its rows' replicates, so nothing but sums is shuffled: ``samples`` rows per group and task.
     """
     keys = list(keys)
-    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows = lookup_join(values, sizes, keys, small_is_bounded=within_rows(sizes), salt_by=F.col(order))
-    small = rows.filter(F.col("_n") <= group_rows).drop("_n")
-    large = rows.filter(F.col("_n") > group_rows).drop("_n")
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(order).cast("string")))
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") % DRAWS
+    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    rows = values.filter(F.col(value).isNotNull())
+    drawn = rows.select(group.alias("group"), part(1).alias("p"), part(9).alias("q"), F.col(value).cast("double").alias("v"))
+    steps = np.array(poisson_steps())
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(samples, dtype=np.int64)
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            group, p, q, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("group", "p", "q", "v"))
+            names, at = np.unique(group.astype(str), return_inverse=True)
+            for low in range(0, len(v), 2000):
+                cut = slice(low, low + 2000)
+                x = (p[cut, None] + number * q[cut, None]) % DRAWS
+                x4 = x * x % DRAWS
+                x4 = x4 * x4 % DRAWS
+                times = np.searchsorted(steps, x4 * x % DRAWS, "right")
+                for g in np.unique(at[cut]).tolist():
+                    own = at[cut] == g
+                    total = sums.setdefault(names[g], np.zeros((2, samples)))
+                    total += np.stack([times[own].sum(axis=0), (times[own] * v[cut][own, None]).sum(axis=0)])
+            if len(sums) * samples > 4_000_000:  # many groups: hand over what is there
+                yield from flush(sums, number)
+        yield from flush(sums, number)
+
+    def flush(sums: dict[str, np.ndarray], number: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for name, total in sums.items():
+            yield pa.RecordBatch.from_pydict({"group": pa.array([name] * len(number)), "b": number, "n": total[0], "s": total[1]})
+        sums.clear()
+
+    sums = drawn.mapInArrow(replicate, "group string, b bigint, n double, s double").groupBy("group", "b")
+    means = sums.agg((F.sum("s") / F.sum("n")).alias("m")).filter(F.col("m").isNotNull())
     alpha = (1 - confidence) / 2
-    types = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in keys)
-
-    def drawn(group: pd.DataFrame) -> pd.DataFrame:
-        data = group.sort_values(order)[value].to_numpy(dtype="float64")
-        rng, n = random.Random(seed), len(group)
-        means = [data[[rng.randrange(n) for _ in range(n)]].mean() for _ in range(samples)]
-        low, high = np.percentile(means, [alpha * 100, (1 - alpha) * 100])
-        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "n": [n], "ci_low": [low], "ci_high": [high]})
-
-    exact = small.groupBy(*keys).applyInPandas(drawn, f"{types}, n int, ci_low double, ci_high double")
-    if sizes.filter(F.col("_n") > group_rows).isEmpty():
-        return exact
-    return exact.unionByName(_poisson_ci(large, keys, value, order, samples, seed, alpha))
-
-
-def _poisson_ci(values: DataFrame, keys: list[str], value: str, order: str, samples: int, seed: int, alpha: float) -> DataFrame:
-    replicates = F.explode(F.sequence(F.lit(1), F.lit(samples)))
-    uniform = F.pmod(F.xxhash64(F.lit(seed), "_b", order), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # inverse of the Poisson(1) distribution function
-    steps, total, term = [], 0.0, float(np.exp(-1.0))
-    for k in range(12):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    weight = F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= F.col("_u")))
-    weighted = values.withColumn("_b", replicates).withColumn("_u", uniform).withColumn("_w", weight)
-    means = weighted.groupBy(*keys, "_b").agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias("_m"))
-    return means.groupBy(*keys).agg(
-        F.percentile("_m", F.lit(alpha)).alias("ci_low"), F.percentile("_m", F.lit(1 - alpha)).alias("ci_high")
-    ).join(values.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n")), keys).select(*keys, "n", "ci_low", "ci_high")
+    ends = means.groupBy("group").agg(F.percentile("m", F.lit(alpha)).alias("ci_low"), F.percentile("m", F.lit(1 - alpha)).alias("ci_high"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("group", group)
+    return sizes.join(ends, "group").select(*keys, "n", "ci_low", "ci_high")
 
 
 def best_by_mean(rows: DataFrame, keys: Sequence[str], candidate: str, value: str) -> DataFrame:

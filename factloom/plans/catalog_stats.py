@@ -244,14 +244,32 @@ def paired_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(stats.comparison(both), "mean_a", "mean_b", "mean_delta")
 
 
-@query("bootstrap_interval")
+_STEPS = "[" + ", ".join(map(str, stats.poisson_steps())) + "]"
+_DIGEST = "CAST('0x' || substr(md5('0:' || o.example_id), {at}, 8) AS BIGINT) % 2147483647"
+
+
+@query(
+    "bootstrap_interval",
+    _r(
+        """SELECT variant, CAST(max(n) AS INT) AS n, round(quantile_cont(mean, 0.025), 4) AS ci_low, round(quantile_cont(mean, 0.975), 4) AS ci_high
+FROM means GROUP BY variant""",
+        _MEANS,
+        f"""d AS (SELECT o.variant, a.value - o.value AS delta, {_DIGEST.format(at=1)} AS p, {_DIGEST.format(at=9)} AS q
+FROM m o JOIN m a ON a.example_id = o.example_id AND a.variant = '1-URGENT' AND o.variant <> '1-URGENT')""",
+        "x1 AS (SELECT variant, delta, b, (p + b * q) % 2147483647 AS x FROM d, range(1000) r(b))",
+        "x2 AS (SELECT *, x * x % 2147483647 AS y FROM x1)",
+        "x4 AS (SELECT *, y * y % 2147483647 AS z FROM x2)",
+        f"t AS (SELECT variant, delta, b, len(list_filter({_STEPS}, lambda s: s <= z * x % 2147483647)) AS t FROM x4)",
+        "means AS (SELECT variant, b, count(*) AS n, sum(t * delta) / nullif(sum(t), 0) AS mean FROM t GROUP BY variant, b)",
+    ),
+)
 def bootstrap_interval(spark: SparkSession, folder: str) -> DataFrame:
     """Interval of the paired delta between the first variant and each other."""
     means = cut_lineage(_means(spark, folder), "means")
     first = means.filter(F.col("variant") == "1-URGENT").select("example_id", F.col("value").alias("a"))
     pairs = means.filter(F.col("variant") != "1-URGENT").join(first, "example_id")
     deltas = pairs.select("variant", "example_id", (F.col("a") - F.col("value")).alias("delta"))
-    return stats.bootstrap_ci(deltas, ["variant"], "delta", "example_id")
+    return _rounded(stats.bootstrap_ci(deltas, ["variant"], "delta", "example_id"), "ci_low", "ci_high")
 
 
 @query(

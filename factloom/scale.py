@@ -11,7 +11,6 @@ from pyspark.sql.window import Window as W
 BROADCAST_ROWS = 200_000
 SALTS = 32
 ORDER_BUCKETS = 64
-GROUP_ROWS = 100_000
 
 
 def within_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -19,12 +18,6 @@ def within_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; decides between a grouped function and a loop."""
-    top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return top or 0
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-repartition a scan that arrives in fewer splits than there are cores.
 

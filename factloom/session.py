@@ -58,4 +58,15 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.cut_path = path
+    return back
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a table from ``cut_lineage`` that a later cut has replaced."""
+    path = getattr(df, "cut_path", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

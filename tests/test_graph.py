@@ -24,8 +24,7 @@ def relations(spark, *rows):
     return spark.createDataFrame([("q", f"r{i}", a, b, kind, c, "", "") for i, (a, b, kind, c) in enumerate(rows)], S.RELATIONS)
 
 
-@pytest.mark.parametrize("group_rows", [10**6, 0])
-def test_components_on_random_graphs(spark, group_rows):
+def test_components_on_random_graphs(spark):
     rng = random.Random(3)
     nodes = [f"n{i:02d}" for i in range(40)]
     edges = [(nodes[i], nodes[i + 1]) for i in range(12)] + [tuple(rng.sample(nodes, 2)) for _ in range(12)]
@@ -33,7 +32,7 @@ def test_components_on_random_graphs(spark, group_rows):
     for _ in nodes:
         for a, b in edges:
             head[a] = head[b] = min(head[a], head[b])
-    found = graph.components(relations(spark, *[(a, b, S.SUPPORT, 1.0) for a, b in edges]), group_rows=group_rows)
+    found = graph.components(relations(spark, *[(a, b, S.SUPPORT, 1.0) for a, b in edges]))
     touched = {x for e in edges for x in e}
     assert {r.claim_id: r.component for r in found.collect()} == {n: head[n] for n in touched}
 
@@ -160,18 +159,25 @@ def test_published_trace(spark):
     ctx = selection.context(table, edges, board, asked, conflicts, selection.Objective())
     picked = [r.claim_id for r in selection.select_greedy(ctx, selection.Budget()).collect()]
     assert sorted(picked) == ["c1", "c2", "c3", "c4"]
-    one_step = reasoning.PropagationRules(group_rows=0, max_iterations=2, fail_if_unsettled=False)
-    joined = {r.claim_id: r.belief for r in reasoning.propagate(table, edges, scores, one_step).collect()}
-    again = reasoning.PropagationRules(max_iterations=2, fail_if_unsettled=False)
-    grouped = {r.claim_id: r.belief for r in reasoning.propagate(table, edges, scores, again).collect()}
-    assert joined == pytest.approx(grouped)
 
 
-def test_propagation_reports_unsettled_graphs(spark):
+def test_propagation_reports_unsettled_graphs_and_keeps_the_others(spark):
     asked, table, edges = builtin.reasoning_demo(spark)
     scores = reasoning.initial_scores(table, edges, asked)
-    with pytest.raises(Exception, match="did not settle"):
-        reasoning.propagate(table, edges, scores, reasoning.PropagationRules(max_iterations=1)).collect()
+    rows = reasoning.propagate(table, edges, scores, reasoning.PropagationRules(max_iterations=2)).collect()
+    assert all("did not settle" in r.error and not r.converged for r in rows) and len(rows) == 4
+    alone = table.withColumn("query_id", F.lit("other"))
+    both = scores.unionByName(scores.withColumn("query_id", F.lit("other")))
+    rows = reasoning.propagate(table.unionByName(alone), edges, both, reasoning.PropagationRules(max_iterations=2)).collect()
+    assert {(r.query_id, r.converged, r.iterations) for r in rows if r.query_id == "other"} == {("other", True, 1)}
+
+
+def test_claims_without_a_score_start_at_one_half(spark):
+    table = claims(spark, ("q", "a", "x y", "s0"), ("q", "b", "x z", "s1"), ("q", "z", "x w", "s2"))
+    edges = relations(spark, ("b", "a", S.SUPPORT, 0.9))
+    scores = spark.createDataFrame([("q", "a", 0.6), ("q", "z", 0.99)], "query_id string, claim_id string, initial_belief double")
+    found = {r.claim_id: (round(r.belief, 4), r.iterations) for r in reasoning.propagate(table, edges, scores).collect()}
+    assert found == {"a": (0.6, 1), "b": (0.5, 1), "z": (0.99, 1)}
 
 
 def test_repeated_source_counts_less_than_independent_ones(spark):

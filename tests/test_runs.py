@@ -1,4 +1,5 @@
 import json
+import hashlib
 import random
 
 import pytest
@@ -146,16 +147,26 @@ def test_quantiles_and_running_totals_under_skew(spark):
     assert [r.n for r in placed] == list(range(len(placed)))
 
 
-def test_bootstrap_exact_and_large_group_paths(spark):
+def test_bootstrap_repeats_its_definition(spark):
     rng = random.Random(9)
-    rows = [("m", i, rng.gauss(1.0, 1.0)) for i in range(300)]
+    rows = [("m", i, rng.gauss(1.0, 1.0)) for i in range(300)] + [("one", 1, 2.5), ("none", 1, None)]
     table = spark.createDataFrame(rows, "k string, id int, v double")
-    exact = stats.bootstrap_ci(table, ["k"], "v", "id", samples=200).first()
-    data, gen = [r[2] for r in rows], random.Random(0)
-    means = sorted(sum(data[gen.randrange(300)] for _ in range(300)) / 300 for _ in range(200))
-    assert exact.ci_low == pytest.approx(means[4] + (means[5] - means[4]) * 0.975, abs=1e-9)
-    large = stats.bootstrap_ci(table, ["k"], "v", "id", samples=200, group_rows=0).first()
-    assert large.ci_low == pytest.approx(exact.ci_low, abs=0.06) and large.ci_high == pytest.approx(exact.ci_high, abs=0.06)
+    found = {r.k: r for r in stats.bootstrap_ci(table.repartition(7), ["k"], "v", "id", samples=200).collect()}
+    prime, steps = stats.DRAWS, stats.poisson_steps()
+    means = []
+    for b in range(200):
+        times, total = 0, 0.0
+        for _, i, v in rows[:300]:
+            digest = hashlib.md5(f"0:{i}".encode()).hexdigest()
+            x = (int(digest[:8], 16) % prime + b * (int(digest[8:16], 16) % prime)) % prime
+            n = sum(s <= pow(x, 5, prime) for s in steps)
+            times, total = times + n, total + n * v
+        means.append(total / times)
+    means.sort()
+    assert found["m"].ci_low == pytest.approx(means[4] + (means[5] - means[4]) * 0.975, abs=1e-9)
+    mean = sum(r[2] for r in rows[:300]) / 300
+    assert abs(found["m"].ci_high - mean - 1.96 / 300**0.5) < 0.05 and found["m"].n == 300
+    assert found["one"].ci_low == found["one"].ci_high == 2.5 and "none" not in found
 
 
 def test_stratified_sample_fills_up(spark):
