@@ -118,4 +118,4 @@ STATUS_HEADINGS = {
     "superseded": "SUPERSEDED EVIDENCE (older; cite only with explicit context)",
     "rejected": "REJECTED EVIDENCE (do not rely on or cite as accepted)",
 }
-NO_EVIDENCE_ANSWER = "No supported evidence was found to answer the query."
+NO_EVIDENCE_ANSWER = "Nothing was selected that answers the query."

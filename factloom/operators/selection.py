@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,111 +95,127 @@ def _picked_schema(ctx: DataFrame) -> str:
     return _PICKED.format(kind=ctx.schema["query_id"].dataType.simpleString())
 
 
-class _Candidates:
-    """One query's claims, best base value first, with the marginal gain rule."""
+@dataclass
+class _Path:
+    """A partial selection: claims in order of choice, what they cover, cost and summed gains."""
+
+    claims: list[int]
+    chosen: np.ndarray
+    covered: np.ndarray
+    sources: np.ndarray
+    cost: int = 0
+    value: float = 0.0
+
+
+class _Board:
+    """One query's claims as arrays, largest base value first; rows of the matrices are the candidates."""
 
     def __init__(self, rows: pd.DataFrame, goal: Objective) -> None:
-        self.goal = goal
-        rows = rows.sort_values(["base", "claim_id"], ascending=[False, True])
-        self.order = rows["claim_id"].tolist()
-        self.by_id = {
-            r.claim_id: {
-                "base": r.base, "tokens": r.tokens, "source": r.source_id, "open": r.open,
-                "covers": set(r.covers), "supporters": set(r.supporters), "opponents": set(r.opponents),
-                "duplicates": set(r.duplicates), "linked": set(r.linked),
-            }
-            for r in rows.itertuples()
-        }
-        self.query_terms = int(rows["query_terms"].iloc[0])
-
-    def gain(self, claim: str, chosen: set, covered: set, sources: set) -> float:
-        c, g = self.by_id[claim], self.goal
-        value = c["base"]
-        if self.query_terms:
-            value += g.coverage * (len(c["covers"] - covered) / self.query_terms)
-        value += g.coherence if c["supporters"] & chosen else 0.0
-        value += -g.lineage if c["source"] in sources else g.independence
-        facing = bool(c["opponents"] & chosen)
-        value += g.uncertainty if facing else 0.0
-        value -= g.redundancy if c["duplicates"] & chosen else 0.0
-        value -= g.unresolved if c["open"] and not facing else 0.0
-        return value
-
-    def total(self, path: tuple) -> float:
-        chosen, covered, sources, value = set(), set(), set(), 0.0
-        for claim in path:
-            value += self.gain(claim, chosen, covered, sources)
-            chosen.add(claim)
-            covered |= self.by_id[claim]["covers"]
-            sources.add(self.by_id[claim]["source"])
-        return value
-
-
-def _greedy(c: _Candidates, available: int) -> list[tuple[str, float, str]]:
-    seed = next((x for x in c.order if c.by_id[x]["tokens"] <= available), None)
-    if seed is None:
+        rows = rows.sort_values(["base", "claim_id"], ascending=[False, True]).reset_index(drop=True)
+        self.goal, self.ids = goal, rows["claim_id"].to_numpy(str)
+        self.base, self.tokens, self.open = rows["base"].to_numpy(float), rows["tokens"].to_numpy(int), rows["open"].to_numpy(bool)
+        self.by_id = np.argsort(np.argsort(self.ids))
+        terms = sorted({t for own in rows["covers"] for t in own})
+        self.covers = self._incidence(rows["covers"], terms)
+        self.query_terms = max(int(rows["query_terms"].iloc[0]), 1)
+        self.source = pd.factorize(rows["source_id"])[0]
+        self.linked, self.support, self.against, self.same = (
+            self._incidence(rows[c], self.ids) for c in ("linked", "supporters", "opponents", "duplicates")
+        )
+
+    @staticmethod
+    def _incidence(lists: pd.Series, names) -> np.ndarray:
+        place = {name: k for k, name in enumerate(names)}
+        out = np.zeros((len(lists), len(place)), bool)
+        for row, own in enumerate(lists):
+            out[row, [place[x] for x in own if x in place]] = True
+        return out
+
+    def start(self) -> _Path:
+        n = len(self.ids)
+        return _Path([], np.zeros(n, bool), np.zeros(self.covers.shape[1], bool), np.zeros(self.source.max() + 1, bool))
+
+    def gains(self, path: _Path) -> np.ndarray:
+        """What every claim would add to the path."""
+        g = self.goal
+        facing = (self.against & path.chosen).any(axis=1)
+        fresh = (self.covers & ~path.covered).sum(axis=1) / self.query_terms
+        signs = np.stack(
+            [
+                self.base, g.coverage * fresh,
+                np.where((self.support & path.chosen).any(axis=1), g.coherence, 0.0),
+                np.where(path.sources[self.source], -g.lineage, g.independence),
+                np.where(facing, g.uncertainty, 0.0),
+                np.where((self.same & path.chosen).any(axis=1), -g.redundancy, 0.0),
+                np.where(self.open & ~facing, -g.unresolved, 0.0),
+            ]
+        )
+        return signs.sum(axis=0)
+
+    def reachable(self, path: _Path, available: int) -> np.ndarray:
+        """Claims outside the path that touch it and still fit."""
+        return (self.linked & path.chosen).any(axis=1) & ~path.chosen & (path.cost + self.tokens <= available)
+
+    def extended(self, path: _Path, claim: int, gain: float) -> _Path:
+        chosen, sources = path.chosen.copy(), path.sources.copy()
+        chosen[claim] = sources[self.source[claim]] = True
+        return _Path(
+            [*path.claims, claim], chosen, path.covered | self.covers[claim], sources, path.cost + int(self.tokens[claim]), path.value + float(gain)
+        )
+
+
+Picked = list[tuple[str, float, str]]
+
+
+def _greedy(board: _Board, available: int) -> Picked:
+    affordable = np.flatnonzero(board.tokens <= available)
+    if not len(affordable):
         return []
-    picked = [(seed, c.by_id[seed]["base"], "seed: highest base value")]
-    chosen, covered, sources = {seed}, set(c.by_id[seed]["covers"]), {c.by_id[seed]["source"]}
-    used = c.by_id[seed]["tokens"]
+    first = int(affordable[0])
+    path = board.extended(board.start(), first, board.base[first])
+    picked = [(board.ids[first], float(board.base[first]), "first: largest base value that fits")]
     while True:
-        options = [
-            (-c.gain(x, chosen, covered, sources), x)
-            for x in c.order
-            if x not in chosen and used + c.by_id[x]["tokens"] <= available and c.by_id[x]["linked"] & chosen
-        ]
-        best = min(options, default=None)
-        if best is None or -best[0] <= 0.0:
+        gains = np.where(board.reachable(path, available), board.gains(path), -np.inf)
+        if not gains.max() > 0:
             break
-        gain, claim = -best[0], best[1]
-        picked.append((claim, gain, "selected: positive marginal gain"))
-        chosen.add(claim)
-        covered |= c.by_id[claim]["covers"]
-        sources.add(c.by_id[claim]["source"])
-        used += c.by_id[claim]["tokens"]
-    for claim, _, _ in list(picked):
-        if not c.by_id[claim]["open"]:
-            continue
-        for other in sorted(c.by_id[claim]["opponents"] - chosen):
-            if used + c.by_id[other]["tokens"] <= available:
-                picked.append((other, c.goal.uncertainty, "retained: explains unresolved contradiction"))
-                chosen.add(other)
-                used += c.by_id[other]["tokens"]
+        ties = np.flatnonzero(gains == gains.max())
+        claim = int(ties[board.by_id[ties].argmin()])
+        picked.append((board.ids[claim], float(gains[claim]), "added: gain above zero"))
+        path = board.extended(path, claim, gains[claim])
+    # an open question shows both of its sides, as far as they fit
+    for claim in [c for c in path.claims if board.open[c]]:
+        sides = np.flatnonzero(board.against[claim])
+        for other in sides[board.by_id[sides].argsort()].tolist():
+            if not path.chosen[other] and path.cost + board.tokens[other] <= available:
+                picked.append((board.ids[other], board.goal.uncertainty, "kept: other side of an open contradiction"))
+                path = board.extended(path, other, board.goal.uncertainty)
     return picked
 
 
-def _beam(c: _Candidates, available: int) -> list[tuple[str, float, str]]:
-    width = c.goal.beam_width
-    beam = [(x,) for x in c.order if c.by_id[x]["tokens"] <= available][:width]
-    if not beam:
-        return []
-    best = max(beam, key=lambda path: (c.total(path), path))
-    best_value = c.total(best)
-    while True:
-        longer = []
-        for path in beam:
-            used = sum(c.by_id[x]["tokens"] for x in path)
-            here = set(path)
-            longer += [
-                (*path, x)
-                for x in c.order
-                if x not in here and used + c.by_id[x]["tokens"] <= available and c.by_id[x]["linked"] & here
-            ]
-        if not longer:
-            break
-        beam = sorted(longer, key=lambda path: (-c.total(path), tuple(sorted(path))))[:width]
-        value = c.total(beam[0])
-        if value <= best_value:
+def _beam(board: _Board, available: int) -> Picked:
+    """Paths grow by one claim a round; the search ends when the best longer path is no better than the best so far."""
+    empty = board.start()
+    alone = board.gains(empty)
+    paths = [board.extended(empty, int(c), alone[c]) for c in np.flatnonzero(board.tokens <= available)[: board.goal.beam_width]]
+    best = max(paths, key=lambda p: (p.value, [board.ids[c] for c in p.claims]), default=None)
+    while paths:
+        grown = []
+        for path in paths:
+            gains = board.gains(path)
+            grown += [(path, int(c), path.value + float(gains[c])) for c in np.flatnonzero(board.reachable(path, available))]
+        grown.sort(key=lambda x: (-x[2], sorted(board.ids[c] for c in (*x[0].claims, x[1]))))
+        paths = [board.extended(path, c, total - path.value) for path, c, total in grown[: board.goal.beam_width]]
+        if not paths or paths[0].value <= best.value:
             break
-        best, best_value = beam[0], value
-    return [(x, c.by_id[x]["base"], "selected by beam search") for x in best]
+        best = paths[0]
+    return [(board.ids[c], float(board.base[c]), "on the best path found") for c in best.claims] if best else []
 
 
 def _sequential(ctx: DataFrame, budget: Budget, goal: Objective, rule) -> DataFrame:
     available = budget.available
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        picked = rule(_Candidates(rows, goal), available)
+        picked = rule(_Board(rows, goal), available)
         return pd.DataFrame(
             {
                 "query_id": [rows["query_id"].iloc[0]] * len(picked),

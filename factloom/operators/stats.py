@@ -250,7 +250,7 @@ def bootstrap_ci(
         sums.clear()
 
     sums = drawn.mapInArrow(replicate, "group string, b bigint, n double, s double").groupBy("group", "b")
-    means = sums.agg((F.sum("s") / F.sum("n")).alias("m")).filter(F.col("m").isNotNull())
+    means = sums.agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m")).filter(F.col("m").isNotNull())
     alpha = (1 - confidence) / 2
     ends = means.groupBy("group").agg(F.percentile("m", F.lit(alpha)).alias("ci_low"), F.percentile("m", F.lit(1 - alpha)).alias("ci_high"))
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("group", group)

@@ -619,7 +619,7 @@ def prefix_selection(spark: SparkSession, folder: str) -> DataFrame:
 _CITED = """
 picked AS (SELECT * FROM costed WHERE place = 0 OR used <= 192),
 answers AS (
-  SELECT query_id, 'Based on the supplied evidence ' || string_agg('[' || claim_id || ']', ' ' ORDER BY place) || ', here is the grounded answer.' AS answer,
+  SELECT query_id, 'The selected claims ' || string_agg('[' || claim_id || ']', ' ' ORDER BY place) || ' answer the query.' AS answer,
          string_agg(claim_id, '|' ORDER BY place) AS citations FROM picked GROUP BY 1
 )
 """
