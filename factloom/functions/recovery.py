@@ -2,33 +2,31 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: A quoted string, closed or running to the end, or a brace.
+_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)|[{}]', re.DOTALL)
+
+
 def _objects(text: str) -> tuple[list[dict], bool]:
-    """Top-level objects in ``text`` and whether one was left open."""
-    found, depth, start, quoted, escaped = [], 0, 0, False, False
-    for at, ch in enumerate(text):
-        if quoted:
-            quoted = escaped or ch != '"'
-            escaped = ch == "\\" and not escaped
-        elif ch == '"':
-            quoted = True
-        elif ch == "{":
-            start = at if depth == 0 else start
-            depth += 1
-        elif ch == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                try:
-                    found.append(json.loads(text[start : at + 1]))
-                except ValueError:
-                    pass
-    return found, depth > 0
+    """Valid objects among the outermost balanced braces, and whether braces stay open."""
+    found, opened = [], []
+    for token in _TOKENS.finditer(text):
+        if token.group() == "{":
+            opened.append(token.start())
+        elif token.group() == "}" and opened:
+            start = opened.pop()
+            if not opened:
+                with contextlib.suppress(ValueError):
+                    found.append(json.loads(text[start : token.end()]))
+    return found, bool(opened)
 
 
 def _recover(raw: str | None) -> tuple[str | None, bool, str | None]:
@@ -54,12 +52,18 @@ def _recover(raw: str | None) -> tuple[str | None, bool, str | None]:
 def recover_json(raw: Column) -> Column:
     """Struct of the object as JSON text, whether prose was cut away, and the error.
 
-    String-aware brace matching has no built-in counterpart, so this is an Arrow
-    batched function.
+    Flat clean objects are settled by built-in functions; only the rest, where braces must be matched around
+    strings, goes to Python in Arrow batches.
     """
 
     @F.pandas_udf("json string, recovered boolean, error string")
     def recover(values: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_recover(v) for v in values], columns=["json", "recovered", "error"])
 
-    return recover(raw)
+    text = F.regexp_replace(raw, r"^\s+|\s+$", "")
+    flat = F.regexp_like(text, F.lit(r"^\{[^{}]*\}$"))  # one pair of braces around everything
+    clean = flat & F.try_parse_json(text).isNotNull()
+    settled = F.coalesce(clean, F.lit(False))
+    python = recover(F.when(~settled, raw))
+    whole = F.struct(text.alias("json"), F.lit(False).alias("recovered"), F.lit(None).cast("string").alias("error"))
+    return F.when(settled, whole).otherwise(python)

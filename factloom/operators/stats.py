@@ -287,7 +287,7 @@ def stratified_sample(rows: DataFrame, stratum: str, row_id: str, quotas: dict[s
     """
     from factloom.scale import top_per_key
 
-    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), row_id))
+    hashed = rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(row_id).cast("string"))))
     biggest = max([*quotas.values(), size])
     near = top_per_key(hashed, [stratum], [F.asc("_h"), F.asc(row_id)], biggest, "_r")
     quota = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for q in quotas.items() for x in q]), F.col(stratum)), F.lit(0))

@@ -550,10 +550,11 @@ def induced_relations(spark: SparkSession, folder: str) -> DataFrame:
     "term_coverage",
     _sql(
         O.BELIEF,
-        f"""SELECT f.query_id, round(count(DISTINCT t)::DOUBLE / any_value(n), 6) AS coverage FROM (
-  SELECT f.query_id, unnest({O.token_set('c.text')}) AS t FROM filling f JOIN claims c ON c.query_id = f.query_id AND c.claim_id = f.claim_id WHERE f.kept
-) f JOIN (SELECT query_id, len({O.token_set('text')}) AS n, {O.token_set('text')} AS terms FROM queries) q ON q.query_id = f.query_id AND list_contains(q.terms, f.t)
-GROUP BY 1""",
+        f"""SELECT a.query_id, round(coalesce(h.covered, 0)::DOUBLE / greatest(len({O.token_set('q.text')}), 1), 6) AS coverage
+FROM (SELECT DISTINCT query_id FROM claims) a JOIN queries q ON q.query_id = a.query_id LEFT JOIN (
+  SELECT f.query_id, count(DISTINCT t) AS covered FROM (
+    SELECT f.query_id, unnest({O.token_set('c.text')}) AS t FROM filling f JOIN claims c ON c.query_id = f.query_id AND c.claim_id = f.claim_id WHERE f.kept
+  ) f JOIN queries q ON q.query_id = f.query_id AND list_contains({O.token_set('q.text')}, f.t) GROUP BY 1) h ON h.query_id = a.query_id""",
         _TOP,
     ),
 )
@@ -563,7 +564,7 @@ def term_coverage(spark: SparkSession, folder: str) -> DataFrame:
         selection.context(found.claims, r.relations, r.board, found.queries, r.conflicts, selection.Objective()), "context"
     )
     rows = selection.term_coverage(ctx, selection.select_top(ctx, selection.Budget()))
-    return rows.filter(F.col("coverage") > 0).select("query_id", F.round("coverage", 6).alias("coverage"))
+    return rows.select("query_id", F.round("coverage", 6).alias("coverage"))
 
 
 @query(

@@ -285,11 +285,15 @@ def best_baseline(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "seed_determinism",
-    _r("SELECT variant, status, count(DISTINCT seed) AS seeds, count(DISTINCT failed) <= 1 AS identical FROM r GROUP BY 1, 2"),
+    _r(
+        """SELECT variant, example_id, count(DISTINCT seed) AS seeds, count(DISTINCT {'f': failed, 'v': round(value, 2)}) <= 1 AS identical
+FROM r GROUP BY variant, example_id"""
+    ),
 )
 def seed_determinism(spark: SparkSession, folder: str) -> DataFrame:
+    """Do the seeds of a variant agree on an example's outcome and value?"""
     rows = results(spark, folder)
-    return stats.identical_across_seeds(rows, ["variant", "status"], "seed", F.col("failed"))
+    return stats.identical_across_seeds(rows, ["variant", "example_id"], "seed", F.struct("failed", F.round("value", 2).alias("value")))
 
 
 @query(
@@ -301,7 +305,13 @@ def parity_split(spark: SparkSession, folder: str) -> DataFrame:
     return stats.alternating_split(rows, "c_mktsegment", "c_custkey").select("c_custkey", "split")
 
 
-@query("stratified_sample")
+@query(
+    "stratified_sample",
+    """WITH q(lang, quota) AS (VALUES ('en', 55), ('fr', 25), ('de', 15)),
+h AS (SELECT doc_id, lang, md5('20260629:' || doc_id) AS h FROM documents),
+p AS (SELECT h.*, row_number() OVER (PARTITION BY h.lang ORDER BY h, doc_id) <= coalesce(quota, 0) AS within FROM h LEFT JOIN q ON q.lang = h.lang)
+SELECT doc_id, lang FROM p ORDER BY within DESC, h, doc_id LIMIT 100""",
+)
 def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select("doc_id", "lang")
     return stats.stratified_sample(rows, "lang", "doc_id", {"en": 55, "fr": 25, "de": 15}, 100, 20260629)

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from factloom.session import cut_lineage
+
 BROADCAST_ROWS = 200_000
 SALTS = 32
-ORDER_BUCKETS = 64
+#: Value ranges of a running total: enough for about RANGE_ROWS rows each.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1_000_000, 16, 512
 
 
 def within_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
@@ -18,20 +21,30 @@ def within_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-repartition a scan that arrives in fewer splits than there are cores.
+#: Input that one core reads in a few seconds.
+BYTES_PER_CORE = 32 << 20
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Deal a small scan over the cores by ``key``: a small file may be one split. Larger scans have splits enough."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan if size > cores * BYTES_PER_CORE else scan.repartition(cores, key)
 
-    A large table already has more file splits than cores and is left alone, and
-    so is the result of a join or aggregate: its shuffle has spread it, and asking
-    for its partitions would run it.
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """Add ``number``: the row's place in the order, from 0, without gathering the rows in one task.
+
+    Rows are sorted by ranges and written with their partition and place in it; the sizes of the partitions give
+    each one's first number.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(node in plan for node in ("Join", "Aggregate", "Window", "Sort", "Repartition")):
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
+    place = F.monotonically_increasing_id()
+    rows = df.orderBy(order).select("*", F.shiftright(place, 33).alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    rows = cut_lineage(rows, "numbered")
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
+    firsts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return rows.join(F.broadcast(firsts), "_part").withColumn("number", F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")
 
 
 def salted_copies(df: DataFrame, salts: int) -> DataFrame:
@@ -82,8 +95,6 @@ def running_total(
     order: str,
     weight: Column,
     out: str,
-    *,
-    buckets: int = ORDER_BUCKETS,
 ) -> DataFrame:
     """Add ``out``: the sum of ``weight`` over earlier rows of the same key.
 
@@ -91,8 +102,9 @@ def running_total(
     taken from the data, ranges are summed first, and the window only sorts
     inside one (key, range), so a key that holds most rows is still spread.
     """
+    buckets = min(MOST_RANGES, max(LEAST_RANGES, df.count() // RANGE_ROWS))
     probabilities = [i / buckets for i in range(1, buckets)]
-    bounds = df.select(F.percentile_approx(order, probabilities, F.lit(10_000)).alias("b")).first()["b"]
+    bounds = df.select(F.percentile_approx(order, probabilities, F.lit(10 * MOST_RANGES)).alias("b")).first()["b"]
     edges = sorted({float(b) for b in bounds}) if bounds else []
     bucket = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(order).cast("double"))) if edges else F.lit(0)
     rows = df.withColumn("_bucket", bucket).withColumn("_weight", weight)
@@ -113,6 +125,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
     """
     keys = list(keys)
     hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    hist = cut_lineage(hist, "histogram")  # read several times
     placed = running_total(hist, keys, value, F.col("_n"), "_before")
     totals = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     rows = placed.join(totals, keys)

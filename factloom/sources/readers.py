@@ -11,6 +11,7 @@ from pyspark.sql import types as TT
 from factloom import schemas as S
 from factloom.functions import fixed_values as V
 from factloom.functions import text as T
+from factloom.scale import numbered
 
 MAX_FILE_BYTES = 10 * 1024 * 1024
 
@@ -30,12 +31,8 @@ def text_folder(spark: SparkSession, path: str, *, max_bytes: int = MAX_FILE_BYT
         name.alias("title"),
         F.when(fits.isNull(), F.decode("content", "utf-8")).alias("text"),
     )
-    # zipWithIndex numbers the range-sorted names partition by partition
-    ordered = files.select(name.alias("title")).orderBy("title").rdd.zipWithIndex()
-    numbers = spark.createDataFrame(
-        ordered.map(lambda pair: (pair[0][0], f"doc-{pair[1]}")), "title string, document_id string"
-    )
-    return rows.join(numbers, "title").select(
+    numbers = numbered(files.select(name.alias("title")), "title").withColumn("document_id", F.concat(F.lit("doc-"), F.col("number").cast("string")))
+    return rows.join(numbers.drop("number"), "title").select(
         "document_id", T.strip(F.col("text")).alias("text"), F.regexp_replace("title", r"\.txt$", "").alias("source_id"), "title"
     )
 
