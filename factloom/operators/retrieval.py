@@ -31,35 +31,35 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.token_set(F.col("text"))).alias("term"))
 
 
-def term_statistics(passages: DataFrame, vocabulary: DataFrame, *, bounded: bool) -> DataFrame:
-    """Document frequency per vocabulary term; the empty term counts the corpus.
+def term_frequencies(passages: DataFrame, vocabulary: DataFrame, *, bounded: bool) -> DataFrame:
+    """passage_id, length, term, tf of the vocabulary's terms; the empty term stands for the passage itself.
 
-    One pass over the text whose shuffle holds a row per term and task at most.
+    One pass over the text. Tokens outside the vocabulary are dropped beside the scan and the others counted per task, so
+    the shuffle holds a row for each passage and vocabulary term that meet.
     """
-    found = T.tokens(F.col("text"))
-    rows = passages.select("passage_id", found.alias("_t")).select(
-        "passage_id",
-        F.size("_t").alias("length"),
+    rows = passages.select("passage_id", T.tokens(F.col("text")).alias("_t")).select(
+        "passage_id", F.size("_t").alias("length"),
         # the outer form keeps Spark from tokenizing again for a "not empty" filter
-        F.explode_outer(F.concat(F.array(F.lit("")), F.array_distinct("_t"))).alias("term"),
+        F.explode_outer(F.concat(F.array(F.lit("")), "_t")).alias("term"),
     )
     corpus = vocabulary.sparkSession.createDataFrame([("",)], "term string")
     wanted = vocabulary.select("term").union(corpus).distinct()
-    kept = lookup_join(rows, wanted, ["term"], small_is_bounded=bounded, salt_by=F.col("passage_id"))
-    return kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("total_length"))
+    kept = lookup_join(rows, wanted, ["term"], "left_semi", small_is_bounded=bounded, salt_by=F.col("passage_id"))
+    return kept.groupBy("passage_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_scores(passages: DataFrame, queries: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
     """Okapi BM25 of every passage that shares a term with a query.
 
-    Token lists are shuffled once, by passage. Term counts and scores are then
-    summed where a passage's tokens are, and the best k are cut per task: neither
-    terms nor (query, passage) pairs are shuffled again.
+    The term frequencies are written once; corpus statistics and scores both come from that table. Its rows are dealt
+    by passage, so scores are summed where a passage's terms are and (query, passage) pairs are not shuffled again.
     """
     terms = query_terms(queries)
     bounded = within_rows(terms)
-    # the table has one row per vocabulary term and is read three times below
-    statistics = cut_lineage(term_statistics(passages, terms.select("term").distinct(), bounded=bounded), "terms")
+    frequencies = cut_lineage(term_frequencies(passages, terms.select("term").distinct(), bounded=bounded), "frequencies")
+    # one row per vocabulary term, read three times below
+    statistics = frequencies.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("total_length"))
+    statistics = cut_lineage(statistics, "terms")
     corpus = statistics.filter(F.col("term") == "")
     n = corpus.select(F.col("df").cast("double")).scalar()
     mean_length = corpus.select(F.col("total_length") / F.col("df")).scalar()
@@ -70,13 +70,8 @@ def bm25_scores(passages: DataFrame, queries: DataFrame, *, k1: float = K1, b: f
         .withColumn("mean_length", mean_length)
         .select("query_id", "term", "mean_length", F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)).alias("idf"))
     )
-    tokens = passages.select("passage_id", T.tokens(F.col("text")).alias("_t")).repartition("passage_id")
-    rows = tokens.select("passage_id", F.size("_t").alias("length"), F.explode_outer("_t").alias("term"))
-    salt = F.col("passage_id")
-    wanted = statistics.select("term")
-    kept = lookup_join(rows, wanted, ["term"], "left_semi", small_is_bounded=bounded, salt_by=salt)
-    counts = kept.groupBy("passage_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    matched = lookup_join(counts, weights, ["term"], small_is_bounded=bounded, salt_by=salt)
+    counts = frequencies.filter(F.col("term") != "").repartition("passage_id")
+    matched = lookup_join(counts, weights, ["term"], small_is_bounded=bounded, salt_by=F.col("passage_id"))
     ratio = F.when(F.col("mean_length") > 0, F.col("length") / F.col("mean_length")).otherwise(F.lit(0.0))
     penalty = F.when(F.col("mean_length") > 0, k1 * (1 - b + b * ratio)).otherwise(F.lit(k1))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + penalty)
@@ -123,11 +118,10 @@ def lexical_top_k(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     sizes = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("_q"))
     wanted = terms.join(sizes, "query_id")
     own = T.token_set(F.col("text"))
-    rows = (
-        passages.select("passage_id", own.alias("_t"))
-        .repartition("passage_id")
-        .select("passage_id", F.size("_t").alias("_p"), F.explode_outer("_t").alias("term"))
-    )
+    rows = passages.select("passage_id", own.alias("_t")).select("passage_id", F.size("_t").alias("_p"), F.explode_outer("_t").alias("term"))
+    # only terms of queries are dealt by passage
+    known = terms.select("term").distinct()
+    rows = lookup_join(rows, known, ["term"], "left_semi", small_is_bounded=bounded, salt_by=F.col("passage_id")).repartition("passage_id")
     shared = (
         lookup_join(rows, wanted, ["term"], small_is_bounded=bounded, salt_by=F.col("passage_id"))
         .groupBy("query_id", "passage_id", "_p", "_q")
@@ -147,6 +141,10 @@ def lexical_top_k(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_per_key(best.unionByName(rest), ["query_id"], _ordered(), k, "rank")
 
 
+#: Query blocks, of ``block_rows`` rows each, that may be broadcast.
+BROADCAST_BLOCKS = 8
+
+
 def cosine_top_k(
     corpus: DataFrame,
     queries: DataFrame,
@@ -156,26 +154,71 @@ def cosine_top_k(
     vector_column: str = "embedding",
     block_rows: int = 4096,
 ) -> DataFrame:
-    """Exact cosine search: one matrix product per Arrow batch of the corpus.
+    """Exact cosine search: one matrix product per Arrow batch of the corpus and block of queries.
 
-    The query matrix is sent to the tasks in blocks of ``block_rows`` rows. Each
-    batch returns its best ``k`` rows per query, so neither all pairs nor whole
-    query groups are ever shuffled. More queries mean more blocks.
+    Query blocks are packed into rows on the executors and joined with packed batches of the corpus, which is read
+    once. A product returns its best ``k`` rows per query, so neither all pairs nor whole query groups are
+    shuffled. Up to ``BROADCAST_BLOCKS`` blocks are broadcast, more meet the batches by a join on the block.
     """
     total = queries.count()
     if total == 0 or k == 0:
         return _no_hits(corpus, queries, id_column)
     blocks = math.ceil(total / block_rows)
-    numbered = queries.select("query_id", vector_column).withColumn(
-        "_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    )
-    parts = [_cosine_block(corpus, numbered.filter(F.col("_block") == b), k, id_column, vector_column) for b in range(blocks)]
-    hits = parts[0]
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
+    id_type, query_type = corpus.schema[id_column].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    asked = queries.select("query_id", vector_column, F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+
+    def pack_queries(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("query_id")
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "query_ids": [rows["query_id"].tolist()], "asked": [_packed(rows[vector_column])]})
+
+    def pack_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not batch.empty:
+                batch = batch.sort_values(id_column, kind="stable")
+                yield pd.DataFrame({"ids": [batch[id_column].tolist()], "vectors": [_packed(batch[vector_column])]})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for ids, vectors, query_ids, matrix in zip(batch["ids"], batch["vectors"], batch["query_ids"], batch["asked"], strict=True):
+                yield _nearest(ids, vectors, query_ids, matrix, k, id_column)
+
+    packed = asked.groupBy("block").applyInPandas(pack_queries, f"block bigint, query_ids array<{query_type}>, asked binary")
+    packed = packed if blocks > BROADCAST_BLOCKS else F.broadcast(packed)
+    parts = corpus.select(id_column, vector_column).mapInPandas(pack_batches, f"ids array<{id_type}>, vectors binary")
+    parts = parts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    joined = parts.join(packed, "block").select("ids", "vectors", "query_ids", "asked")
+    hits = joined.mapInPandas(search, f"query_id {query_type}, {id_column} {id_type}, score double")
     return top_per_key(hits, ["query_id"], _ordered(key=id_column), k, "rank")
 
 
+def _packed(vectors: pd.Series) -> bytes:
+    """Rows of unit length, the row length in front."""
+    matrix = np.array([np.asarray(v, dtype="float64") for v in vectors])
+    return np.int64(matrix.shape[1]).tobytes() + _unit_rows(matrix).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "float64", offset=8).reshape(-1, int(np.frombuffer(data, "int64", 1)[0]))
+
+
+def _nearest(ids, vectors: bytes, query_ids, asked: bytes, k: int, id_column: str) -> pd.DataFrame:
+    """The best ``k`` rows of one batch, sorted by id, for every query of one block."""
+    rows, matrix = _unpacked(vectors), _unpacked(asked)
+    if rows.shape[1] != matrix.shape[1]:
+        raise ValueError("vectors differ in length")
+    scores = np.round(matrix @ rows.T, 6) + 0.0
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        query, row = np.nonzero(scores >= least[:, None])
+    else:
+        query, row = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((row, -scores[query, row], query))
+    query, row = query[order], row[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    query, row = query[kept], row[kept]
+    return pd.DataFrame({"query_id": np.asarray(query_ids)[query], id_column: np.asarray(ids)[row], "score": scores[query, row]})
+
+
 def _no_hits(corpus: DataFrame, queries: DataFrame, id_column: str) -> DataFrame:
     empty = corpus.select(id_column).limit(0)
     return queries.select("query_id").limit(0).join(empty, F.lit(True)).select(
@@ -188,36 +231,6 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _cosine_block(corpus: DataFrame, block: DataFrame, k: int, id_column: str, vector_column: str) -> DataFrame:
-    rows = block.select("query_id", vector_column).toPandas()
-    query_ids = rows["query_id"].to_numpy()
-    if len(query_ids) == 0:
-        return _no_hits(corpus, block, id_column).drop("rank")
-    unit = _unit_rows(np.array([np.asarray(v, dtype="float64") for v in rows[vector_column]]))
-    shared = corpus.sparkSession.sparkContext.broadcast((query_ids, unit))
-    id_type = corpus.schema[id_column].dataType.simpleString()
-    query_type = block.schema["query_id"].dataType.simpleString()
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, matrix = shared.value
-        for batch in batches:
-            if batch.empty:
-                continue
-            vectors = np.array([np.asarray(v, dtype="float64") for v in batch[vector_column]])
-            if vectors.shape[1] != matrix.shape[1]:
-                raise ValueError("vectors differ in length")
-            scores = np.round(_unit_rows(vectors) @ matrix.T, 6) + 0.0
-            ids = batch[id_column].to_numpy()
-            by_id = np.argsort(ids, kind="stable")
-            for q, name in enumerate(names):
-                order = by_id[np.argsort(-scores[by_id, q], kind="stable")][:k]
-                yield pd.DataFrame({"query_id": name, id_column: ids[order], "score": scores[order, q]})
-
-    return corpus.select(id_column, vector_column).mapInPandas(
-        search, f"query_id {query_type}, {id_column} {id_type}, score double"
-    )
-
-
 def hashed_dense_top_k(passages: DataFrame, queries: DataFrame, k: int, dim: int = 8) -> DataFrame:
     """Dense retrieval over hashed bag-of-token vectors."""
     embed = hashed_embedding(F.col("text"), dim).alias("embedding")

@@ -33,7 +33,7 @@ def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
 )
 def bm25_passages(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: chunk the corpus, rank passages, return them with text."""
-    passages = cut_lineage(chunking.sentence_chunks(documents(spark, folder)), "passages")
+    passages = chunking.sentence_chunks(documents(spark, folder))
     hits = retrieval.bm25_top_k(passages, benchmark_queries(spark, folder), 4)
     return _ranked(hits.join(passages.select("passage_id", F.md5("text").alias("text")), "passage_id"), "text")
 
@@ -132,7 +132,7 @@ normalized AS (
 
 
 def _components(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    passages = cut_lineage(whole(spark, folder), "passages")
+    passages = whole(spark, folder)
     queries = benchmark_queries(spark, folder)
     return {
         "bm25": cut_lineage(retrieval.bm25_top_k(passages, queries, 10), "bm25"),
@@ -213,7 +213,7 @@ def score_rerank(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def retrieve_then_rerank(spark: SparkSession, folder: str) -> DataFrame:
-    passages = cut_lineage(whole(spark, folder), "passages")
+    passages = whole(spark, folder)
     queries = benchmark_queries(spark, folder)
     hits = cut_lineage(retrieval.bm25_top_k(passages, queries, 10), "hits")
     best = retrieval.rerank_lexical(hits, passages, queries, 3)

@@ -73,10 +73,9 @@ def retrieve_evidence(
 ) -> Evidence:
     """Chunk the corpus, rank passages per query and extract claims."""
     settings = settings or Settings()
-    passages = cut_lineage(
-        chunking.sentence_chunks(documents, settings.chunk_size, settings.chunk_overlap), "passages"
-    )
-    ranked = retrieval.bm25_top_k(passages, queries, settings.top_k)
+    # passages are derived twice rather than written: only the hits, at most top_k per query, are cut
+    passages = chunking.sentence_chunks(documents, settings.chunk_size, settings.chunk_overlap)
+    ranked = cut_lineage(retrieval.bm25_top_k(passages, queries, settings.top_k), "ranked")
     hits = cut_lineage(ranked.join(passages, "passage_id"), "hits")
     claims = cut_lineage(extraction.sentence_claims(hits), "claims")
     return Evidence(queries, passages, hits, claims, priors)
