@@ -51,7 +51,9 @@ def supersession_edges(claims: DataFrame, min_confidence: float = 0.6) -> DataFr
         (F.col("n.query_id") == F.col("o.query_id"))
         & (F.col("n.subject_key") == F.col("o.subject_key"))
         & (F.col("n.time") > F.col("o.time"))
-        & (F.col("n.value") != F.col("o.value")),
+        & (F.col("n.value") != F.col("o.value"))
+        # below the confidence of other predicates, pairs meet on the predicate too
+        & ((F.col("n.predicate_key") == F.col("o.predicate_key")) if min_confidence > 0.5 else F.lit(True)),
     )
     same_predicate = (F.col("n.predicate_key") != "") & (F.col("n.predicate_key") == F.col("o.predicate_key"))
     confidence = F.when(same_predicate, F.lit(0.9)).otherwise(F.lit(0.5))
