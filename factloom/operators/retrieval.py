@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.functions import text as T
 from factloom.functions.vectors import hashed_embedding
@@ -300,3 +301,12 @@ def rerank_lexical(hits: DataFrame, passages: DataFrame, queries: DataFrame, n:
     overlap = T.jaccard(T.token_set(F.col("_p")), T.token_set(F.col("_q")))
     rescored = texts.withColumn("rerank_score", F.round(overlap, 6)).drop("_p", "_q", "rank")
     return top_per_key(rescored, ["query_id"], _ordered("rerank_score"), n, "rank")
+
+
+def rerank_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits with their texts, reordered by token overlap with the query; ``rank`` and ``score`` are replaced."""
+    asked = queries.select("query_id", F.col("text").alias("_q"))
+    overlap = F.round(T.jaccard(T.token_set(F.col("text")), T.token_set(F.col("_q"))), 6)
+    rows = hits.join(asked, "query_id").withColumn("score", overlap).drop("_q", "rank")
+    w = Window.partitionBy("query_id").orderBy(*_ordered())
+    return rows.withColumn("rank", F.row_number().over(w) - 1)

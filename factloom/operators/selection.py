@@ -8,11 +8,12 @@ costs) is prepared by joins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -52,8 +53,16 @@ class Objective:
     beam_width: int = 4
 
 
-def context(claims: DataFrame, relations: DataFrame, board: DataFrame, queries: DataFrame, conflicts: DataFrame | None, objective: Objective) -> DataFrame:
-    """One row per claim with everything a selector needs."""
+def context(
+    claims: DataFrame,
+    relations: DataFrame,
+    board: DataFrame,
+    queries: DataFrame,
+    conflicts: DataFrame | None,
+    objective: Objective,
+    count_tokens: Callable[[Column], Column] = T.character_tokens,
+) -> DataFrame:
+    """One row per claim with everything a selector needs; ``count_tokens`` gives a text's cost."""
     terms = queries.select("query_id", T.token_set(F.col("text")).alias("_q"))
     rows = board.join(terms, "query_id")
     lists = {
@@ -80,7 +89,7 @@ def context(claims: DataFrame, relations: DataFrame, board: DataFrame, queries:
         "belief",
         "query_utility",
         base.alias("base"),
-        T.character_tokens(F.col("text")).alias("tokens"),
+        count_tokens(F.col("text")).cast("int").alias("tokens"),
         F.array_intersect(T.token_set(F.col("text")), "_q").alias("covers"),
         F.size("_q").alias("query_terms"),
         *lists,
@@ -267,7 +276,7 @@ def select_top(ctx: DataFrame, budget: Budget) -> DataFrame:
     )
 
 
-def select_prefix(claims: DataFrame, order: list, budget: Budget) -> DataFrame:
+def select_prefix(claims: DataFrame, order: list, budget: Budget, count_tokens: Callable[[Column], Column] = T.prefix_tokens) -> DataFrame:
     """Take claims in order until one no longer fits; the first always stays.
 
     Every claim costs at least one token, so only the first ``available + 1`` per
@@ -275,7 +284,7 @@ def select_prefix(claims: DataFrame, order: list, budget: Budget) -> DataFrame:
     with millions of claims cheap.
     """
     near = top_per_key(claims, ["query_id"], order, budget.available + 1, "position")
-    near = near.withColumn("tokens", T.prefix_tokens(F.col("text")))
+    near = near.withColumn("tokens", count_tokens(F.col("text")).cast("int"))
     w = W.partitionBy("query_id").orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
     near = near.withColumn("used", F.sum("tokens").over(w))
     return near.filter((F.col("position") == 0) | (F.col("used") <= budget.available))

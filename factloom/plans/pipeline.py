@@ -7,9 +7,10 @@ once and reused by all variants.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import metrics as M
@@ -57,6 +58,26 @@ VARIANTS = {
 }
 
 
+@dataclass(frozen=True)
+class Components:
+    """The exchangeable parts of a run; every variant uses the same ones.
+
+    Each is a function over whole tables, keyed by query where queries occur. ``rerank`` may be None: then a reranking
+    variant fails instead of passing for the plain one.
+    """
+
+    chunk: Callable[[DataFrame, Settings], DataFrame] = lambda docs, s: chunking.sentence_chunks(docs, s.chunk_size, s.chunk_overlap)
+    retrieve: Callable[[DataFrame, DataFrame, int], DataFrame] = retrieval.bm25_top_k
+    retrieve_within: Callable[[DataFrame, DataFrame, int], DataFrame] = retrieval.bm25_within
+    extract: Callable[[DataFrame], DataFrame] = extraction.sentence_claims
+    rerank: Callable[[DataFrame, DataFrame], DataFrame] | None = retrieval.rerank_hits
+    classifier: Classifier | None = None
+    score: Callable[..., DataFrame] = reasoning.initial_scores
+    propagate: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] = reasoning.propagate
+    resolve: Callable[[DataFrame, DataFrame], DataFrame] = reasoning.resolve_conflicts
+    count_tokens: Callable[[Column], Column] | None = None  # else each selector's own estimate
+
+
 @dataclass(frozen=True)
 class Evidence:
     """Stages shared by every variant: passages, hits and claims."""
@@ -69,29 +90,35 @@ class Evidence:
 
 
 def retrieve_evidence(
-    documents: DataFrame, queries: DataFrame, settings: Settings | None = None, priors: DataFrame | None = None
+    documents: DataFrame,
+    queries: DataFrame,
+    settings: Settings | None = None,
+    priors: DataFrame | None = None,
+    parts: Components | None = None,
 ) -> Evidence:
     """Chunk the corpus, rank passages per query and extract claims."""
-    settings = settings or Settings()
+    settings, parts = settings or Settings(), parts or Components()
     # passages are derived twice rather than written: only the hits, at most top_k per query, are cut
-    passages = chunking.sentence_chunks(documents, settings.chunk_size, settings.chunk_overlap)
-    ranked = cut_lineage(retrieval.bm25_top_k(passages, queries, settings.top_k), "ranked")
+    passages = parts.chunk(documents, settings)
+    ranked = cut_lineage(parts.retrieve(passages, queries, settings.top_k), "ranked")
     hits = cut_lineage(ranked.join(passages, "passage_id"), "hits")
-    claims = cut_lineage(extraction.sentence_claims(hits), "claims")
+    claims = cut_lineage(parts.extract(hits), "claims")
     return Evidence(queries, passages, hits, claims, priors)
 
 
 def retrieve_own_documents(
-    documents: DataFrame, queries: DataFrame, settings: Settings | None = None, priors: DataFrame | None = None
+    documents: DataFrame,
+    queries: DataFrame,
+    settings: Settings | None = None,
+    priors: DataFrame | None = None,
+    parts: Components | None = None,
 ) -> Evidence:
     """The same stages where every query brings its own documents."""
-    settings = settings or Settings()
-    passages = cut_lineage(
-        chunking.sentence_chunks(documents, settings.chunk_size, settings.chunk_overlap), "passages"
-    )
-    ranked = retrieval.bm25_within(passages, queries, settings.top_k)
+    settings, parts = settings or Settings(), parts or Components()
+    passages = parts.chunk(documents, settings)
+    ranked = cut_lineage(parts.retrieve_within(passages, queries, settings.top_k), "ranked")
     hits = cut_lineage(ranked.join(passages, ["query_id", "passage_id"]), "hits")
-    claims = cut_lineage(extraction.sentence_claims(hits), "claims")
+    claims = cut_lineage(parts.extract(hits), "claims")
     return Evidence(queries, passages, hits, claims, priors)
 
 
@@ -115,8 +142,11 @@ def reason(
     rules: G.EdgeRules | None = None,
     candidates: CandidateRules | None = None,
     priors: DataFrame | None = None,
+    parts: Components | None = None,
 ) -> Reasoned:
     """Build the graph of each query, score it, propagate and resolve."""
+    parts = parts or Components()
+    classifier = classifier or parts.classifier
     rules = rules or G.EdgeRules()
     if not variant.contradiction:
         rules = replace(rules, contradict=1.0)
@@ -128,19 +158,22 @@ def reason(
         found = BR.limit_degree(BR.bridge_candidates(claims, relations, queries))
         relations = relations.unionByName(BR.bridge_relations(found))
     relations = cut_lineage(relations, "relations")
-    scores = cut_lineage(reasoning.initial_scores(claims, relations, queries, priors=priors), "scores")
-    beliefs = reasoning.propagate(claims, relations, scores) if variant.propagation else reasoning.keep_initial(scores)
+    scores = cut_lineage(parts.score(claims, relations, queries, priors=priors), "scores")
+    beliefs = parts.propagate(claims, relations, scores) if variant.propagation else reasoning.keep_initial(scores)
     beliefs = cut_lineage(beliefs, "beliefs")
     board = cut_lineage(reasoning.with_beliefs(scores, beliefs), "board")
-    conflicts = cut_lineage(reasoning.resolve_conflicts(relations, board), "conflicts")
+    conflicts = cut_lineage(parts.resolve(relations, board), "conflicts")
     return Reasoned(relations, scores, beliefs, board, conflicts)
 
 
-def choose(claims: DataFrame, queries: DataFrame, reasoned: Reasoned, variant: Variant, budget: selection.Budget) -> DataFrame:
+def choose(
+    claims: DataFrame, queries: DataFrame, reasoned: Reasoned, variant: Variant, budget: selection.Budget, parts: Components | None = None
+) -> DataFrame:
     """Selected claims with the columns a package needs."""
     goal = selection.Objective()
+    own = {"count_tokens": parts.count_tokens} if parts and parts.count_tokens else {}
     ctx = cut_lineage(
-        selection.context(claims, reasoned.relations, reasoned.board, queries, reasoned.conflicts, goal), "context"
+        selection.context(claims, reasoned.relations, reasoned.board, queries, reasoned.conflicts, goal, **own), "context"
     )
     pick = {"greedy": selection.select_greedy, "top": selection.select_top, "beam": selection.select_beam}
     picked = pick[variant.selection](ctx, budget)
@@ -156,8 +189,9 @@ def choose(claims: DataFrame, queries: DataFrame, reasoned: Reasoned, variant: V
     )
 
 
-def _prefix_selection(claims: DataFrame, order: list, budget: selection.Budget) -> DataFrame:
-    near = selection.select_prefix(claims, order, budget)
+def _prefix_selection(claims: DataFrame, order: list, budget: selection.Budget, parts: Components) -> DataFrame:
+    own = {"count_tokens": parts.count_tokens} if parts.count_tokens else {}
+    near = selection.select_prefix(claims, order, budget, **own)
     return near.select(
         "query_id",
         "claim_id",
@@ -176,26 +210,29 @@ def _always(packs: DataFrame, selected: DataFrame) -> DataFrame:
     return packs.join(used, "query_id", "left").withColumn("budget_used", F.coalesce("_used", F.lit(0))).drop("_used")
 
 
-def run_variant(evidence: Evidence, variant: Variant, settings: Settings | None = None, **options) -> DataFrame:
+def run_variant(evidence: Evidence, variant: Variant, settings: Settings | None = None, parts: Components | None = None, **options) -> DataFrame:
     """One package per query, with graph counts, for one system variant."""
-    settings = settings or Settings()
+    settings, parts = settings or Settings(), parts or Components()
+    if variant.rerank and parts.rerank is None:
+        raise ValueError(f"variant {variant.name!r} needs a reranker")
     budget, queries = settings.budget, evidence.queries
     passages = evidence.hits.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("num_passages"))
     if variant.family == "graph":
-        reasoned = reason(evidence.claims, queries, variant, priors=evidence.priors, **options)
-        selected = choose(evidence.claims, queries, reasoned, variant, budget)
+        reasoned = reason(evidence.claims, queries, variant, priors=evidence.priors, parts=parts, **options)
+        selected = choose(evidence.claims, queries, reasoned, variant, budget, parts)
         packs = packaging.packages(
             queries, evidence.claims, selected, reasoned.relations, reasoned.conflicts, budget
         )
         nodes, edges = F.size("claims"), F.size("relations")
     else:
         if variant.family == "passage":
-            claims = extraction.passage_claims(evidence.hits)
+            hits = parts.rerank(evidence.hits, queries) if variant.rerank else evidence.hits
+            claims = extraction.passage_claims(hits)
             order = [F.asc("rank")]
         else:
             claims = evidence.claims
             order = [F.desc("extraction_confidence"), F.asc("claim_id")]
-        selected = _prefix_selection(claims, order, budget)
+        selected = _prefix_selection(claims, order, budget, parts)
         unlimited = selection.Budget(2**31 - 1, 0)
         packs = packaging.packages(queries, claims, selected, None, None, unlimited)
         packs = _always(packs, selected).withColumn("budget_total", F.lit(budget.total)).withColumn(

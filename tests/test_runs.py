@@ -199,3 +199,28 @@ def test_stratified_sample_fills_up(spark):
     table = spark.createDataFrame([(i, "a" if i < 3 else "b") for i in range(40)], "id int, s string")
     sample = stats.stratified_sample(table, "s", "id", {"a": 5, "b": 5}, 12, 1)
     assert sample.count() == 12 and sample.filter("s = 'a'").count() == 3 and sample.select("id").distinct().count() == 12
+
+
+def test_parts_are_injected_and_reranking_reorders(spark):
+    documents = spark.createDataFrame(
+        [("d1", "The pier is long. " * 3, "s1"), ("d2", "pier pier pier pier pier pier of stone and wood and iron and rope and sand", "s2"), ("d3", "The pier of Keelham", "s3")],
+        "document_id string, text string, source_id string",
+    )
+    asked = spark.createDataFrame([("q", "the pier of Keelham pier")], "query_id string, text string")
+    found = pipeline.retrieve_evidence(documents, asked)
+    ids = lambda name, parts=None: [s.source_id for s in pipeline.run_variant(found, pipeline.VARIANTS[name], parts=parts).first().selected]
+    backwards = pipeline.Components(rerank=lambda hits, queries: hits.withColumn("rank", -F.col("rank")))
+    plain = ids("passage_rag")
+    assert len(plain) == 3 and ids("reranked_passage_rag", backwards) == plain[::-1]
+    assert ids("reranked_passage_rag")[0] == "s3"
+    with pytest.raises(ValueError, match="reranker"):
+        ids("reranked_passage_rag", pipeline.Components(rerank=None))
+    costly = pipeline.Components(count_tokens=lambda text: F.lit(150))
+    assert len(ids("passage_rag", costly)) == 1
+    one = pipeline.Components(
+        chunk=lambda docs, settings: docs.withColumn("passage_id", F.concat(F.lit("p-"), "document_id")).withColumn("start", F.lit(0)),
+        retrieve=lambda passages, queries, k: queries.select("query_id").withColumn("passage_id", F.lit("p-d2")).withColumn("score", F.lit(1.0)).withColumn("rank", F.lit(0)),
+        extract=lambda hits: hits.limit(0),
+    )
+    own = pipeline.retrieve_evidence(documents, asked, parts=one)
+    assert [r.passage_id for r in own.hits.collect()] == ["p-d2"] and own.claims.isEmpty()
