@@ -128,13 +128,18 @@ def _regions(docs: DataFrame, table: Column, bits: int, sizes: list[int], margin
     return rows.select("doc_id", F.explode(cut).alias("r")).select("doc_id", "r.base", "r.w")
 
 
-_SIGNS = "aggregate(s, 0L, (t, x) -> t + IF((shiftright(x.{h}, b) & 1L) = 1L, x.weight, -x.weight))"
+_SIGNS = "aggregate(s, 0L, (t, x) -> t + IF((shiftright(x.{h}, b) & 1L) = 1L, x.pull, -x.pull))"
 _BITS = "aggregate(sequence(0, 63), 0L, (a, b) -> a | shiftleft(IF(" + _SIGNS + " > 0L, 1L, 0L), b))"
 
 
 def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, s, f, g: weighted shingles and the two halves of the fingerprint. Weights are integers, so sums are exact."""
-    item = F.struct("h", F.xxhash64(F.lit(9), "h").alias("h2"), "weight")
+    """``keys``, s, f, g: weighted shingles and the two halves of the fingerprint.
+
+    A shingle pulls with the root of its weight, so the angle between two fingerprinted sets follows their shared weight.
+    Pulls are integers, so sums are exact.
+    """
+    pull = F.round(100 * F.sqrt("weight")).cast("bigint")
+    item = F.struct("h", F.xxhash64(F.lit(9), "h").alias("h2"), "weight", pull.alias("pull"))
     sets = rows.groupBy(*keys).agg(F.collect_list(item).alias("s"))
     return sets.withColumn("f", F.expr(_BITS.format(h="h"))).withColumn("g", F.expr(_BITS.format(h="h2")))
 
@@ -167,13 +172,13 @@ def contaminated(docs: DataFrame, items: DataFrame, *, similarity: float = SIMIL
     held = windows.select("doc_id", "start", "length", F.explode(F.array_distinct(_shingles(F.col("w"), F.col("length"), sizes or [SHINGLE]))).alias("h"))
     held = cut_lineage(held.distinct(), "windows")
 
-    # how rare an item's shingle is among all documents; others count as never seen
+    # how rare an item's shingle is among all documents; shingles of no item weigh least, as they decide nothing
     total = docs.filter(F.col("doc_id").isNotNull()).count()
     seen = held.join(bounded(index.select("h").distinct()), "h", "left_semi").groupBy("h", "doc_id").agg(F.lit(1).alias("one"))
     seen = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"))
     rare = lambda n: F.round(1000 * (1 + F.log(F.lit(total + 1.0) / (n + 1)))).cast("bigint")
     weights = cut_lineage(index.select("h").distinct().join(seen, "h", "left").select("h", rare(F.coalesce("n_docs", F.lit(0))).alias("weight")), "weights")
-    weigh = lambda rows: rows.join(bounded(weights), "h", "left").withColumn("weight", F.coalesce("weight", rare(F.lit(0))))
+    weigh = lambda rows: rows.join(bounded(weights), "h", "left").withColumn("weight", F.coalesce("weight", F.lit(1000)))
 
     keys = ["doc_id", "start", "length"]
     left_side = cut_lineage(_fingerprints(weigh(held), keys), "fingerprints")

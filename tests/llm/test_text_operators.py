@@ -141,6 +141,20 @@ def test_planted_items_are_found_and_clean_documents_are_not(spark):
     assert decontamination.contaminated(docs(spark, []), table).count() == 0
 
 
+def test_altered_copies_of_common_passages_are_found(spark):
+    rng = random.Random(11)
+    noise = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    item = noise(40)
+    texts = [f"{noise(10)} {item} {noise(10)}" for _ in range(150)]
+    for k in range(6, 34):  # one word changed: 31 of 36 shingles are left
+        words = item.split()
+        words[k] = "changed"
+        texts.append(f"{noise(30)} {' '.join(words)} {noise(30)}")
+    table = spark.createDataFrame([(0, item)], "item_id bigint, text string")
+    found = decontamination.contaminated(docs(spark, texts), table)
+    assert {r["doc_id"] for r in found.collect()} == set(range(len(texts)))
+
+
 def plain_licence(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
     places = {t.label: [i for i in range(len(words)) if tuple(words[i : i + len(t.words)]) == t.words] for t in licenses.PHRASES}
