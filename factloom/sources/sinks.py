@@ -9,6 +9,7 @@ from dataclasses import asdict, is_dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import fixed_values as V
 from factloom.functions import text as T
 
 
@@ -21,6 +22,17 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_examples(examples: DataFrame, path: str) -> None:
+    """Evaluation examples as JSON lines that ``readers.examples_jsonl`` takes; a document's own id becomes its source id."""
+    labels = F.create_map(*[F.lit(x) for label, stance in V.FEVER_STANCES.items() for x in (stance, label)])
+    own = lambda d: F.struct(d["document_id"].alias("source_id"), d["text"].alias("text"), d["title"].alias("title"))
+    rows = examples.select(
+        F.col("example_id").alias("id"), "question", F.transform("documents", own).alias("documents"), "answers",
+        F.try_element_at(labels, F.col("stance")).alias("label"), "gold_source_ids", "split",
+    )
+    write_json(rows, path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
