@@ -18,25 +18,26 @@ CLAUSE = rf"(?s).+?(?:[{SPACE}]+and[{SPACE}]+|\z)"
 CLAUSE_DELIMITER = rf"[{SPACE}]+and[{SPACE}]+\z"
 SIMPLE_SENTENCE = "[^.!?]+"
 ASCII_PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
-ARTICLES = "a an the".split()
+ARTICLES = ["a", "an", "the"]
 
 # --- fixed values: claim extraction ------------------------------------------
 
-NEGATION_WORDS = "not no never cannot without neither nor none".split()
-MODALITY_WORDS = (
-    "may might could would should must possibly perhaps reportedly allegedly "
-    "apparently likely probably presumably seemingly supposedly"
-).split()
-MONTHS = (
-    "January February March April May June July August September October November December"
-).split()
-PRONOUNS = "it he she they them this that these those him her its".split()
-NON_ENTITY_WORDS = (
-    "the a an this that these those it its they their them we our he she his her there here "
-    "in on at by for from with and but or as if when while then also however according "
-    "reports reportedly both no not"
-).split()
-ATTRIBUTION_VERBS = "said reported claimed stated announced argued".split()
+NEGATION_WORDS = ["not", "no", "never", "cannot", "without", "neither", "nor", "none"]
+MODALITY_WORDS = [
+    "may", "might", "could", "would", "should", "must", "possibly", "perhaps", "reportedly", "allegedly", "apparently",
+    "likely", "probably", "presumably", "seemingly", "supposedly",
+]
+MONTHS = [
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November",
+    "December",
+]
+PRONOUNS = ["it", "he", "she", "they", "them", "this", "that", "these", "those", "him", "her", "its"]
+NON_ENTITY_WORDS = [
+    "the", "a", "an", "this", "that", "these", "those", "it", "its", "they", "their", "them", "we", "our", "he", "she",
+    "his", "her", "there", "here", "in", "on", "at", "by", "for", "from", "with", "and", "but", "or", "as", "if", "when",
+    "while", "then", "also", "however", "according", "reports", "reportedly", "both", "no", "not",
+]
+ATTRIBUTION_VERBS = ["said", "reported", "claimed", "stated", "announced", "argued"]
 
 NEGATION = rf"(?i){WORD_START}(?:{'|'.join(NEGATION_WORDS)}){WORD_END}|n't"
 MODALITY = rf"(?i){WORD_START}(?:{'|'.join(MODALITY_WORDS)}){WORD_END}"
@@ -59,15 +60,16 @@ QUANTITY = (
 
 # --- fixed values: bridges -----------------------------------------------------
 
-BRIDGE_STOP_WORDS = (
-    "the a an this that these those it its they their we he she his her who what when where "
-    "which whom whose why how in on at by for from with and but or as if then according"
-).split()
-BRIDGE_GENERIC_WORDS = (
-    "company companies project deadline report reports city country person people organization "
-    "team group product event paper author winner founder founders capital population employer "
-    "headquarters factory merger launch revenue profit inspection"
-).split()
+BRIDGE_STOP_WORDS = [
+    "the", "a", "an", "this", "that", "these", "those", "it", "its", "they", "their", "we", "he", "she", "his", "her",
+    "who", "what", "when", "where", "which", "whom", "whose", "why", "how", "in", "on", "at", "by", "for", "from", "with",
+    "and", "but", "or", "as", "if", "then", "according",
+]
+BRIDGE_GENERIC_WORDS = [
+    "company", "companies", "project", "deadline", "report", "reports", "city", "country", "person", "people",
+    "organization", "team", "group", "product", "event", "paper", "author", "winner", "founder", "founders", "capital",
+    "population", "employer", "headquarters", "factory", "merger", "launch", "revenue", "profit", "inspection",
+]
 
 # --- fixed values: safety ------------------------------------------------------
 
@@ -92,23 +94,22 @@ URL_SCHEMES = ["http", "https"]
 
 # --- fixed values: evaluation -----------------------------------------------------
 
-CONTRADICTION_CUES = "not no never cannot false incorrect".split()
-SIMPLE_NEGATIONS = "not no never cannot without".split()
+CONTRADICTION_CUES = ["not", "no", "never", "cannot", "false", "incorrect"]
+SIMPLE_NEGATIONS = ["not", "no", "never", "cannot", "without"]
 FEVER_STANCES = {
     "SUPPORTS": "supports",
     "REFUTES": "refutes",
     "NOT ENOUGH INFO": "not_enough_info",
 }
-HEURISTIC_METRICS = (
-    "answer_evidence_entailment contradiction_rate unsupported_claim_rate "
-    "conflict_resolution_accuracy reasoning_subgraph_coherence"
-).split()
-DETERMINISTIC_METRICS = (
-    "exact_match normalized_exact_match token_f1 answer_accuracy citation_precision "
-    "citation_recall citation_completeness evidence_precision evidence_recall invalid_citations "
-    "empty_prediction latency_ms num_passages num_claims num_graph_nodes num_graph_edges "
-    "num_selected token_estimate"
-).split()
+HEURISTIC_METRICS = [
+    "answer_evidence_entailment", "contradiction_rate", "unsupported_claim_rate", "conflict_resolution_accuracy",
+    "reasoning_subgraph_coherence",
+]
+DETERMINISTIC_METRICS = [
+    "exact_match", "normalized_exact_match", "token_f1", "answer_accuracy", "citation_precision", "citation_recall",
+    "citation_completeness", "evidence_precision", "evidence_recall", "invalid_citations", "empty_prediction", "latency_ms",
+    "num_passages", "num_claims", "num_graph_nodes", "num_graph_edges", "num_selected", "token_estimate",
+]
 
 # --- fixed values: model-facing text ------------------------------------------------
 

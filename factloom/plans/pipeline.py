@@ -284,7 +284,7 @@ def example_metrics(answers: DataFrame, packs: DataFrame, gold: DataFrame) -> Da
         "contradiction_rate": M.contradiction_cue(answer, evidence),
         "unsupported_claim_rate": M.unsupported_rate(M.answer_sentences(answer), evidence),
     }
-    for name in "num_selected token_estimate num_passages num_claims num_graph_nodes num_graph_edges".split():
+    for name in ("num_selected", "token_estimate", "num_passages", "num_claims", "num_graph_nodes", "num_graph_edges"):
         values[name] = F.col(name).cast("double")
     entries = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("double").alias("value")) for k, v in values.items()])
     failed = F.col("error").isNotNull()
