@@ -10,6 +10,9 @@ its distinct shingles of five words (an item with fewer words is one shingle). S
 3. Fingerprints are cut into 16 blocks of 8 bits. Two that differ in at most ``RADIUS`` bits agree in some block up
    to two bits (pigeonhole), so items are indexed under all blocks with up to two bits changed, beside L.
 4. Candidates within the radius are verified: weight of the item's shingles in the window over the item's weight.
+5. Weights fall as copies spread, so a passage altered in one word and copied often would be lost. Windows that may hold
+   ``SIMILARITY`` of an item's shingles, all counted alike, get a second fingerprint of equal pulls and meet and are verified by it
+   in the same way. A document found by its windows' weights is reported by these alone.
 
 Defined cases: documents without doc_id or text and items without item_id or words are left out; repeated rows
 give one result row; a passage found in several windows of a document is counted by ``n_windows``.
@@ -128,25 +131,29 @@ def _regions(docs: DataFrame, table: Column, bits: int, sizes: list[int], margin
     return rows.select("doc_id", F.explode(cut).alias("r")).select("doc_id", "r.base", "r.w")
 
 
-_SIGNS = "aggregate(s, 0L, (t, x) -> t + IF((shiftright(x.{h}, b) & 1L) = 1L, x.pull, -x.pull))"
+_SIGNS = "aggregate(s, 0L, (t, x) -> t + IF((shiftright(x.{h}, b) & 1L) = 1L, {pull}, -{pull}))"
 _BITS = "aggregate(sequence(0, 63), 0L, (a, b) -> a | shiftleft(IF(" + _SIGNS + " > 0L, 1L, 0L), b))"
 
 
-def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys``, s, f, g: weighted shingles and the two halves of the fingerprint.
+def _fingerprints(rows: DataFrame, keys: list[str], needs: DataFrame, similarity: float) -> DataFrame:
+    """``keys``, s, f, g, f1, g1: weighted shingles and the two halves of the weighted and of the plain fingerprint.
 
-    A shingle pulls with the root of its weight, so the angle between two fingerprinted sets follows their shared weight.
-    Pulls are integers, so sums are exact.
+    A shingle pulls with the root of its weight, so the angle between two fingerprinted sets follows their shared weight; in
+    the plain fingerprint, which only rows with ``plain`` have, all pull alike. Pulls are integers, so sums are exact.
     """
     pull = F.round(100 * F.sqrt("weight")).cast("bigint")
     item = F.struct("h", F.xxhash64(F.lit(9), "h").alias("h2"), "weight", pull.alias("pull"))
-    sets = rows.groupBy(*keys).agg(F.collect_list(item).alias("s"))
-    return sets.withColumn("f", F.expr(_BITS.format(h="h"))).withColumn("g", F.expr(_BITS.format(h="h2")))
+    sets = rows.groupBy(*keys).agg(F.collect_list(item).alias("s"), F.count_if("known").alias("n_known"))
+    sets = sets.join(F.broadcast(needs), "length").withColumn("plain", F.col("n_known") / F.col("need") >= similarity)
+    for name, h in (("f", "h"), ("g", "h2")):
+        sets = sets.withColumn(name, F.expr(_BITS.format(h=h, pull="x.pull")))
+        sets = sets.withColumn(f"{name}1", F.expr(f"IF(plain, {_BITS.format(h=h, pull='1L')}, NULL)"))
+    return sets.drop("n_known", "need", "plain")
 
 
-def _block_keys(changes: list[int]) -> Column:
+def _block_keys(changes: list[int], end: str = "") -> Column:
     """Every (block number, its value with each change applied), in one number each."""
-    halves = F.array("f", "g")
+    halves = F.array("f" + end, "g" + end)
     block = lambda c: _shift(F.get(halves, (c / 8).cast("int")), 8 * (c % 8), "shiftrightunsigned").bitwiseAND(F.lit(255)).cast("int")
     changed = lambda c: F.transform(F.lit(np.array(changes, np.int32)), lambda x: c * 256 + block(c).bitwiseXOR(x))
     return F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), changed))).alias("key")
@@ -178,25 +185,37 @@ def contaminated(docs: DataFrame, items: DataFrame, *, similarity: float = SIMIL
     seen = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"))
     rare = lambda n: F.round(1000 * (1 + F.log(F.lit(total + 1.0) / (n + 1)))).cast("bigint")
     weights = cut_lineage(index.select("h").distinct().join(seen, "h", "left").select("h", rare(F.coalesce("n_docs", F.lit(0))).alias("weight")), "weights")
-    weigh = lambda rows: rows.join(bounded(weights), "h", "left").withColumn("weight", F.coalesce("weight", F.lit(1000)))
+    weigh = lambda rows: rows.join(bounded(weights), "h", "left").select(
+        *rows.columns, F.col("weight").isNotNull().alias("known"), F.coalesce("weight", F.lit(1000)).alias("weight"))
+    # of a length, the fewest distinct shingles of an item
+    needs = index.groupBy("length", "item_id").agg(F.count_distinct("h").alias("n")).groupBy("length").agg(F.min("n").alias("need"))
+    needs = cut_lineage(needs, "needs")
 
     keys = ["doc_id", "start", "length"]
-    left_side = cut_lineage(_fingerprints(weigh(held), keys), "fingerprints")
-    right_side = cut_lineage(_fingerprints(weigh(index.select("item_id", "length", "h").distinct()), ["item_id", "length"]), "items")
+    left_side = cut_lineage(_fingerprints(weigh(held), keys, needs, similarity), "fingerprints")
+    own_shingles = weigh(index.select("item_id", "length", "h").distinct())
+    right_side = cut_lineage(_fingerprints(own_shingles, ["item_id", "length"], needs, similarity), "items")
     changes = [x for x in range(256) if x.bit_count() <= ERRORS]
-    index_keys = right_side.select("item_id", "length", F.col("f").alias("_f"), F.col("g").alias("_g"), _block_keys(changes))
-    window_keys = left_side.select(*keys, "f", "g", _block_keys([0]))
-    met = window_keys.join(bounded(index_keys), ["length", "key"])
-    away = F.bit_count(F.col("f").bitwiseXOR(F.col("_f"))) + F.bit_count(F.col("g").bitwiseXOR(F.col("_g")))
-    near = met.filter(away <= RADIUS).select(*keys, "item_id").distinct()
-
-    pairs = near.join(left_side.select(*keys, F.col("s.h").alias("own")), keys)
+    near = None
+    for end in ("", "1"):
+        f, g = "f" + end, "g" + end
+        index_keys = right_side.select("item_id", "length", F.col(f).alias("_f"), F.col(g).alias("_g"), _block_keys(changes, end))
+        window_keys = left_side.filter(F.col(f).isNotNull()).select(*keys, f, g, _block_keys([0], end))
+        met = window_keys.join(bounded(index_keys), ["length", "key"])
+        away = F.bit_count(F.col(f).bitwiseXOR(F.col("_f"))) + F.bit_count(F.col(g).bitwiseXOR(F.col("_g")))
+        met = met.filter(away <= RADIUS).select(*keys, "item_id")
+        near = met if near is None else near.union(met)
+
+    pairs = near.distinct().join(left_side.select(*keys, F.col("s.h").alias("own")), keys)
     pairs = pairs.join(bounded(right_side.select("item_id", "s")), "item_id")
     weight = lambda s: F.aggregate(s, F.lit(0).cast("bigint"), lambda t, x: t + x["weight"])
-    inside = weight(F.filter("s", lambda x: F.array_contains("own", x["h"])))
-    pairs = pairs.select("doc_id", "item_id", "start", (inside / weight(F.col("s"))).alias("similarity"))
-    found = pairs.filter(F.col("similarity") >= similarity).groupBy("doc_id", "item_id")
+    shared = F.filter("s", lambda x: F.array_contains("own", x["h"]))
+    pairs = pairs.select(
+        "doc_id", "item_id", "start", (weight(shared) / weight(F.col("s"))).alias("by_weight"), (F.size(shared) / F.size("s")).alias("alike"))
+    heavy = F.col("by_weight") >= similarity
+    found = pairs.filter(heavy | (F.col("alike") >= similarity)).groupBy("doc_id", "item_id")
+    either = lambda f, value, other: F.coalesce(f(F.when(heavy, F.col(value))), f(other))
     return found.agg(
-        F.round(F.max("similarity"), 6).alias("similarity"), F.greatest(F.min("start"), F.lit(0)).cast("bigint").alias("first_word"),
-        F.count(F.lit(1)).alias("n_windows"),
+        F.round(either(F.max, "by_weight", "alike"), 6).alias("similarity"), F.greatest(either(F.min, "start", "start"), F.lit(0)).cast("bigint").alias("first_word"),
+        F.when(F.count_if(heavy) > 0, F.count_if(heavy)).otherwise(F.count(F.lit(1))).alias("n_windows"),
     )

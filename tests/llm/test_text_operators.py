@@ -155,6 +155,19 @@ def test_altered_copies_of_common_passages_are_found(spark):
     assert {r["doc_id"] for r in found.collect()} == set(range(len(texts)))
 
 
+def test_an_altered_passage_in_most_documents_is_found(spark):
+    rng = random.Random(12)
+    noise = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    words = noise(50).split()
+    items = spark.createDataFrame([(0, " ".join(words)), (1, noise(50))], "item_id bigint, text string")
+    altered = " ".join(words[:25] + ["changed"] + words[26:])  # 41 of 46 shingles are left
+    texts = [f"{noise(10)} {altered} {noise(10)}" for _ in range(180)] + [noise(70) for _ in range(20)]
+    texts.append(" ".join(words[:20]))  # 16 of 46: not enough
+    found = {r["doc_id"]: r for r in decontamination.contaminated(docs(spark, texts), items).collect()}
+    assert set(found) == set(range(180)) and {r["item_id"] for r in found.values()} == {0}
+    assert {(r["similarity"], r["first_word"], r["n_windows"]) for r in found.values()} == {(round(41 / 46, 6), 10, 1)}
+
+
 def plain_licence(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
     places = {t.label: [i for i in range(len(words)) if tuple(words[i : i + len(t.words)]) == t.words] for t in licenses.PHRASES}
