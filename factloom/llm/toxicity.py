@@ -8,7 +8,8 @@ segments of a text; a segment of score S in n tokens is expected K n exp(-lambda
 evidence is the sum of log(1 / expected) over its significant segments, and a logistic curve fitted on the
 training texts turns it into a score.
 
-The labelled rows may be a bounded sample (``MOST_ROWS`` of each label), the vocabulary has at most ``MOST_TOKENS``
+The labelled rows may be a bounded sample (``MOST_ROWS`` of each label); sampled texts then stand for all of their label, in the
+log-odds and in the curve, so the scores keep the labels' natural shares. The vocabulary has at most ``MOST_TOKENS``
 entries. Defined cases: a null or wordless text has no passages and gets the score of no evidence; without rows of
 both labels every score is 0; a doc_id labelled twice counts as toxic if any label says so.
 """
@@ -180,7 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS) ->
     """Fit on labelled texts: docs (doc_id, text), labels (doc_id, toxic)."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    chosen = bounded_sample(known, "doc_id", "toxic", most_rows)
+    chosen = cut_lineage(bounded_sample(known, "doc_id", "toxic", most_rows), "chosen")
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    stands = {r["toxic"]: sizes[r["toxic"]] / r["count"] for r in chosen.groupBy("toxic").count().collect()}
+    each_bad, each_good = stands.get(1, 1.0), stands.get(0, 1.0)
     # the sample is bounded by most_rows for each of two labels
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     marked = rows.select("toxic", "text").mapInArrow(_mark, "toxic int, text string, mark bigint")
@@ -191,11 +195,14 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS) ->
     n_bad, n_good = counts.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
     if not n_bad or not n_good:
         return Model(np.empty(0, np.uint64), np.empty(0))
+    counts = counts.select("token", (F.col("bad") * each_bad).alias("bad"), (F.col("good") * each_good).alias("good"))
+    n_bad, n_good = n_bad * each_bad, n_good * each_good
     mass = PRIOR_SHARE * (n_bad + n_good)
     prior = mass * (F.col("bad") + F.col("good")) / (n_bad + n_good)
     odds = lambda y, n: F.log((y + prior) / (n + mass - y - prior))
     weight = odds(F.col("bad"), n_bad) - odds(F.col("good"), n_good)
-    spread = F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
+    # a sampled text that stands for several tells no more than one
+    spread = F.sqrt(each_bad / (F.col("bad") + prior) + each_good / (F.col("good") + prior))
     scored = counts.select("token", weight.alias("weight"), (weight / spread).alias("z"), ((F.col("good") + prior) / (n_good + mass)).alias("share"))
     kept = scored.filter(F.abs("z") >= Z_LEAST).orderBy(F.abs("z").desc(), "token").limit(MOST_TOKENS).toPandas()
     token = kept["token"].to_numpy(np.int64).view(np.uint64)
@@ -211,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS) ->
     bins = rows.mapInArrow(_collect(model), "toxic int, bin bigint").groupBy("bin")
     bins = bins.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).toPandas()
     x = bins["bin"].to_numpy(float) / 4
-    model.intercept, model.slope = _logistic(x, bins["bad"].to_numpy(float), bins["good"].to_numpy(float))
+    model.intercept, model.slope = _logistic(x, each_bad * bins["bad"].to_numpy(float), each_good * bins["good"].to_numpy(float))
     return model
 
 

@@ -310,6 +310,24 @@ def test_toxic_passages_are_learned_and_found(spark):
     assert docs(spark, ["vile"]).select(toxicity.toxicity(F.col("text"), empty)["score"]).first()[0] == 0
 
 
+def test_a_smaller_sample_leaves_toxicity_scores_where_they_were(spark):
+    rng = random.Random(9)
+    texts, labels = [], []
+    for k in range(3000):
+        words = [rng.choice(WORDS) + str(rng.randrange(20)) for _ in range(40)]
+        if rng.random() < (0.8 if k % 10 == 0 else 0.1):  # the word stands in most toxic and in some clean texts
+            words[20] = "vile"
+        texts.append(" ".join(words))
+        labels.append((k, int(k % 10 == 0)))
+    table = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    corpus, probe = docs(spark, texts), docs(spark, ["plain words", "some vile words here"])
+    score = lambda most: [
+        r[0] for r in probe.orderBy("doc_id").select(toxicity.toxicity(F.col("text"), toxicity.train(corpus, table, most_rows=most))["score"]).collect()]
+    whole, part = score(10_000), score(300)
+    log_odds = lambda p: np.log(p) - np.log1p(-np.array(p))
+    assert np.abs(log_odds(part) - log_odds(whole)).max() < 0.6
+
+
 def plain_pack(sizes, lengths, overhead):
     opened, used, out, left = [], [], [], sum(sizes)
     for size in sizes:
