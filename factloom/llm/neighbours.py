@@ -8,7 +8,8 @@ radius // 8 bits, so probing those entries of all tables finds every code within
 inner product of the original vectors in double precision.
 
 The radius is learned too: the distance within which ``COVER`` of the true neighbours of at most ``PROBES`` queries lie, found
-by comparing these queries with all rows. It is the price of recall on vectors without structure.
+by comparing these queries with all rows. It is the price of recall on vectors without structure. A query with fewer than k
+rows within it, such as an outlier, is searched again over all rows.
 
 Defined cases: rows without id, null or zero vectors, vectors with null or non-finite components and vectors of another
 length than most take no part; a query's own id is no candidate; ties go to the smaller id.
@@ -164,8 +165,8 @@ def _search(coder: Coder, radius: int, k: int):
 
         out = []
         for query, vector, code in zip(queries["vec_id"].tolist(), asked, coder.codes(asked, query=True)):
-            met = np.zeros(len(ids), bool)
-            for part in range(PARTS):
+            met = np.full(len(ids), radius >= BITS)
+            for part in range(PARTS if radius < BITS else 0):
                 met[probed(part, int(code[part]))] = True
             near = np.flatnonzero(met)
             near = near[(np.bitwise_count(whole[near] ^ code.view(np.uint64)[0]) <= radius) & (ids[near] != query)]
@@ -198,7 +199,19 @@ def neighbours(df: DataFrame, key: str, vector: str, is_query: Column, *, k: int
     shards, blocks = -(-total // SHARD_ROWS), max(1, -(-n_queries // QUERY_ROWS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     place = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
-    index = rows.select("vec_id", "vector", place(shards, 1).alias("shard"), every(blocks).alias("block"))
-    queries = asked.select("vec_id", "vector", place(blocks, 2).alias("block"), every(shards).alias("shard"))
-    found = index.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(_search(coder, radius, k), _SCORED)
-    return _first(found, k).select("query_id", "rank", "vec_id", "score")
+
+    def search(asked: DataFrame, blocks: int, radius: int) -> DataFrame:
+        index = rows.select("vec_id", "vector", place(shards, 1).alias("shard"), every(blocks).alias("block"))
+        queries = asked.select("vec_id", "vector", place(blocks, 2).alias("block"), every(shards).alias("shard"))
+        met = index.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(_search(coder, radius, k), _SCORED)
+        return cut_lineage(_first(met, k).select("query_id", "rank", "vec_id", "score"), "found")
+
+    found = search(asked, blocks, radius)
+    full = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    lacking = cut_lineage(asked.join(full, "vec_id", "left_anti"), "lacking")
+    n_lacking = lacking.count() if radius < BITS else 0
+    if not n_lacking:
+        return found
+    again = search(lacking, -(-n_lacking // QUERY_ROWS), BITS)
+    kept = found.join(lacking.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti")
+    return kept.select(found.columns).union(again)

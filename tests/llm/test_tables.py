@@ -86,6 +86,21 @@ def test_neighbours_recall_and_order(spark):
     assert neighbours.neighbours(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_an_outlier_beside_a_tight_cluster_gets_k_rows(spark):
+    rng = np.random.default_rng(10)
+    center = rng.standard_normal(24)
+    rows = center + 0.02 * rng.standard_normal((2000, 24))
+    rows[0] = -center  # one query of 100
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    found = neighbours.neighbours(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert sorted(by) == list(range(0, 2000, 20)) and {len(x) for x in by.values()} == {20}
+    assert all([rank for rank, _ in sorted(x)] == list(range(1, 21)) for x in by.values())
+    assert [i for _, i in sorted(by[0])] == [i for i, _ in brute(np.arange(2000), rows, 0, 20)]
+
+
 def test_small_shards_find_the_same(spark, monkeypatch):
     df = spark.read.parquet(f"{FOLDER}/embeddings.parquet")
     whole = queries.QUERIES["op7_nearest_neighbours"](spark, FOLDER).collect()
