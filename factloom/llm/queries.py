@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontamination, language, licenses, line_dedup, near_dedup, neighbours, packing, tokens, toxicity, urls
+from factloom.llm import conversations, decontamination, language, licenses, line_dedup, near_dedup, neighbours, packing, phrases, spelling, tokens, toxicity, urls
 from factloom.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,89 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_nearest_neighbours")
 def op7_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.neighbours(table(spark, folder, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
+
+
+#: A table of the byte-wise crc32, and the crc32 of a list of bytes.
+_CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc)"""
+
+
+def _crc(column: str) -> str:
+    code = "unicode(x)"
+    both = f"flatten(list_transform(string_split({column}, ''), lambda x: CASE WHEN {code} < 128 THEN [{code}] ELSE [192 + ({code} >> 6), 128 + ({code} & 63)] END))"
+    return f"xor(list_reduce(CAST({both} AS BIGINT[]), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+_VARIANTS = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all({lowered("text")}, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS k FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT run, k, {_crc("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h FROM g, crc),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+d AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+      UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.less UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.less),
+b AS (SELECT p.word, count(*) AS n_near, min({{'less': -v.n, 'near': p.near}}) AS best FROM p JOIN v ON v.word = p.near GROUP BY p.word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 10 * v.n THEN best.near END AS form,
+       CASE WHEN -best.less >= 10 * v.n THEN -best.less END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+up AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL),
+e AS (SELECT up.word, up.root FROM up JOIN f ON f.word = up.root WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(e.root, f.word) AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n FROM f LEFT JOIN e ON e.word = f.word
+"""
+
+
+@query("op11_spelling_variants", _VARIANTS)
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, folder, "documents").select("doc_id", "text")))
+
+
+_BLANKS = " || ".join(f"chr({k})" for k in (32, 9, 10, 11, 12, 13))
+_REPAIRS = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT conv_id, turn, role, text, {_crc("key")} % 20 AS f FROM k, crc),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+        CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) AS copy
+      FROM h WHERE f <> 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+        lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before, rtrim(text, {_BLANKS}) AS bare FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM r),
+m AS MATERIALIZED (SELECT conv_id, turn, role, text, i, bare = '' AS blank, bare <> '' AND nth > 1 AS again, bare <> '' AND nth = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS open,
+        before IS NOT NULL AND before[1] || role[1] NOT IN ('su', 'ua', 'au') AS wrong FROM o),
+rule(q, letter, q2) AS (VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+edit AS (SELECT q, 'K' AS edit, letter, q2, 0 AS cost FROM rule UNION ALL SELECT q, 'R', letter, q2, 3 FROM rule WHERE letter <> 's'
+         UNION ALL SELECT q, 'D', '', q, 4 FROM (VALUES (''), ('s'), ('u'), ('a')) x(q)),
+more AS (SELECT q, q2, 1 AS k, chr(10) || CASE letter WHEN 'u' THEN 'user:' ELSE 'assistant:' END AS added FROM rule WHERE letter <> 's'
+         UNION ALL SELECT q, 'a', 2, chr(10) || 'user:' || chr(10) || 'assistant:' FROM (VALUES (''), ('s')) x(q)
+         UNION ALL SELECT q, q, 0, '' FROM (VALUES (''), ('s'), ('u'), ('a')) x(q)),
+c AS (SELECT DISTINCT conv_id FROM conversations),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, q2 AS q, {{'cost': 3 * k, 'audit': repeat('I', k), 'text': added}} AS b FROM c, more WHERE q = ''
+  UNION ALL
+  SELECT s.conv_id, s.i, o.q2, min({{'cost': s.cost + 3 * o.k, 'audit': s.audit || repeat('I', o.k), 'text': s.text || o.added}}) FROM (
+    SELECT w.conv_id, m.i, e.q2 AS q, w.b.cost + e.cost + CASE WHEN open AND edit <> 'D' THEN 3 ELSE 0 END AS cost, w.b.audit || edit AS audit,
+      w.b.text || CASE edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || m.text
+        ELSE chr(10) || CASE letter WHEN 'u' THEN 'user:' ELSE 'assistant:' END || m.text END AS text
+    FROM walk w JOIN m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1 JOIN edit e ON e.q = w.q
+    WHERE edit = 'D' OR (NOT blank AND NOT again AND (edit = 'R' OR role[1] = letter))) s JOIN more o ON o.q = s.q GROUP BY s.conv_id, s.i, o.q2),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(again) AS duplicate,
+        count_if(open) AS truncated, count_if(wrong) AS illegal FROM m GROUP BY conv_id),
+best AS (SELECT w.conv_id, min(w.b) AS b FROM walk w LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id WHERE w.i = coalesce(n.n, 0) AND w.q IN ('', 'a') GROUP BY w.conv_id)
+SELECT best.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(best.b.cost AS BIGINT) AS cost, best.b.audit AS audit,
+  sha256(substr(best.b.text, 2)) AS repaired_sha256
+FROM best LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
+@query("op12_conversation_repair", _REPAIRS)
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    report, _ = conversations.repair(conversations.damaged(table(spark, folder, "conversations")), with_text=False)
+    return report.withColumnRenamed("sha256", "repaired_sha256")
+
+
+@query("op13_phrase_fingerprints")
+def op13_phrase_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
