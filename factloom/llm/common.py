@@ -22,6 +22,18 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def lowered(text: Column) -> Column:
+    """``text`` with A-Z, and nothing else, in lower case."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def bound_to(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once per row, however often ``use`` names it, inside lambdas too."""
     return F.get(F.transform(F.array(value), use), 0)

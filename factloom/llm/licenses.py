@@ -12,7 +12,7 @@ template never match and come last), and a pair is only looked at if it passes
 Every pair over the threshold passes all three. Templates that are phrases (threshold 1) are then checked for places
 where their words stand consecutively.
 
-Defined cases: null texts have no words and no matches; every input row gives one row, repeated rows repeated ones.
+Defined cases: only A-Z are lower-cased; null texts have no words and no matches; every input row gives one row, repeated rows repeated ones.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bound_to
+from factloom.llm.common import bound_to, lowered
 
 STRIDE = 64
 THRESHOLD = 0.8
@@ -65,7 +65,7 @@ NOTICES = [
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    return F.array_remove(F.split(lowered(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def word_order(docs: DataFrame, templates: list[Template]) -> list[str]:

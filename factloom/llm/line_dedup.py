@@ -1,10 +1,10 @@
 """Boilerplate lines by their frequency relative to the site.
 
-A page's lines are the parts between line feeds, without blanks at their ends. For every (host, line) the pages that
+A page's lines are the parts between line feeds, trimmed of spaces. For every (host, line) the pages that
 hold it are counted and divided by the host's pages; lines over ``ratio`` that stand on at least ``least_pages``
 pages of the host are dropped from all its pages.
 
-Defined cases: a null host is a host of its own; a null text has no lines and stays null; blank lines are kept and
+Defined cases: a null host is a host of its own; a null text has no lines and stays null; lines of nothing but spaces are kept and
 not counted; a line repeated in one page counts once; a page that loses all lines becomes empty but stays.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import unused
 from factloom.scale import within_rows
 from factloom.session import cut_lineage
 
@@ -43,22 +44,23 @@ def boilerplate(pages: DataFrame, host: str, text: str, *, ratio: float = 0.1, l
 
 
 def drop_lines(pages: DataFrame, found: DataFrame, host: str, text: str) -> DataFrame:
-    """``pages`` with ``text`` cleaned, and the added columns ``n_lines`` and ``n_dropped``.
+    """``pages`` with ``text`` cleaned, and the columns ``n_lines`` and ``n_dropped``, in place of any of these names.
 
     A host's lines to drop are one array, at most the mean number of lines of its pages divided by the ratio. The
     arrays are broadcast while their lines are counted to be few; beyond that pages and arrays meet by a join on the host.
     """
-    per_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set(F.struct("h", "g")).alias("_drop"))
+    own, drop, left = (unused(pages.columns, x) for x in ("_host", "_drop", "_kept"))
+    per_host = found.groupBy(F.col("host").alias(own)).agg(F.collect_set(F.struct("h", "g")).alias(drop))
     if within_rows(found, BROADCAST_LINES):
         per_host = F.broadcast(per_host)
-    joined = pages.join(per_host, F.col(host).eqNullSafe(F.col("_host")), "left")
+    joined = pages.join(per_host, F.col(host).eqNullSafe(F.col(own)), "left")
     parts = lines(F.col(text))
-    stays = lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), line_key(x))
-    kept = F.when(F.col("_drop").isNull(), parts).otherwise(F.filter(parts, stays))
-    out = joined.withColumn("_kept", kept)
+    stays = lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(drop), line_key(x))
+    kept = F.when(F.col(drop).isNull(), parts).otherwise(F.filter(parts, stays))
+    out = joined.withColumn(left, kept)
     n_lines = F.coalesce(F.size(parts), F.lit(0))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("bigint")
-    n_dropped = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts) - F.size("_kept")).cast("bigint")
+    n_dropped = F.when(F.col(text).isNull(), 0).otherwise(F.size(parts) - F.size(left)).cast("bigint")
     out = out.withColumn("n_lines", n_lines).withColumn("n_dropped", n_dropped)
-    cleaned = F.when(F.col("n_dropped") == 0, F.col(text)).otherwise(F.array_join("_kept", "\n"))
-    return out.withColumn(text, cleaned).drop("_kept", "_drop", "_host")
+    cleaned = F.when(F.col("n_dropped") == 0, F.col(text)).otherwise(F.array_join(left, "\n"))
+    return out.withColumn(text, cleaned).drop(left, drop, own)

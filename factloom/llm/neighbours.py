@@ -12,7 +12,8 @@ by comparing these queries with all rows. It is the price of recall on vectors w
 rows within it, such as an outlier, is searched again over all rows.
 
 Defined cases: rows without id, null or zero vectors, vectors with null or non-finite components and vectors of another
-length than most take no part; a query's own id is no candidate; ties go to the smaller id.
+length than most take no part; a query's own id is no candidate; ties go to the smaller id. Components may be as large or
+small as doubles are: codes are made of vectors scaled by their largest component, scores may be infinite.
 """
 
 from __future__ import annotations
@@ -45,16 +46,29 @@ class Coder:
     axes: np.ndarray
 
     def extended(self, vectors: np.ndarray, query: bool) -> np.ndarray:
-        lengths = np.sqrt((vectors**2).sum(axis=1))
+        lengths = _lengths(vectors)
         if query:
-            return np.column_stack([vectors * (self.longest / lengths)[:, None], np.zeros(len(vectors))])
-        return np.column_stack([vectors, np.sqrt(np.maximum(self.longest**2 - lengths**2, 0))])
+            return np.column_stack([vectors / lengths[:, None], np.zeros(len(vectors))])
+        return np.column_stack([vectors / self.longest, np.sqrt(np.maximum(1 - (lengths / self.longest) ** 2, 0))])
 
     def codes(self, vectors: np.ndarray, query: bool) -> np.ndarray:
         bits = (self.extended(vectors, query) - self.mean) @ self.axes > 0
         return np.packbits(bits, axis=1)
 
 
+def _lengths(vectors: np.ndarray) -> np.ndarray:
+    """Euclidean lengths without squares of extreme components."""
+    largest = np.abs(vectors).max(axis=1, initial=0.0)
+    return largest * np.sqrt(((vectors / np.where(largest > 0, largest, 1.0)[:, None]) ** 2).sum(axis=1))
+
+
+def _products(rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Inner products; what is no number (an infinite part on both sides) counts as the least."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (rows * vector).sum(axis=1)
+    return np.where(np.isnan(out), -np.inf, out)
+
+
 def learn(vectors: np.ndarray, longest: float, rounds: int = 20) -> Coder:
     """Axes of iterative quantisation; several rotations are stacked if there are fewer dimensions than bits."""
     coder = Coder(longest, np.zeros(vectors.shape[1] + 1), np.zeros((vectors.shape[1] + 1, BITS)))
@@ -79,18 +93,21 @@ def _matrix(column) -> np.ndarray:
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """vec_id, v, length2 of the rows that take part."""
+    """vec_id, v, length of the rows that take part."""
     rows = df.select(F.col(key).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine)
-    return rows.withColumn("length2", F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)).filter("length2 > 0")
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    rows = rows.withColumn("largest", largest).filter("largest > 0")
+    share = F.aggregate("v", F.lit(0.0), lambda t, x: t + (x / F.col("largest")) * (x / F.col("largest")))
+    return rows.select("vec_id", "v", F.least(F.col("largest") * F.sqrt(share), F.lit(float(np.finfo(float).max))).alias("length"))
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("v")
         packed = [np.asarray(x, np.float64).tobytes() for x in lists.to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(packed, pa.binary()), batch.column("length2")], ["vec_id", "vector", "length2"])
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(packed, pa.binary()), batch.column("length")], ["vec_id", "vector", "length"])
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -110,9 +127,9 @@ def _exact(queries: list[tuple[int, bytes]], k: int):
             ids, rows = batch.column("vec_id").to_numpy(), _matrix(batch.column("vector").to_pylist())
             out = []
             for query, vector in queries:
-                scores = (rows * np.frombuffer(vector, np.float64)).sum(axis=1) if len(ids) else np.empty(0)
-                scores = np.where(ids == query, -np.inf, scores)
-                out += [(query, int(ids[j]), float(scores[j])) for j in _best(ids, scores, k) if scores[j] > -np.inf]
+                other = np.flatnonzero(ids != query)
+                scores = _products(rows[other], np.frombuffer(vector, np.float64)) if len(other) else np.empty(0)
+                out += [(query, int(ids[other[j]]), float(scores[j])) for j in _best(ids[other], scores, k)]
             yield pa.RecordBatch.from_pydict({"query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": pa.array([r[2] for r in out], pa.float64())})
 
     return run
@@ -170,7 +187,7 @@ def _search(coder: Coder, radius: int, k: int):
                 met[probed(part, int(code[part]))] = True
             near = np.flatnonzero(met)
             near = near[(np.bitwise_count(whole[near] ^ code.view(np.uint64)[0]) <= radius) & (ids[near] != query)]
-            scores = (rows[near] * vector).sum(axis=1)
+            scores = _products(rows[near], vector)
             best = _best(ids[near], scores, k)
             out.append(pd.DataFrame({"query_id": query, "vec_id": ids[near][best], "score": scores[best]}))
         return pd.concat(out)
@@ -182,15 +199,15 @@ def neighbours(df: DataFrame, key: str, vector: str, is_query: Column, *, k: int
     """query_id, rank, vec_id, score: the k nearest found of every row that satisfies ``is_query`` (over vec_id)."""
     fine = usable(df, key, vector)
     lengths = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").limit(1).collect()
-    schema = "vec_id bigint, vector binary, length2 double"
+    schema = "vec_id bigint, vector binary, length double"
     fine = fine.filter(F.size("v") == (lengths[0]["n"] if lengths else 0))
     rows = cut_lineage(fine.mapInArrow(_pack, schema), "vectors")
-    total, longest = rows.agg(F.count(F.lit(1)), F.max("length2")).first()
+    total, longest = rows.agg(F.count(F.lit(1)), F.max("length")).first()
     if not total:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     share = F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.filter(share * total < SAMPLE).orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toPandas()
-    coder = learn(_matrix(sample["vector"]), float(np.sqrt(longest)))
+    coder = learn(_matrix(sample["vector"]), float(longest))
     asked = rows.filter(is_query)
     chosen = asked.orderBy(F.xxhash64(F.lit(6), "vec_id"), "vec_id").limit(PROBES).collect()
     radius = _radius(rows, [(r["vec_id"], bytes(r["vector"])) for r in chosen], coder, k)

@@ -6,8 +6,10 @@ still holds it. If none does, a sequence is opened at the length that costs leas
 (length + overhead) / min(length, tokens left). At the end every sequence shrinks to the smallest permitted length
 that holds its contents. Pieces are dealt by hash into shards of about ``SHARD_ROWS``, packed independently.
 
-Defined cases: a null or wordless text has length 0 and gets one row without a sequence; repeated rows are packed as
-often as they occur; ties go to the smaller doc_id, then to the smaller piece, then to the sequence opened later.
+Every row has an identity of its own, which names its full sequences and deals its pieces.
+
+Defined cases: a null or wordless text has length 0 and gets one row without a sequence; repeated rows and rows without
+doc_id are packed as often as they occur; ties go to the smaller doc_id, then to the earlier row, the smaller piece and the sequence opened later.
 """
 
 from __future__ import annotations
@@ -64,26 +66,26 @@ def pack(sizes: Sequence[int], lengths: Sequence[int], overhead: int = OVERHEAD)
 def best_fit(docs: DataFrame, key: str, length: Column, *, lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Rows doc_id, piece, start, length, sequence, offset, capacity: which part of a text stands where."""
     most = max(lengths)
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), length.alias("total"))
+    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), length.alias("total"), F.monotonically_increasing_id().alias("row"))
     last = F.greatest(F.ceil(F.col("total") / most), F.lit(1)) - 1
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     start = (F.col("piece") * most).cast("bigint")
-    pieces = pieces.select("doc_id", "piece", start.alias("start"), F.least(F.lit(most), F.col("total") - start).cast("bigint").alias("length"))
-    pieces = cut_lineage(pieces, "pieces")  # numbers only; the texts are read once
+    pieces = pieces.select("doc_id", "row", "piece", start.alias("start"), F.least(F.lit(most), F.col("total") - start).cast("bigint").alias("length"))
+    pieces = cut_lineage(pieces, "pieces")  # numbers only, and from here on rows keep their identity
     shards = max(1, -(-pieces.filter(F.col("length").between(1, most - 1)).count() // shard_rows))
-    name = F.concat_ws("-", F.lit("full"), "doc_id", "piece")
+    name = F.concat_ws("-", F.lit("full"), "row", "piece")
     full = pieces.filter(F.col("length") == most).select("*", name.alias("sequence"), F.lit(0).cast("bigint").alias("offset"), F.lit(most).cast("bigint").alias("capacity"))
     none = pieces.filter(F.col("length") == 0).select("*", F.lit(None).cast("string").alias("sequence"), F.lit(None).cast("bigint").alias("offset"), F.lit(None).cast("bigint").alias("capacity"))
-    open_ = pieces.filter(F.col("length").between(1, most - 1)).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    open_ = pieces.filter(F.col("length").between(1, most - 1)).withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
 
     def packed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        part = part.sort_values(["length", "doc_id", "row", "piece"], ascending=[False, True, True, True], kind="stable")
         bins, offset, final = pack(part["length"].tolist(), lengths, overhead)
-        out = part.drop(columns="shard")
+        out = part.drop(columns=["shard", "row"])
         out["sequence"] = [f"{key[0]}-{b}" for b in bins]
         out["offset"] = np.array(offset, "int64")
         out["capacity"] = np.array(final, "int64")[bins]
         return out
 
     schema = "doc_id bigint, piece bigint, start bigint, length bigint, sequence string, offset bigint, capacity bigint"
-    return open_.groupBy("shard").applyInPandas(packed, schema).unionByName(full).unionByName(none)
+    return open_.groupBy("shard").applyInPandas(packed, schema).unionByName(full.drop("row")).unionByName(none.drop("row"))

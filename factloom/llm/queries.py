@@ -99,23 +99,24 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LEAKS = rf"""
-WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
-it AS (SELECT item_id, len(w) AS length, unnest(range(0, len(w) - 4)) AS o, w FROM iw),
-i AS (SELECT item_id, length, o, array_to_string(w[o + 1:o + 5], ' ') AS g FROM it),
-ds AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS p, w FROM dw WHERE len(w) > 4),
-d AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM ds),
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+it AS (SELECT item_id, len(w) AS length, least(len(w), 5) AS size, unnest(range(0, greatest(len(w) - 4, 1))) AS o, w FROM iw WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, length, size, o, array_to_string(w[o + 1:o + size], ' ') AS g FROM it),
+ds AS (SELECT doc_id, size, unnest(range(0, len(w) - size + 1)) AS p, w FROM dw, (SELECT DISTINCT size FROM i) WHERE len(w) >= size),
+d AS (SELECT doc_id, p, array_to_string(w[p + 1:p + size], ' ') AS g FROM ds),
 m AS MATERIALIZED (SELECT doc_id, p, g FROM d SEMI JOIN i ON d.g = i.g),
 f AS (SELECT g, count(DISTINCT doc_id) AS n FROM m GROUP BY g),
-wt AS (SELECT DISTINCT i.item_id, i.length, i.g, round(1000 * (1 + ln(((SELECT count(*) FROM documents) + 1.0) / (coalesce(n, 0) + 1)))) AS weight
-       FROM i LEFT JOIN f ON f.g = i.g),
+wt AS (SELECT DISTINCT i.item_id, i.length, i.size, i.g,
+         round(1000 * (1 + ln(((SELECT count(*) FROM documents WHERE doc_id IS NOT NULL) + 1.0) / (coalesce(n, 0) + 1)))) AS weight FROM i LEFT JOIN f ON f.g = i.g),
 s AS (SELECT DISTINCT doc_id, length, p - o AS start FROM m JOIN i ON i.g = m.g),
 c AS (SELECT DISTINCT s.doc_id, wt.item_id, s.start, wt.g, wt.weight FROM s JOIN wt ON wt.length = s.length
-      JOIN m ON m.doc_id = s.doc_id AND m.g = wt.g AND m.p BETWEEN s.start AND s.start + s.length - 5),
-t AS (SELECT item_id, sum(weight) AS total FROM wt GROUP BY item_id),
-k AS (SELECT doc_id, item_id, start, sum(weight) / any_value(total) AS similarity FROM c JOIN t USING (item_id) GROUP BY ALL)
-SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, CAST(greatest(min(start), 0) AS BIGINT) AS first_word, count(*) AS n_windows
-FROM k WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+      JOIN m ON m.doc_id = s.doc_id AND m.g = wt.g AND m.p BETWEEN s.start AND s.start + s.length - wt.size),
+t AS (SELECT item_id, sum(weight) AS total, count(*) AS n FROM wt GROUP BY item_id),
+k AS (SELECT doc_id, item_id, start, sum(weight) / any_value(total) AS by_weight, count(*) / any_value(n) AS alike FROM c JOIN t USING (item_id) GROUP BY ALL),
+h AS (SELECT *, by_weight >= 0.8 AS heavy, max(by_weight) OVER (PARTITION BY doc_id, item_id) >= 0.8 AS any_heavy FROM k WHERE by_weight >= 0.8 OR alike >= 0.8)
+SELECT doc_id, item_id, round(max(CASE WHEN heavy THEN by_weight ELSE alike END), 6) AS similarity, CAST(greatest(min(start), 0) AS BIGINT) AS first_word, count(*) AS n_windows
+FROM h WHERE heavy = any_heavy GROUP BY doc_id, item_id
 """
 
 
@@ -155,17 +156,8 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.licences(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-def _ranks_sql(rounds: int) -> str:
-    steps = []
-    for k in range(1, rounds + 1):
-        before = "SELECT kind, host, seed AS rank FROM seeds" if k == 1 else f"SELECT * FROM r{k - 1}"
-        steps.append(
-            f"r{k} AS MATERIALIZED (SELECT kind, host, sum(rank) AS rank FROM (SELECT f.kind, f.dst AS host, b.rank * f.share * 0.85 AS rank FROM flows f "
-            f"JOIN ({before}) b ON b.kind = f.kind AND b.host = f.src UNION ALL SELECT kind, host, seed * (1 - 0.85) FROM seeds) GROUP BY kind, host)"
-        )
-    return ",\n".join(steps)
-
-
+#: Steps after which the rest of the ranks is below 0.85 ** 200, some 1e-14.
+_STEPS = 200
 _URLS = rf"""
 WITH RECURSIVE r0 AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r0),
@@ -180,12 +172,13 @@ names AS (SELECT host FROM u WHERE host <> '' UNION SELECT dst FROM links WHERE
 up(src, dst) AS (SELECT host, substr(host, strpos(host, '.') + 1) FROM names WHERE len(string_split(host, '.')) > 2
        UNION SELECT dst, substr(dst, strpos(dst, '.') + 1) FROM up WHERE len(string_split(dst, '.')) > 2),
 edges AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM links UNION ALL SELECT src, dst, 1 FROM up UNION ALL SELECT dst, src, 1 FROM up) GROUP BY src, dst),
-flows AS (SELECT 'allow' AS kind, src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges
+flows AS MATERIALIZED (SELECT 'allow' AS kind, src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM edges
           UNION ALL SELECT 'block', dst, src, weight / sum(weight) OVER (PARTITION BY dst) FROM edges),
 seeds AS (SELECT ruled AS kind, host, count(*) / sum(count(*)) OVER (PARTITION BY ruled) AS seed FROM m WHERE ruled IS NOT NULL AND host <> '' GROUP BY ruled, host),
-{_ranks_sql(urls.ROUNDS)},
-hosts AS (SELECT host, coalesce(sum(rank) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(rank) FILTER (kind = 'block'), 0) AS distrust FROM r{urls.ROUNDS} GROUP BY host)
-SELECT page_id, m.host, path, rule, coalesce(ruled, CASE WHEN round(distrust, 12) > round(trust, 12) THEN 'block' ELSE 'allow' END) AS verdict
+steps AS (SELECT 0 AS k, kind, host, seed * (1 - 0.85) AS part FROM seeds
+  UNION ALL SELECT s.k + 1, f.kind, f.dst, sum(s.part * f.share * 0.85) FROM steps s JOIN flows f ON f.kind = s.kind AND f.src = s.host WHERE s.k < {_STEPS} GROUP BY s.k, f.kind, f.dst),
+hosts AS (SELECT host, coalesce(sum(part) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(part) FILTER (kind = 'block'), 0) AS distrust FROM steps GROUP BY host)
+SELECT page_id, m.host, path, rule, coalesce(ruled, CASE WHEN distrust > trust * (1 + 1e-4) THEN 'block' ELSE 'allow' END) AS verdict
 FROM m LEFT JOIN hosts ON hosts.host = m.host
 """
 

@@ -1,6 +1,6 @@
 """Token counts of a unigram tokenizer without its tokens.
 
-A text is split before every blank, which becomes the word mark; an Aho-Corasick automaton lists all vocabulary
+A text is split before every space, which becomes the word mark; an Aho-Corasick automaton lists all vocabulary
 pieces of a word, and dynamic programming over its characters carries the best score and the number of pieces. Rules
 are those of the public unigram tokenizers: double-precision sums from left to right, a candidate replaces another only if it is
 strictly better, candidates in order of their start (so the longest last piece wins ties), a character without a piece of

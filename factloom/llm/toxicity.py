@@ -9,8 +9,8 @@ evidence is the sum of log(1 / expected) over its significant segments, and a lo
 training texts turns it into a score.
 
 The labelled rows may be a bounded sample (``MOST_ROWS`` of each label); sampled texts then stand for all of their label, in the
-log-odds and in the curve, so the scores keep the labels' natural shares. The vocabulary has at most ``MOST_TOKENS``
-entries. Defined cases: a null or wordless text has no passages and gets the score of no evidence; without rows of
+log-odds and in the curve, so the scores keep the labels' natural shares. The vocabulary are all tokens of these
+rows that pass ``Z_LEAST``. Defined cases: a null or wordless text has no passages and gets the score of no evidence; without rows of
 both labels every score is 0; a doc_id labelled twice counts as toxic if any label says so.
 """
 
@@ -29,7 +29,6 @@ from factloom.llm.common import bounded_sample
 from factloom.session import cut_lineage
 
 MOST_ROWS = 20_000
-MOST_TOKENS = 20_000
 PRIOR_SHARE = 0.1
 Z_LEAST = 3.0
 STEP = 0.05
@@ -204,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS) ->
     # a sampled text that stands for several tells no more than one
     spread = F.sqrt(each_bad / (F.col("bad") + prior) + each_good / (F.col("good") + prior))
     scored = counts.select("token", weight.alias("weight"), (weight / spread).alias("z"), ((F.col("good") + prior) / (n_good + mass)).alias("share"))
-    kept = scored.filter(F.abs("z") >= Z_LEAST).orderBy(F.abs("z").desc(), "token").limit(MOST_TOKENS).toPandas()
+    kept = scored.filter(F.abs("z") >= Z_LEAST).toPandas()  # tokens of the bounded sample
     token = kept["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     weights = kept["weight"].to_numpy(float)

@@ -3,7 +3,8 @@
 Host edges are the absolute links of pages, counted by (host, linked host), and the steps between a host and its parent
 domain in both directions, down to two labels. Trust is personalised PageRank along the edges, from hosts with pages that
 rules allow; distrust runs against the edges, from hosts with pages that rules block. Seeds weigh their share of
-such pages. A host is blocked if its distrust is larger than its trust.
+such pages. Steps are repeated until no rank, and no set of hosts reached, changes by more than ``SETTLED`` of it; what is left then changes a
+rank by less than six times that. A host is blocked if its distrust is larger than its trust by more than ``APART`` of it.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path; no rule fits them, and as a host that no
 trust or distrust reaches they are allowed. Null html has no links. Repeated rows are judged as often as they occur.
@@ -15,12 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import bounded
-from factloom.session import cut_lineage
+from factloom.session import cut_lineage, release
 
 #: (verdict, host, path)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 DAMPING = 0.85
-ROUNDS = 10
+#: Relative change of a rank that ends the rounds, and relative difference of ranks that counts.
+SETTLED, APART = 1e-5, 1e-4
+#: Steps between two tables that are written and compared.
+STRIDE = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 
@@ -57,19 +61,30 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """kind, host, rank after ``rounds`` steps; seeds (kind, host, seed), edges (kind, src, dst, share)."""
-    ranks = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    for number in range(1, rounds + 1):
+def propagate(edges: DataFrame, seeds: DataFrame, *, settled: float = SETTLED, damping: float = DAMPING) -> DataFrame:
+    """kind, host, rank at the fixed point; seeds (kind, host, seed), edges (kind, src, dst, share).
+
+    A host first reached counts as changed, so chains of any length are followed to their ends.
+    """
+    ranks = before = cut_lineage(seeds.select("kind", "host", F.col("seed").alias("rank")), "ranks")
+    number = 0
+    while True:
+        number += 1
         sent = edges.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
         ranks = sent.union(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if number % 5 == 0:
+        if number % STRIDE == 0:
             ranks = cut_lineage(ranks, "ranks")
-    return ranks
+            was = before.withColumnRenamed("rank", "was")
+            moved = ranks.join(was, ["kind", "host"], "left").filter(F.coalesce(F.abs(F.col("rank") - F.col("was")) > settled * F.col("rank"), F.col("rank") > 0))
+            still = moved.isEmpty()
+            release(before)
+            before = ranks
+            if still:
+                return ranks
 
 
-def judged(pages: DataFrame, rules=RULES, *, rounds: int = ROUNDS) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, *, settled: float = SETTLED) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of pages (page_id, url, html)."""
     host, path = split_url(F.col("url"))
     named = pages.select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -84,10 +99,10 @@ def judged(pages: DataFrame, rules=RULES, *, rounds: int = ROUNDS) -> DataFrame:
     counts = cut_lineage(marked.filter("ruled IS NOT NULL AND host <> ''").groupBy(F.col("ruled").alias("kind"), "host").agg(F.count(F.lit(1)).alias("n")), "seeds")
     totals = counts.groupBy("kind").agg(F.sum("n").alias("total"))
     seeds = counts.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("n") / F.col("total")).alias("seed"))  # two kinds
-    ranks = propagate(flows, seeds, rounds=rounds)
+    ranks = propagate(flows, seeds, settled=settled)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("rank"))), F.lit(0.0))
     hosts = cut_lineage(ranks.groupBy("host").agg(of("allow").alias("trust"), of("block").alias("distrust")), "hosts")
     out = marked.drop("html").join(bounded(hosts), "host", "left")
-    known = F.round("distrust", 12) > F.round("trust", 12)
+    known = F.col("distrust") > F.col("trust") * (1 + APART)
     verdict = F.coalesce("ruled", F.when(known, F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -378,3 +378,10 @@ def test_packing_keeps_every_word_once(spark):
         filled, capacity = parts[-1]["offset"] + parts[-1]["length"], parts[0]["capacity"]
         assert filled <= capacity and capacity == min(x for x in packing.LENGTHS if x >= filled)
     assert packing.best_fit(docs(spark, []), "doc_id", packing.word_count(F.col("text"))).count() == 0
+
+
+def test_only_a_to_z_are_folded_in_licences(spark):
+    text = licenses.NOTICES[4].text.replace("work", "worK")
+    assert "K" in text
+    (row,) = licenses.licences(docs(spark, [text])).collect()
+    assert row["score"] < 1.0 or row["labels"] == row["base_labels"]
