@@ -39,7 +39,7 @@ _SQL_LINE = "coalesce(x[{0}], '')"
     ),
 )
 def read_claim_checks(spark: SparkSession, folder: str) -> DataFrame:
-    """Claims with up to three evidence sentences, some of them blank."""
+    """Claims with up to three evidence sentences, some of them without text."""
     doc_id = F.col("doc_id")
     triple = lambda page, n: F.array(F.col(page), F.lit(str(n)), _line(n))
     rows = table(spark, folder, "documents").select(
