@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom import schemas as S
 from factloom.functions import text as T
+from factloom.scale import top_per_key
+from factloom.session import cut_lineage, release
 
 
 def bridge_candidates(claims: DataFrame, relations: DataFrame, queries: DataFrame, min_confidence: float = 0.5) -> DataFrame:
@@ -62,23 +63,32 @@ def bridge_candidates(claims: DataFrame, relations: DataFrame, queries: DataFram
 def limit_degree(candidates: DataFrame, max_degree: int = 4) -> DataFrame:
     """Accept pairs in id order while both ends have fewer than the limit.
 
-    The rule is sequential, so each query's pairs are scanned in order by one
-    small helper. A query's claims are bounded by its retrieved passages.
+    The rule is sequential, but a pair that is among the first open pairs of both of its ends, as many as they have
+    places left, is accepted whatever happens to the others. Every round accepts all such pairs of all queries and closes the
+    pairs of full ends, until no pair is open; the first open pair always qualifies. A round sends at most ``max_degree``
+    pairs per end (WindowGroupLimit), so a hub is never gathered.
     """
-
-    def accept(pairs: pd.DataFrame) -> pd.DataFrame:
-        degree: dict[str, int] = {}
-        kept = []
-        pairs = pairs.sort_values(["a_id", "b_id"])
-        for a, b in zip(pairs["a_id"], pairs["b_id"], strict=True):
-            free = degree.get(a, 0) < max_degree and degree.get(b, 0) < max_degree
-            kept.append(free)
-            if free:
-                degree[a] = degree.get(a, 0) + 1
-                degree[b] = degree.get(b, 0) + 1
-        return pairs[kept]
-
-    return candidates.groupBy("query_id").applyInPandas(accept, candidates.schema)
+    pair = ["query_id", "a_id", "b_id"]
+    open_ = cut_lineage(candidates.select(*pair).distinct(), "open")
+    accepted = cut_lineage(open_.limit(0), "accepted")
+    ends = lambda rows: rows.select(*pair, F.explode(F.array("a_id", "b_id")).alias("end"))
+    while not open_.isEmpty():
+        used = ends(accepted).groupBy("query_id", "end").agg(F.count(F.lit(1)).alias("used"))
+        near = top_per_key(ends(open_), ["query_id", "end"], [F.col("a_id"), F.col("b_id")], max_degree, "place")
+        near = near.join(used, ["query_id", "end"], "left").filter(F.col("place") + F.coalesce("used", F.lit(0)) < max_degree)
+        more = near.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select(*pair)
+        before = accepted
+        accepted = cut_lineage(accepted.union(more), "accepted")
+        used = ends(accepted).groupBy("query_id", "end").agg(F.count(F.lit(1)).alias("used"))
+        full = cut_lineage(used.filter(F.col("used") >= max_degree).select("query_id", "end"), "full")
+        left = open_.join(accepted, pair, "left_anti")
+        for column in ("a_id", "b_id"):
+            left = left.join(full.withColumnRenamed("end", column), ["query_id", column], "left_anti")
+        left = cut_lineage(left.select(*pair), "open")
+        for old in (before, open_, full):
+            release(old)
+        open_ = left
+    return candidates.join(accepted, pair, "left_semi")
 
 
 def bridge_relations(bridges: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from factloom.functions import text as T
 from factloom.operators.pairs import CandidateRules, Classifier, candidate_pairs, lexical_classifier
 from factloom.operators.temporal import supersession_edges
 from factloom.scale import SALTS, salted_copies
-from factloom.session import cut_lineage
+from factloom.session import cut_lineage, release
 
 PAIR = ["query_id", "a_id", "b_id"]
 
@@ -273,33 +273,69 @@ def summary(claims: DataFrame, relations: DataFrame) -> DataFrame:
     return joined.na.fill(0)
 
 
-def source_lineage(claims: DataFrame, relations: DataFrame, *, max_rounds: int = 64) -> DataFrame:
-    """Chain of superseded claims from each claim, smallest id first at each step.
+def _jumps(step: DataFrame) -> DataFrame:
+    """query_id, claim_id, head for claims that lead into a cycle of ``step`` (query_id, claim_id, next): ``head`` is
+    the smallest claim of the cycle for claims on it and null for claims before it.
 
-    Path doubling: after round r every claim knows its next 2^r steps. Edges run
-    from newer to older, so a chain cannot return to its start.
+    Pointers double, so after round r a claim knows where 2^r steps lead and the smallest claim on the way. Once that is
+    more steps than a query has claims, only claims that lead into a cycle have a pointer, and it is on the cycle.
     """
-    step = (
-        of_types(relations, [S.SUPERSESSION])
-        .groupBy("query_id", F.col("source_claim_id").alias("claim_id"))
-        .agg(F.min("target_claim_id").alias("_end"))
-    )
-    paths = claims.select("query_id", "claim_id").join(step, ["query_id", "claim_id"], "left")
-    paths = paths.withColumn("lineage", F.array("claim_id"))
-    for _ in range(max_rounds):
+    key = ["query_id", "claim_id"]
+    jumps = cut_lineage(step.select(*key, F.col("next").alias("to"), F.least("claim_id", "next").alias("least")), "jumps")
+    longest = jumps.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    reach = 1
+    while reach <= longest:
+        on = jumps.select("query_id", F.col("claim_id").alias("to"), F.col("to").alias("_to"), F.col("least").alias("_least"))
+        more = jumps.join(on, ["query_id", "to"]).select(*key, F.col("_to").alias("to"), F.least("least", "_least").alias("least"))
+        more = cut_lineage(more, "jumps")
+        release(jumps)
+        jumps, reach = more, 2 * reach
+        if jumps.isEmpty():
+            break
+    ring = jumps.select("query_id", F.col("to").alias("claim_id"), F.lit(True).alias("_on")).distinct()
+    return jumps.join(ring, key, "left").select(*key, F.when(F.col("_on"), F.col("least")).alias("head"))
+
+
+def _paths(claims: DataFrame, step: DataFrame) -> DataFrame:
+    """query_id, claim_id, lineage: the chain of ``step``, which has no cycle, from each claim, by path doubling."""
+    key = ["query_id", "claim_id"]
+    paths = claims.select(*key).join(step.withColumnRenamed("next", "_end"), key, "left").withColumn("lineage", F.array("claim_id"))
+    while True:
         paths = cut_lineage(paths, "lineage")
         if paths.filter(F.col("_end").isNotNull()).isEmpty():
             return paths.drop("_end")
-        tail = paths.select(
-            "query_id", F.col("claim_id").alias("_end"), F.col("lineage").alias("_tail"), F.col("_end").alias("_next")
-        )
+        tail = paths.select("query_id", F.col("claim_id").alias("_end"), F.col("lineage").alias("_tail"), F.col("_end").alias("_next"))
         paths = paths.join(tail, ["query_id", "_end"], "left").select(
-            "query_id",
-            "claim_id",
-            F.concat("lineage", F.coalesce("_tail", F.array().cast("array<string>"))).alias("lineage"),
-            F.col("_next").alias("_end"),
+            *key, F.concat("lineage", F.coalesce("_tail", F.array().cast("array<string>"))).alias("lineage"), F.col("_next").alias("_end")
         )
-    raise RuntimeError("supersession edges contain a cycle")
+
+
+def source_lineage(claims: DataFrame, relations: DataFrame) -> DataFrame:
+    """Chain of superseded claims from each claim, smallest id first at each step, up to the first claim met again.
+
+    Cycles are found first and opened at their smallest claim and where chains enter them; what follows there, the rest of the
+    cycle, is put behind the paths. Without a cycle this is path doubling alone.
+    """
+    key = ["query_id", "claim_id"]
+    step = of_types(relations, [S.SUPERSESSION]).groupBy("query_id", F.col("source_claim_id").alias("claim_id"))
+    step = cut_lineage(step.agg(F.min("target_claim_id").alias("next")).join(claims.select(*key), key, "left_semi"), "steps")
+    caught = cut_lineage(_jumps(step), "caught")
+    if caught.isEmpty():
+        return _paths(claims, step)
+    heads = caught.filter("head IS NOT NULL")
+    into = step.join(heads.select("query_id", F.col("claim_id").alias("next"), F.col("head").alias("_head")), ["query_id", "next"], "left")
+    into = into.join(heads, key, "left")  # _head: the next claim is on a cycle; head: this one is
+    opened = F.col("_head").isNotNull() & (F.col("head").isNull() | (F.col("next") == F.col("_head")))
+    into = cut_lineage(into.withColumn("opened", opened), "opened")
+    paths = _paths(claims, into.filter("NOT opened").select(*key, "next"))
+    rings = paths.join(heads, key)
+    whole = rings.filter(F.col("claim_id") == F.col("head")).select("query_id", "head", F.col("lineage").alias("_whole"))
+    before = F.slice("_whole", 1, F.size("_whole") - F.size("lineage"))
+    rings = cut_lineage(rings.join(whole, ["query_id", "head"]).select(*key, F.concat("lineage", before).alias("ring")), "rings")
+    entries = into.filter("opened AND head IS NULL").select("query_id", F.col("claim_id").alias("_last"), F.col("next").alias("_entry"))
+    rest = entries.join(rings.select("query_id", F.col("claim_id").alias("_entry"), F.col("ring").alias("_rest")), ["query_id", "_entry"]).drop("_entry")
+    joined = paths.withColumn("_last", F.element_at("lineage", -1)).join(rings, key, "left").join(rest, ["query_id", "_last"], "left")
+    return joined.select(*key, F.coalesce("ring", F.concat("lineage", "_rest"), "lineage").alias("lineage"))
 
 
 # --- validation ----------------------------------------------------------------

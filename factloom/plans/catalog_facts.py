@@ -12,9 +12,9 @@ from pyspark.sql.window import Window as W
 
 from factloom import schemas as S
 from factloom.operators import graph as G
-from factloom.operators import packaging, reasoning, temporal
+from factloom.operators import bridges, packaging, reasoning, temporal
 from factloom.plans import oracle as O
-from factloom.plans.registry import longs, query, table
+from factloom.plans.registry import joined, longs, query, table
 from factloom.session import cut_lineage
 
 KEY = ["query_id", "claim_id"]
@@ -54,11 +54,11 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def newer_edges(claims: DataFrame) -> DataFrame:
-    found = temporal.supersession_edges(claims)
+def newer_edges(found: DataFrame) -> DataFrame:
+    """Relations of (newer_id, older_id) rows."""
     return found.select(
         "query_id", F.concat_ws(":", F.lit("s"), "newer_id", "older_id").alias("relation_id"), F.col("newer_id").alias("source_claim_id"),
-        F.col("older_id").alias("target_claim_id"), F.lit(S.SUPERSESSION).alias("relation_type"), F.col("confidence").alias("relation_confidence"),
+        F.col("older_id").alias("target_claim_id"), F.lit(S.SUPERSESSION).alias("relation_type"), F.lit(0.9).alias("relation_confidence"),
         F.lit("directed").alias("direction"), F.lit("").alias("rationale"),
     )
 
@@ -73,8 +73,18 @@ def contradictions(claims: DataFrame) -> DataFrame:
 
 
 def fact_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Claims, and all of their relations: pairs of a user's facts, for the queries that return these."""
     claims = cut_lineage(facts(spark, folder), "facts")
-    return claims, cut_lineage(newer_edges(claims).unionByName(contradictions(claims)), "relations")
+    return claims, cut_lineage(newer_edges(temporal.supersession_edges(claims)).unionByName(contradictions(claims)), "relations")
+
+
+def narrow_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Claims, and relations of their number: contradictions, supersession between their ends and one edge to every old claim."""
+    claims = cut_lineage(facts(spark, folder), "facts")
+    against = cut_lineage(contradictions(claims), "contradictions")
+    between = temporal.supersession_between(claims, against.select("query_id", F.col("source_claim_id").alias("a_id"), F.col("target_claim_id").alias("b_id")))
+    newer = temporal.superseding(claims).select(between.columns).union(between).distinct()
+    return claims, cut_lineage(newer_edges(newer).unionByName(against), "relations")
 
 
 def resolved(claims: DataFrame, relations: DataFrame) -> DataFrame:
@@ -130,7 +140,7 @@ def fact_lineage(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def fact_conflicts(spark: SparkSession, folder: str) -> DataFrame:
-    found = resolved(*fact_graph(spark, folder))
+    found = resolved(*narrow_graph(spark, folder))
     return found.select("query_id", "component", F.array_join("claim_ids", ",").alias("members"), "outcome", "preferred_claim_id")
 
 
@@ -144,7 +154,7 @@ def fact_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def fact_status(spark: SparkSession, folder: str) -> DataFrame:
-    claims, relations = fact_graph(spark, folder)
+    claims, relations = narrow_graph(spark, folder)
     return packaging.evidence_status(claims.select(*KEY), relations, resolved(claims, relations)).select(*KEY, "status")
 
 
@@ -184,7 +194,91 @@ GROUP BY f.query_id""",
     ),
 )
 def fact_summary(spark: SparkSession, folder: str) -> DataFrame:
-    found = G.summary(*fact_graph(spark, folder))
-    kinds = [f"{S.SUPERSESSION}_edges", f"{S.CONTRADICTION}_edges"]
-    found = found.select("query_id", "num_nodes", "num_sources", F.col(kinds[0]).alias("supersedes_edges"), F.col(kinds[1]).alias("contradicts_edges"))
+    claims = cut_lineage(facts(spark, folder), "facts")
+    found = G.summary(claims, contradictions(claims)).join(temporal.supersession_counts(claims), "query_id", "left")
+    edges = [F.coalesce("pairs", F.lit(0)).alias("supersedes_edges"), F.col(f"{S.CONTRADICTION}_edges").alias("contradicts_edges")]
+    found = found.select("query_id", "num_nodes", "num_sources", *edges)
     return longs(found, "num_nodes", "num_sources", "supersedes_edges", "contradicts_edges")
+
+
+def ring_facts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Events of a user as claims; the k-th of n is superseded by number (k * k + 1) % n, which runs into cycles."""
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
+    n = F.count(F.lit(1)).over(W.partitionBy("user_id"))
+    rows = table(spark, folder, "events").select(F.col("user_id").cast("string").alias("query_id"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("claim_id"), place.alias("k"), n.alias("n"))
+    rows = cut_lineage(rows, "rings")
+    to = rows.select("query_id", F.col("k").alias("to"), F.col("claim_id").alias("target_claim_id"))
+    edges = rows.select("query_id", F.col("claim_id").alias("source_claim_id"), ((F.col("k") * F.col("k") + 1) % F.col("n")).alias("to")).join(to, ["query_id", "to"])
+    return rows, edges.withColumn("relation_type", F.lit(S.SUPERSESSION))
+
+
+@query(
+    "ring_lineage",
+    O.chain(
+        """r AS (SELECT CAST(user_id AS VARCHAR) AS query_id, 'e' || event_id AS claim_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k,
+  count(*) OVER (PARTITION BY user_id) AS n FROM events)""",
+        "step AS (SELECT a.query_id, a.claim_id, b.claim_id AS next FROM r a JOIN r b ON a.query_id = b.query_id AND b.k = (a.k * a.k + 1) % a.n)",
+        """walk AS (SELECT query_id, claim_id, claim_id AS at, [claim_id] AS lineage FROM r
+  UNION ALL SELECT w.query_id, w.claim_id, s.next, list_append(w.lineage, s.next) FROM walk w JOIN step s ON s.query_id = w.query_id AND s.claim_id = w.at
+  WHERE NOT list_contains(w.lineage, s.next))""",
+        recursive=True,
+        final="SELECT query_id, claim_id, array_to_string(arg_max(lineage, len(lineage)), ',') AS lineage FROM walk GROUP BY query_id, claim_id",
+    ),
+)
+def ring_lineage(spark: SparkSession, folder: str) -> DataFrame:
+    return G.source_lineage(*ring_facts(spark, folder)).select(*KEY, F.array_join("lineage", ",").alias("lineage"))
+
+
+_LINES = """c AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS query_id, concat_ws('-', 'l' || l_orderkey, l_linenumber, l_partkey, l_suppkey) AS claim_id, l_orderkey, l_linenumber,
+  ['Supplier' || (l_suppkey % 10), 'Part' || (l_partkey % 50), 'Line' || l_linenumber] AS names FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+g AS (SELECT CAST(o_custkey AS VARCHAR) AS query_id, ['Supplier' || (o_custkey % 10), 'Part' || (o_custkey % 50)] AS goals FROM orders GROUP BY o_custkey),
+e AS (SELECT query_id, claim_id, names, unnest(names) AS name FROM c),
+met AS (SELECT DISTINCT a.query_id, a.claim_id AS a_id, b.claim_id AS b_id, a.names AS an, b.names AS bn FROM e a JOIN e b ON a.query_id = b.query_id AND a.name = b.name AND a.claim_id < b.claim_id),
+linked AS (SELECT DISTINCT least(a.claim_id, b.claim_id) AS a_id, greatest(a.claim_id, b.claim_id) AS b_id FROM c a JOIN c b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+pairs AS (SELECT m.query_id, m.a_id, m.b_id, list_sort(list_intersect(an, bn)) AS shared, list_sort(list_intersect(list_intersect(an, bn), goals)) AS asked,
+    list_has_any(an, goals) AS a_asked, list_has_any(bn, goals) AS b_asked FROM met m JOIN g ON g.query_id = m.query_id ANTI JOIN linked l ON l.a_id = m.a_id AND l.b_id = m.b_id
+  WHERE len(list_intersect(an, bn)) < 3 AND (list_has_any(an, goals) OR list_has_any(bn, goals)))"""
+_RATED = "round(0.6 + CASE WHEN len(asked) > 0 THEN 0.2 ELSE 0 END + CASE WHEN a_asked AND b_asked THEN 0.2 ELSE 0 END, 4)"
+
+
+def line_bridges(spark: SparkSession, folder: str) -> DataFrame:
+    """Bridge candidates among a customer's order lines; a line supports the next one of its order."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    lines = lines.join(table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    name = lambda kind, c, n=None: F.concat(F.lit(kind), (F.col(c) % n if n else F.col(c)).cast("string"))
+    entities = [name("Supplier", "l_suppkey", 10), name("Part", "l_partkey", 50), name("Line", "l_linenumber")]
+    claim = F.concat_ws("-", F.concat(F.lit("l"), F.col("l_orderkey").cast("string")), *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey")])
+    rows = lines.select(F.col("o_custkey").cast("string").alias("query_id"), claim.alias("claim_id"), F.array(*entities).alias("entities"), F.concat_ws(" in ", *entities).alias("text"), "l_orderkey", "l_linenumber")
+    rows = cut_lineage(rows.distinct(), "lines")
+    after = rows.select("query_id", "l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("claim_id").alias("target_claim_id"))
+    support = rows.withColumnRenamed("claim_id", "source_claim_id").join(after, ["query_id", "l_orderkey", "l_linenumber"])
+    support = support.select("query_id", "source_claim_id", "target_claim_id", F.lit(S.SUPPORT).alias("relation_type"))
+    asked = F.concat_ws(" with ", name("compare Supplier", "o_custkey", 10), name("Part", "o_custkey", 50))
+    queries = table(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias("query_id"), asked.alias("text")).distinct()
+    return bridges.bridge_candidates(rows, support, queries)
+
+
+@query(
+    "line_bridge_candidates",
+    O.chain(_LINES, final=f"SELECT query_id, a_id, b_id, coalesce(asked[1], shared[1]) AS bridge_entity, array_to_string(shared, '|') AS bridge_terms, CAST({_RATED} AS DOUBLE) AS confidence FROM pairs"),
+)
+def line_bridge_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    return line_bridges(spark, folder).withColumn("bridge_terms", joined("bridge_terms"))
+
+
+@query(
+    "line_bridges_by_degree",
+    O.chain(
+        _LINES,
+        "placed AS MATERIALIZED (SELECT query_id, a_id, b_id, coalesce(asked[1], shared[1]) AS bridge_entity, row_number() OVER (PARTITION BY query_id ORDER BY a_id, b_id) AS k FROM pairs)",
+        """walk AS (SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS a_id, CAST(NULL AS VARCHAR) AS b_id, CAST(NULL AS VARCHAR) AS bridge_entity, false AS kept, CAST([] AS VARCHAR[]) AS ends FROM placed
+  UNION ALL SELECT query_id, k, a_id, b_id, bridge_entity, fits, CASE WHEN fits THEN ends || [a_id, b_id] ELSE ends END FROM (
+    SELECT p.*, w.ends, len(list_filter(w.ends, lambda x: x = p.a_id)) < 4 AND len(list_filter(w.ends, lambda x: x = p.b_id)) < 4 AS fits
+    FROM walk w JOIN placed p ON p.query_id = w.query_id AND p.k = w.k + 1))""",
+        recursive=True,
+        final="SELECT query_id, 'bridge-' || a_id || '-' || b_id AS relation_id, bridge_entity FROM walk WHERE kept",
+    ),
+)
+def line_bridges_by_degree(spark: SparkSession, folder: str) -> DataFrame:
+    found = bridges.limit_degree(line_bridges(spark, folder))
+    return bridges.bridge_relations(found).join(found.select("query_id", F.concat_ws("-", F.lit("bridge"), "a_id", "b_id").alias("relation_id"), "bridge_entity"), ["query_id", "relation_id"]).select("query_id", "relation_id", "bridge_entity")
