@@ -1,9 +1,7 @@
 """Choosing a compact evidence set under a token budget.
 
-The greedy and beam selectors are sequential by nature: every step depends on the
-claims chosen before. They run as one grouped function per query over the claims
-of that query's retrieved passages; everything they look at (neighbours, terms,
-costs) is prepared by joins.
+Greedy and beam selection are rounds over a table of states (claims chosen, terms and sources covered, cost, value),
+in which all queries take their next step at once; nothing is gathered per query.
 """
 
 from __future__ import annotations
@@ -11,8 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -21,6 +17,7 @@ from factloom import schemas as S
 from factloom.functions import text as T
 from factloom.operators import graph as G
 from factloom.scale import top_per_key
+from factloom.session import cut_lineage
 
 KEY = ["query_id", "claim_id"]
 
@@ -97,155 +94,148 @@ def context(
     )
 
 
-_PICKED = "query_id {kind}, claim_id string, position int, contribution double, reason string"
+#: Gains and values are rounded to so many places before they are compared, so ties are decided by ids everywhere.
+PLACES = 9
+_STATE = ["query_id", "rank", "chosen", "gains", "covered", "sources", "used", "value"]
 
 
-def _picked_schema(ctx: DataFrame) -> str:
-    return _PICKED.format(kind=ctx.schema["query_id"].dataType.simpleString())
+def _gain(goal: Objective) -> Column:
+    """What a claim (columns of :func:`context`) adds to a state (chosen, covered, sources)."""
+    facing = F.arrays_overlap("opponents", "chosen")
+    fresh = F.size(F.array_except("covers", "covered")) / F.greatest(F.col("query_terms"), F.lit(1))
+    gain = (
+        F.col("base")
+        + goal.coverage * fresh
+        + F.when(F.arrays_overlap("supporters", "chosen"), goal.coherence).otherwise(0.0)
+        + F.when(F.array_contains("sources", F.col("source_id")), -goal.lineage).otherwise(goal.independence)
+        + F.when(facing, goal.uncertainty).otherwise(0.0)
+        - F.when(F.arrays_overlap("duplicates", "chosen"), goal.redundancy).otherwise(0.0)
+        - F.when(F.col("open") & ~facing, goal.unresolved).otherwise(0.0)
+    )
+    return F.round(gain, PLACES)
 
 
-@dataclass
-class _Path:
-    """A partial selection: claims in order of choice, what they cover, cost and summed gains."""
+def _claims(ctx: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The claims a round looks at, and their links (query_id, at, claim_id); each written once, for all rounds."""
+    columns = [*KEY, "source_id", "base", "tokens", "covers", "query_terms", "supporters", "opponents", "duplicates", "open"]
+    claims = cut_lineage(ctx.select(*columns), "claims")
+    return claims, cut_lineage(ctx.select("query_id", F.col("claim_id").alias("at"), F.explode("linked").alias("claim_id")), "links")
 
-    claims: list[int]
-    chosen: np.ndarray
-    covered: np.ndarray
-    sources: np.ndarray
-    cost: int = 0
-    value: float = 0.0
 
+def _grown(states: DataFrame, claims: DataFrame, links: DataFrame, available: int, goal: Objective) -> DataFrame:
+    """Every state with each claim that touches it, is not in it and still fits, and the claim's gain; as often as it touches it.
 
-class _Board:
-    """One query's claims as arrays, largest base value first; rows of the matrices are the candidates."""
+    States meet claims over the links of what they hold, so a round's work grows with the neighbours of the states, not with
+    the claims of a query.
+    """
+    met = states.withColumn("at", F.explode("chosen")).join(links, ["query_id", "at"]).drop("at")
+    met = met.filter(~F.array_contains("chosen", F.col("claim_id"))).join(claims, KEY)
+    return met.filter(F.col("used") + F.col("tokens") <= available).withColumn("gain", _gain(goal))
 
-    def __init__(self, rows: pd.DataFrame, goal: Objective) -> None:
-        rows = rows.sort_values(["base", "claim_id"], ascending=[False, True]).reset_index(drop=True)
-        self.goal, self.ids = goal, rows["claim_id"].to_numpy(str)
-        self.base, self.tokens, self.open = rows["base"].to_numpy(float), rows["tokens"].to_numpy(int), rows["open"].to_numpy(bool)
-        self.by_id = np.argsort(np.argsort(self.ids))
-        terms = sorted({t for own in rows["covers"] for t in own})
-        self.covers = self._incidence(rows["covers"], terms)
-        self.query_terms = max(int(rows["query_terms"].iloc[0]), 1)
-        self.source = pd.factorize(rows["source_id"])[0]
-        self.linked, self.support, self.against, self.same = (
-            self._incidence(rows[c], self.ids) for c in ("linked", "supporters", "opponents", "duplicates")
-        )
 
-    @staticmethod
-    def _incidence(lists: pd.Series, names) -> np.ndarray:
-        place = {name: k for k, name in enumerate(names)}
-        out = np.zeros((len(lists), len(place)), bool)
-        for row, own in enumerate(lists):
-            out[row, [place[x] for x in own if x in place]] = True
-        return out
-
-    def start(self) -> _Path:
-        n = len(self.ids)
-        return _Path([], np.zeros(n, bool), np.zeros(self.covers.shape[1], bool), np.zeros(self.source.max() + 1, bool))
-
-    def gains(self, path: _Path) -> np.ndarray:
-        """What every claim would add to the path."""
-        g = self.goal
-        facing = (self.against & path.chosen).any(axis=1)
-        fresh = (self.covers & ~path.covered).sum(axis=1) / self.query_terms
-        signs = np.stack(
-            [
-                self.base, g.coverage * fresh,
-                np.where((self.support & path.chosen).any(axis=1), g.coherence, 0.0),
-                np.where(path.sources[self.source], -g.lineage, g.independence),
-                np.where(facing, g.uncertainty, 0.0),
-                np.where((self.same & path.chosen).any(axis=1), -g.redundancy, 0.0),
-                np.where(self.open & ~facing, -g.unresolved, 0.0),
-            ]
-        )
-        return signs.sum(axis=0)
+def _after(value: Column) -> list[Column]:
+    """The next state of a grown one, but for its rank."""
+    return [
+        F.col("query_id"), F.array_append("chosen", F.col("claim_id")).alias("chosen"), F.array_append("gains", F.col("gain")).alias("gains"),
+        F.array_union("covered", "covers").alias("covered"), F.array_union("sources", F.array("source_id")).alias("sources"),
+        (F.col("used") + F.col("tokens")).alias("used"), F.round(value, PLACES).alias("value"),
+    ]
 
-    def reachable(self, path: _Path, available: int) -> np.ndarray:
-        """Claims outside the path that touch it and still fit."""
-        return (self.linked & path.chosen).any(axis=1) & ~path.chosen & (path.cost + self.tokens <= available)
 
-    def extended(self, path: _Path, claim: int, gain: float) -> _Path:
-        chosen, sources = path.chosen.copy(), path.sources.copy()
-        chosen[claim] = sources[self.source[claim]] = True
-        return _Path(
-            [*path.claims, claim], chosen, path.covered | self.covers[claim], sources, path.cost + int(self.tokens[claim]), path.value + float(gain)
-        )
+def _empty(claims: DataFrame) -> DataFrame:
+    none = F.array().cast("array<string>")
+    return claims.withColumns(
+        {"chosen": none, "gains": F.array().cast("array<double>"), "covered": none, "sources": none, "used": F.lit(0), "value": F.lit(0.0)}
+    )
 
 
-Picked = list[tuple[str, float, str]]
+def _rows(states: DataFrame) -> DataFrame:
+    """query_id, position, claim_id, contribution of states."""
+    pairs = F.arrays_zip("chosen", "gains")
+    return states.select("query_id", F.posexplode(pairs).alias("position", "_p")).select(
+        "query_id", F.col("_p.chosen").alias("claim_id"), "position", F.round("_p.gains", 6).alias("contribution"))
 
 
-def _greedy(board: _Board, available: int) -> Picked:
-    affordable = np.flatnonzero(board.tokens <= available)
-    if not len(affordable):
-        return []
-    first = int(affordable[0])
-    path = board.extended(board.start(), first, board.base[first])
-    picked = [(board.ids[first], float(board.base[first]), "first: largest base value that fits")]
+def select_greedy(ctx: DataFrame, budget: Budget, goal: Objective | None = None) -> DataFrame:
+    """Grow a connected set by marginal gain, then keep open counterparts.
+
+    All queries take their next claim in the same round: the claims that touch a query's set are met by a join, and the one
+    of the largest gain (ties: smallest id) is one combinable minimum per query. Queries without a positive gain are done.
+    The rounds are bounded by the budget, as every claim costs a token.
+    """
+    goal, available = goal or Objective(), budget.available
+    claims, links = _claims(ctx)
+    start = _empty(claims.filter(F.col("tokens") <= available)).withColumn("gain", F.round("base", PLACES))
+    pick = F.struct((-F.col("gain")).alias("less"), F.col("claim_id"), F.struct(*_after(F.col("value") + F.col("gain"))).alias("state"))
+
+    def best(rows: DataFrame) -> DataFrame:
+        chosen = rows.groupBy("query_id").agg(F.min(pick).alias("_b"))
+        return chosen.select("_b.state.*").withColumn("rank", F.lit(0)).select(_STATE)
+
+    states = cut_lineage(best(start), "states")
+    done = []
     while True:
-        gains = np.where(board.reachable(path, available), board.gains(path), -np.inf)
-        if not gains.max() > 0:
+        more = cut_lineage(best(_grown(states, claims, links, available, goal).filter("gain > 0")), "states")
+        if more.isEmpty():
+            done.append(states)
             break
-        ties = np.flatnonzero(gains == gains.max())
-        claim = int(ties[board.by_id[ties].argmin()])
-        picked.append((board.ids[claim], float(gains[claim]), "added: gain above zero"))
-        path = board.extended(path, claim, gains[claim])
-    # an open question shows both of its sides, as far as they fit
-    for claim in [c for c in path.claims if board.open[c]]:
-        sides = np.flatnonzero(board.against[claim])
-        for other in sides[board.by_id[sides].argsort()].tolist():
-            if not path.chosen[other] and path.cost + board.tokens[other] <= available:
-                picked.append((board.ids[other], board.goal.uncertainty, "kept: other side of an open contradiction"))
-                path = board.extended(path, other, board.goal.uncertainty)
-    return picked
-
-
-def _beam(board: _Board, available: int) -> Picked:
-    """Paths grow by one claim a round; the search ends when the best longer path is no better than the best so far."""
-    empty = board.start()
-    alone = board.gains(empty)
-    paths = [board.extended(empty, int(c), alone[c]) for c in np.flatnonzero(board.tokens <= available)[: board.goal.beam_width]]
-    best = max(paths, key=lambda p: (p.value, [board.ids[c] for c in p.claims]), default=None)
-    while paths:
-        grown = []
-        for path in paths:
-            gains = board.gains(path)
-            grown += [(path, int(c), path.value + float(gains[c])) for c in np.flatnonzero(board.reachable(path, available))]
-        grown.sort(key=lambda x: (-x[2], sorted(board.ids[c] for c in (*x[0].claims, x[1]))))
-        paths = [board.extended(path, c, total - path.value) for path, c, total in grown[: board.goal.beam_width]]
-        if not paths or paths[0].value <= best.value:
-            break
-        best = paths[0]
-    return [(board.ids[c], float(board.base[c]), "on the best path found") for c in best.claims] if best else []
-
-
-def _sequential(ctx: DataFrame, budget: Budget, goal: Objective, rule) -> DataFrame:
-    available = budget.available
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        picked = rule(_Board(rows, goal), available)
-        return pd.DataFrame(
-            {
-                "query_id": [rows["query_id"].iloc[0]] * len(picked),
-                "claim_id": [p[0] for p in picked],
-                "position": list(range(len(picked))),
-                "contribution": [round(p[1], 6) for p in picked],
-                "reason": [p[2] for p in picked],
-            }
-        )
-
-    return ctx.groupBy("query_id").applyInPandas(run, _picked_schema(ctx))
+        done.append(states.join(more.select("query_id"), "query_id", "left_anti"))
+        states = more
+    ended = done[0]
+    for part in done[1:]:
+        ended = ended.unionByName(part)
+    ended = cut_lineage(ended, "selected")
+    rows = _rows(ended).withColumn("reason", F.when(F.col("position") == 0, "first: largest base value that fits").otherwise("added: gain above zero"))
 
+    # an open question shows both of its sides, as far as they fit
+    sides = rows.join(claims.filter("open"), KEY).select("query_id", "position", F.explode("opponents").alias("claim_id"))
+    sides = sides.join(ended.select("query_id", "chosen"), "query_id").filter(~F.array_contains("chosen", F.col("claim_id")))
+    sides = sides.groupBy(*KEY).agg(F.min("position").alias("position")).join(claims.select(*KEY, "tokens"), KEY)
+    listed = sides.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "claim_id", "tokens"))).alias("sides"))
+    listed = listed.join(ended.select("query_id", "used", F.size("chosen").alias("first")), "query_id")
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = acc["used"] + x["tokens"] <= available
+        return F.struct(
+            F.when(fits, acc["used"] + x["tokens"]).otherwise(acc["used"]).alias("used"),
+            F.when(fits, F.array_append(acc["ids"], x["claim_id"])).otherwise(acc["ids"]).alias("ids"))
 
-def select_greedy(ctx: DataFrame, budget: Budget, goal: Objective | None = None) -> DataFrame:
-    """Grow a connected set by marginal gain, then keep open counterparts."""
-    return _sequential(ctx, budget, goal or Objective(), _greedy)
+    kept = F.aggregate("sides", F.struct("used", F.array().cast("array<string>").alias("ids")), step, lambda acc: acc["ids"])
+    kept = listed.select("query_id", "first", F.posexplode(kept).alias("_k", "claim_id"))
+    kept = kept.select("query_id", "claim_id", (F.col("first") + F.col("_k")).alias("position"), F.lit(goal.uncertainty).alias("contribution"),
+                       F.lit("kept: other side of an open contradiction").alias("reason"))
+    return rows.unionByName(kept)
 
 
 def select_beam(ctx: DataFrame, budget: Budget, goal: Objective | None = None) -> DataFrame:
-    """Bounded search over connected extensions by total gain."""
-    return _sequential(ctx, budget, goal or Objective(), _beam)
+    """Bounded search over connected extensions by total gain.
+
+    States are rows; in a round all states of all queries grow by one claim over a join with its neighbours, and the best
+    ``beam_width`` of a query stay (WindowGroupLimit sends no more per task). Ties go to the smaller sorted ids, then
+    to the state that ranked before. A query is done when its best state is no better than the best before.
+    """
+    goal, available = goal or Objective(), budget.available
+    claims, links = _claims(ctx)
+    start = _empty(claims.filter(F.col("tokens") <= available)).withColumns({"gain": _gain(goal), "rank": F.lit(0)})
+    first = top_per_key(start, ["query_id"], [F.desc("base"), F.asc("claim_id")], goal.beam_width, "_first").drop("rank").withColumnRenamed("_first", "rank")
+    states = cut_lineage(first.select(*_after(F.col("value") + F.col("gain")), "rank").select(_STATE), "states")
+    top = F.max(F.struct("value", "chosen", F.struct("gains", "used", "covered", "sources").alias("rest"))).alias("_b")
+    best = cut_lineage(states.groupBy("query_id").agg(top).select("query_id", "_b.value", "_b.chosen", "_b.rest.gains", F.lit(0).alias("round")), "best")
+    bests = best
+    for number in range(1, available + 1):  # every claim costs a token
+        grown = _grown(states, claims, links, available, goal).dropDuplicates([*KEY, "rank"]).withColumn("total", F.round(F.col("value") + F.col("gain"), PLACES))
+        order = [F.desc("total"), F.array_sort(F.array_append("chosen", F.col("claim_id"))), F.asc("rank"), F.desc("base"), F.asc("claim_id")]
+        kept = top_per_key(grown, ["query_id"], order, goal.beam_width, "_next")
+        kept = cut_lineage(kept.select(*_after(F.col("total")), F.col("_next").alias("rank")).select(_STATE), "states")
+        better = kept.filter("rank = 0").join(best.select("query_id", F.col("value").alias("_was")), "query_id").filter(F.col("value") > F.col("_was"))
+        best = cut_lineage(better.select("query_id", "value", "chosen", "gains", F.lit(number).alias("round")), "best")
+        if best.isEmpty():
+            break
+        bests = bests.unionByName(best)
+        states = kept.join(best.select("query_id"), "query_id", "left_semi").select(_STATE)
+    last = bests.groupBy("query_id").agg(F.max_by(F.struct("chosen", "gains"), "round").alias("_b")).select("query_id", "_b.*")
+    rows = _rows(last).join(claims.select(*KEY, "base"), KEY)
+    return rows.select(*KEY, "position", F.round("base", 6).alias("contribution"), F.lit("on the best path found").alias("reason"))
 
 
 def select_top(ctx: DataFrame, budget: Budget) -> DataFrame:
@@ -296,9 +286,14 @@ def select_best(board: DataFrame, n: int) -> DataFrame:
     return top_per_key(board, ["query_id"], order, n, "position")
 
 
-def explain(ctx: DataFrame, picked: DataFrame, rejected: str = "rejected: no positive connected marginal gain") -> DataFrame:
-    """A row per candidate claim, selected or not, with its reason."""
-    rows = ctx.join(picked, KEY, "left")
+def explain(ctx: DataFrame, picked: DataFrame, budget: Budget, rejected: str = "rejected: no positive connected marginal gain") -> DataFrame:
+    """A row per candidate claim, selected or not, with its reason.
+
+    Where no claim of a query fits, all are over the budget; else ``rejected`` says why the rest is not there.
+    """
+    fits = ctx.groupBy("query_id").agg((F.min("tokens") <= budget.available).alias("_any"))
+    rows = ctx.join(picked, KEY, "left").join(fits, "query_id")
+    over = F.when(~F.col("_any"), F.lit("rejected: exceeds token budget")).otherwise(F.lit(rejected))
     return rows.select(
         *KEY,
         "source_id",
@@ -307,7 +302,7 @@ def explain(ctx: DataFrame, picked: DataFrame, rejected: str = "rejected: no pos
         F.round("base", 6).alias("selection_score"),
         F.coalesce("contribution", F.lit(0.0)).alias("contribution"),
         F.col("position").isNotNull().alias("selected"),
-        F.coalesce("reason", F.lit(rejected)).alias("reason"),
+        F.coalesce("reason", over).alias("reason"),
         "supporters",
         "opponents",
         "duplicates",

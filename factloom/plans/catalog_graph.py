@@ -582,22 +582,104 @@ def evidence_status(spark: SparkSession, folder: str) -> DataFrame:
     return packaging.evidence_status(found.claims.select(*KEY), r.relations, r.conflicts)
 
 
-def _selected(spark: SparkSession, folder: str, rule) -> DataFrame:
+_BOARD = f"""
+sides AS (
+  SELECT query_id, relation_type, source_claim_id AS claim_id, target_claim_id AS other FROM relations
+  UNION SELECT query_id, relation_type, target_claim_id, source_claim_id FROM relations
+),
+around AS (
+  SELECT query_id, claim_id, list(DISTINCT other) AS linked, list(DISTINCT other) FILTER (relation_type = 'contradiction') AS opponents,
+         list(DISTINCT other) FILTER (relation_type = 'duplicate') AS duplicates FROM sides GROUP BY 1, 2
+),
+backed AS (SELECT query_id, target_claim_id AS claim_id, list(DISTINCT source_claim_id) AS supporters FROM relations WHERE relation_type = 'support' GROUP BY 1, 2),
+undecided AS (SELECT DISTINCT p.query_id, p.claim_id FROM conflict_parts p JOIN conflict_sets c ON c.query_id = p.query_id AND c.component = p.component WHERE c.outcome = 'unresolved'),
+ctx AS MATERIALIZED (
+  SELECT s.query_id, s.claim_id, s.source_id, CAST(s.query_utility AS DOUBLE) + CAST(b.belief AS DOUBLE) AS base, CAST(ceil(length(s.text) / 4.0) AS BIGINT) AS cost,
+         list_intersect({O.token_set('s.text')}, {O.token_set('q.text')}) AS covers, greatest(len({O.token_set('q.text')}), 1) AS terms,
+         coalesce(a.linked, []) AS linked, coalesce(a.opponents, []) AS opponents, coalesce(a.duplicates, []) AS duplicates, coalesce(k.supporters, []) AS supporters,
+         u.claim_id IS NOT NULL AS undecided
+  FROM scores s JOIN beliefs b ON b.query_id = s.query_id AND b.claim_id = s.claim_id JOIN queries q ON q.query_id = s.query_id
+  LEFT JOIN around a ON a.query_id = s.query_id AND a.claim_id = s.claim_id LEFT JOIN backed k ON k.query_id = s.query_id AND k.claim_id = s.claim_id
+  LEFT JOIN undecided u ON u.query_id = s.query_id AND u.claim_id = s.claim_id
+)
+"""
+_GAIN = """round(c.base + CAST(0.5 AS DOUBLE) * (len(list_filter(c.covers, lambda t: NOT list_contains(w.covered, t))) / c.terms)
+  + CASE WHEN list_has_any(c.supporters, w.chosen) THEN CAST(0.3 AS DOUBLE) ELSE 0 END + CASE WHEN list_contains(w.sources, c.source_id) THEN CAST(-0.5 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END
+  + CASE WHEN list_has_any(c.opponents, w.chosen) THEN CAST(0.2 AS DOUBLE) ELSE 0 END - CASE WHEN list_has_any(c.duplicates, w.chosen) THEN CAST(0.5 AS DOUBLE) ELSE 0 END
+  - CASE WHEN c.undecided AND NOT list_has_any(c.opponents, w.chosen) THEN CAST(0.3 AS DOUBLE) ELSE 0 END, 9)"""
+_NEXT = """list_append(w.chosen, c.claim_id) AS chosen, list_distinct(w.covered || c.covers) AS covered, list_distinct(list_append(w.sources, c.source_id)) AS sources, w.used + c.cost AS used"""
+_TOUCHES = "c.query_id = w.query_id AND list_has_any(c.linked, w.chosen) AND NOT list_contains(w.chosen, c.claim_id) AND w.used + c.cost <= 192"
+_REPORT = """SELECT c.query_id, c.claim_id, round(c.base, 6) AS selection_score, coalesce(p.contribution, 0) AS contribution, p.position IS NOT NULL AS selected,
+  coalesce(p.position, -1) AS position, coalesce(p.reason, CASE WHEN min(c.cost) OVER (PARTITION BY c.query_id) > 192 THEN 'rejected: exceeds token budget' ELSE '{other}' END) AS reason, c.cost AS tokens
+FROM ctx c LEFT JOIN picked p ON p.query_id = c.query_id AND p.claim_id = c.claim_id"""
+
+_GREEDY = f"""
+growth AS (
+  SELECT query_id, CAST(0 AS BIGINT) AS k, min({{'less': -round(base, 9), 'claim_id': claim_id, 'chosen': [claim_id], 'covered': covers, 'sources': [source_id], 'used': cost}}) AS b
+  FROM ctx WHERE cost <= 192 GROUP BY query_id
+  UNION ALL
+  SELECT query_id, k, min({{'less': -gain, 'claim_id': claim_id, 'chosen': chosen, 'covered': covered, 'sources': sources, 'used': used}}) FROM (
+    SELECT w.query_id, w.k + 1 AS k, c.claim_id, {_GAIN} AS gain, {_NEXT}
+    FROM (SELECT query_id, k, b.chosen, b.covered, b.sources, b.used FROM growth) w JOIN ctx c ON {_TOUCHES}) WHERE gain > 0 GROUP BY query_id, k
+),
+ended AS (SELECT query_id, arg_max(b, k) AS b FROM growth GROUP BY query_id),
+counter AS (
+  SELECT e.query_id, other, min(w.k) AS k FROM growth w JOIN ended e ON e.query_id = w.query_id JOIN (SELECT query_id, claim_id, unnest(opponents) AS other FROM ctx WHERE undecided) o
+    ON o.query_id = w.query_id AND o.claim_id = w.b.claim_id WHERE NOT list_contains(e.b.chosen, other) GROUP BY 1, 2
+),
+counters AS (SELECT n.query_id, n.other, c.cost, row_number() OVER (PARTITION BY n.query_id ORDER BY n.k, n.other) AS place FROM counter n JOIN ctx c ON c.query_id = n.query_id AND c.claim_id = n.other),
+both_sides AS (
+  SELECT query_id, CAST(0 AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS claim_id, b.used AS used, CAST(len(b.chosen) AS BIGINT) AS position FROM ended
+  UNION ALL
+  SELECT s.query_id, n.place, CASE WHEN s.used + n.cost <= 192 THEN n.other END, CASE WHEN s.used + n.cost <= 192 THEN s.used + n.cost ELSE s.used END,
+         s.position + CASE WHEN s.claim_id IS NULL THEN 0 ELSE 1 END FROM both_sides s JOIN counters n ON n.query_id = s.query_id AND n.place = s.place + 1
+),
+picked AS (
+  SELECT query_id, b.claim_id AS claim_id, k AS position, round(-b.less, 6) AS contribution, CASE WHEN k = 0 THEN 'first: largest base value that fits' ELSE 'added: gain above zero' END AS reason FROM growth
+  UNION ALL SELECT query_id, claim_id, position, 0.2, 'kept: other side of an open contradiction' FROM both_sides WHERE claim_id IS NOT NULL
+)
+"""
+
+_BEAM = f"""
+firsts AS (SELECT w.*, row_number() OVER (PARTITION BY query_id ORDER BY base DESC, claim_id) AS place, {_GAIN.replace("c.", "w.").replace("w.covered", "[]").replace("w.chosen", "[]").replace("w.sources", "[]")} AS gain FROM ctx w WHERE cost <= 192),
+growth AS (
+  SELECT query_id, CAST(1 AS BIGINT) AS k, place, gain AS value, max(gain) OVER (PARTITION BY query_id) AS best, [claim_id] AS chosen, covers AS covered, [source_id] AS sources, cost AS used FROM firsts WHERE place <= 4
+  UNION ALL
+  SELECT query_id, k, place, value, lead AS best, chosen, covered, sources, used FROM (
+    SELECT *, max(value) OVER (PARTITION BY query_id) AS lead FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, sorted, before, base DESC, claim_id) AS place FROM (
+        SELECT w.query_id, w.k + 1 AS k, w.best, w.place AS before, c.base, c.claim_id, round(w.value + {_GAIN}, 9) AS value, list_sort(list_append(w.chosen, c.claim_id)) AS sorted, {_NEXT}
+        FROM growth w JOIN ctx c ON {_TOUCHES})) WHERE place <= 4) WHERE lead > best
+),
+ended AS (SELECT query_id, max({{'k': k, 'value': value, 'chosen': CASE WHEN k = 1 OR place = 1 THEN chosen END}}) FILTER (k = 1 OR place = 1) AS b FROM growth GROUP BY query_id),
+picked AS (SELECT e.query_id, e.claim_id, e.position, round(c.base, 6) AS contribution, 'on the best path found' AS reason
+  FROM (SELECT query_id, unnest(b.chosen) AS claim_id, unnest(range(0, len(b.chosen))) AS position FROM ended) e JOIN ctx c ON c.query_id = e.query_id AND c.claim_id = e.claim_id)
+"""
+
+
+def _selected(spark: SparkSession, folder: str, rule, rejected: str) -> DataFrame:
     found, r = reasoned(spark, folder)
     ctx = cut_lineage(
         selection.context(found.claims, r.relations, r.board, found.queries, r.conflicts, selection.Objective()), "context"
     )
-    return selection.explain(ctx, rule(ctx, selection.Budget()))
+    budget = selection.Budget()
+    picked = cut_lineage(rule(ctx, budget), "picked")
+    rows = selection.explain(ctx, picked, budget, rejected).join(picked.select(*KEY, "position"), KEY, "left")
+    rows = rows.select(*KEY, "selection_score", "contribution", "selected", F.coalesce("position", F.lit(-1)).alias("position"), "reason", "tokens")
+    return longs(rows, "position", "tokens")
+
+
+_NO_GAIN, _NO_STATE = "rejected: no positive connected marginal gain", "rejected: not on the best path found"
 
 
-@query("greedy_selection")
+@query("greedy_selection", _sql([*O.BELIEF, O.CONFLICTS], _REPORT.format(other=_NO_GAIN), _BOARD, _GREEDY))
 def greedy_selection(spark: SparkSession, folder: str) -> DataFrame:
-    return _selected(spark, folder, selection.select_greedy)
+    return _selected(spark, folder, selection.select_greedy, _NO_GAIN)
 
 
-@query("beam_selection")
+@query("beam_selection", _sql([*O.BELIEF, O.CONFLICTS], _REPORT.format(other=_NO_STATE), _BOARD, _BEAM))
 def beam_selection(spark: SparkSession, folder: str) -> DataFrame:
-    return _selected(spark, folder, selection.select_beam)
+    return _selected(spark, folder, selection.select_beam, _NO_STATE)
 
 
 _PREFIX = """

@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +133,51 @@ def test_lineage_and_validation(spark):
     assert issues == {("confidence_out_of_range", "r3"), ("dangling_target", "r3")}
 
 
+def test_lineage_stops_at_cycles(spark):
+    rng = random.Random(4)
+    queries = {"ring": [1, 2, 0], "self": [0, 0], "tail": [1, 2, 3, 1, 0], "two": [1, 0, 3, 2, 2]} | {f"q{k}": [rng.randrange(12) if rng.random() < 0.9 else None for _ in range(12)] for k in range(20)}
+    table = claims(spark, *[(q, f"c{k:02}", "x", "s") for q, to in queries.items() for k in range(len(to))])
+    edges = [(q, f"r{k}", f"c{k:02}", f"c{t:02}", S.SUPERSESSION) for q, to in queries.items() for k, t in enumerate(to) if t is not None]
+    edges = spark.createDataFrame(edges, "query_id string, relation_id string, source_claim_id string, target_claim_id string, relation_type string")
+    found = {(r.query_id, r.claim_id): r.lineage for r in graph.source_lineage(table, edges).collect()}
+    for q, to in queries.items():
+        for k in range(len(to)):
+            want, at = [], k
+            while at is not None and at not in want:
+                want.append(at)
+                at = to[at]
+            assert found[q, f"c{k:02}"] == [f"c{x:02}" for x in want]
+
+
+def test_degree_limit_equals_the_sequential_rule(spark):
+    rng = random.Random(7)
+    pairs = sorted({(f"q{q}", *sorted(rng.sample([f"n{k:02}" for k in range(15)], 2))) for q in range(12) for _ in range(60)} | {("hub", "a", f"b{k:03}") for k in range(300)} | {("hub", "b001", "b002")})
+    found = bridges.limit_degree(spark.createDataFrame(pairs, "query_id string, a_id string, b_id string"), 3)
+    degree, want = {}, set()
+    for q, a, b in pairs:
+        if degree.get((q, a), 0) < 3 and degree.get((q, b), 0) < 3:
+            want.add((q, a, b))
+            for end in (a, b):
+                degree[q, end] = degree.get((q, end), 0) + 1
+    assert {tuple(r) for r in found.select("query_id", "a_id", "b_id").collect()} == want
+
+
+def test_linear_supersession_answers_equal_the_pairs(spark):
+    rng = random.Random(8)
+    times = [None, *[datetime(2024, 1, d) for d in range(1, 9)]]
+    rows = [("hot" if k % 3 else f"q{k % 5}", f"c{k:03}", rng.choice(["Sun", "sun", "", "moon"]), rng.choice(["is", "has", ""]), rng.choice("abc"), rng.choice(times)) for k in range(250)]
+    table = spark.createDataFrame(rows, "query_id string, claim_id string, subject string, predicate string, object string, valid_from timestamp")
+    table = table.selectExpr("*", "cast(array() as array<string>) quantities", "cast(array() as array<string>) dates", "cast(null as timestamp) asserted_at", "cast(null as timestamp) observed_at", "cast(null as timestamp) published_at")
+    edges = {(r.query_id, r.newer_id, r.older_id) for r in temporal.supersession_edges(table).collect()}
+    newest = {(r.query_id, r.newer_id, r.older_id) for r in temporal.superseding(table).collect()}
+    assert newest <= edges and {(q, o) for q, _, o in newest} == {(q, o) for q, _, o in edges} and len(newest) == len({(q, o) for q, _, o in edges})
+    counts = {r.query_id: r.pairs for r in temporal.supersession_counts(table).collect()}
+    assert {q: n for q, n in counts.items() if n} == dict(Counter(q for q, _, _ in edges))
+    some = [(q, a[1], b[1]) for q in ("hot", "q0") for a in rows for b in rows if a[0] == b[0] == q and a[1] < b[1]]
+    between = {(r.query_id, r.newer_id, r.older_id) for r in temporal.supersession_between(table, spark.createDataFrame(some, "query_id string, a_id string, b_id string")).collect()}
+    assert between == {e for e in edges if e[0] in ("hot", "q0")}
+
+
 def test_bridges_respect_degree_and_evidence(spark):
     rows = [("q", f"c{i}", f"Ada Lovelace met Person{chr(65 + i)} today", "s", None, None, None, ["Ada Lovelace", f"Person{chr(65 + i)}"]) for i in range(7)]
     table = claims(spark, *rows)
