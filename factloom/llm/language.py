@@ -7,7 +7,8 @@ The language with the shortest code for the whole text wins.
 
 Costs of all byte strings seen in training are resolved beforehand into one table, so a text is scored by
 table lookups; unseen strings are resolved when they occur. The labelled rows may be a bounded sample (``MOST_ROWS`` per
-language), a tree keeps at most ``MOST_STRINGS`` strings of order ``ORDER``, the most frequent first.
+language), of which all strings and all languages count. Where they are too many for one table, groups of languages have
+tables of their own, which texts pass one after the other.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is everything if nothing was
 learned; ties go to the language first in order.
@@ -21,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from factloom.llm import wordhash as H
 from factloom.llm.common import bounded_sample
@@ -29,8 +29,8 @@ from factloom.session import cut_lineage
 
 ORDER = 3
 MOST_ROWS = 4_000
-MOST_STRINGS = 150_000
-MOST_LANGUAGES = 128
+#: Costs that a model holds, one for each of its strings and languages.
+CELLS = 32_000_000
 UNKNOWN = "und"
 
 
@@ -155,48 +155,89 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, *, most_rows: int = MOST_ROWS, most_strings: int = MOST_STRINGS) -> Model:
-    """Learn from docs (doc_id, text, lang); rows without text or lang are left out."""
+def _groups(sizes: list[tuple[str, int]], cells: int) -> list[list[str]]:
+    """Languages in order, cut so that a group's strings times its languages stay within ``cells``."""
+    groups: list[list[str]] = []
+    strings_ = 0
+    for name, n in sizes:
+        if not groups or (strings_ + n) * (len(groups[-1]) + 1) > cells:
+            groups.append([])
+            strings_ = 0
+        groups[-1].append(name)
+        strings_ += n
+    return groups
+
+
+def train(docs: DataFrame, *, most_rows: int = MOST_ROWS, cells: int = CELLS) -> list[Model]:
+    """Learn from docs (doc_id, text, lang), all languages and all strings of the rows; rows without text or lang are left out.
+
+    Languages are learned in groups whose tables have at most ``cells`` entries, or one language where it alone has more.
+    """
     rows = docs.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = bounded_sample(rows, "doc_id", "lang", most_rows)
     counts = rows.select("lang", "text").mapInArrow(_count, "lang string, code bigint, n bigint")
-    counts = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    first = W.partitionBy("lang").orderBy(F.col("n").desc(), "code")
-    kept = cut_lineage(counts.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= most_strings).drop("_k"), "strings")
-    languages = [r[0] for r in kept.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    found = kept.toPandas()  # bounded by languages and strings
-    parts = {name: part for name, part in found.groupby("lang")}
-    return Model(languages, [Tree(parts[x]["code"].to_numpy(np.int64), parts[x]["n"].to_numpy(float)) for x in languages])
+    counts = cut_lineage(counts.groupBy("lang", "code").agg(F.sum("n").alias("n")), "strings")
+    sizes = [(r["lang"], r["count"]) for r in counts.groupBy("lang").count().orderBy("lang").collect()]  # a row per language
+    models = []
+    for names in _groups(sizes, cells):
+        found = counts.filter(F.col("lang").isin(names)).toPandas()  # bounded by cells
+        parts = dict(tuple(found.groupby("lang")))
+        models.append(Model(names, [Tree(parts[x]["code"].to_numpy(np.int64), parts[x]["n"].to_numpy(float)) for x in names]))
+    return models
 
 
 _LETTERS = H.byte_class([*range(0x41, 0x5B), *range(0x61, 0x7B)])
 
 
-def language(text: Column, model: Model) -> Column:
-    """A struct of the language and its share of the probability of the text."""
+_STATE = "struct<lang:string,bits:double,rest:double>"
+
+
+def _improved(text: Column, known: Column, model: Model) -> Column:
+    """The best language of ``model`` and of those ``known`` before, its bits, and the sum of all probabilities over its own."""
 
-    @F.arrow_udf("struct<lang:string,score:double>")
-    def predict(texts: pa.Array) -> pa.Array:
-        names, scores = [], []
+    @F.arrow_udf(_STATE)
+    def predict(texts: pa.Array, before: pa.Array) -> pa.Array:
+        names, all_bits, all_rest = [], [], []
         strings_ = H.as_strings(texts)
+        known_lang = before.field("lang").to_pylist()
+        known_bits = before.field("bits").to_numpy(zero_copy_only=False).astype(float)
+        known_rest = before.field("rest").to_numpy(zero_copy_only=False).astype(float)
         for first, data, offsets in H.slices(strings_):
             n = len(offsets) - 1
             inside = np.concatenate([[0], np.cumsum(_LETTERS[data])])
             letters = inside[offsets[1:]] > inside[offsets[:-1]]
             for k in np.flatnonzero(~letters & (np.diff(offsets) > 0)).tolist():
                 letters[k] = any(c.isalpha() for c in strings_[first + k].as_py())
-            if not model.languages:
-                letters[:] = False
-                best, share = np.zeros(n, int), np.zeros(n)
-            else:
-                bits = model.costs(data, offsets)
-                best = bits.argmin(axis=1)
-                share = 1 / np.exp2(-np.minimum(bits - bits.min(axis=1, keepdims=True), 1000)).sum(axis=1)
-            names += [model.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist())]
-            scores.append(np.where(letters, share, 0.0))
-        score = pa.array(np.concatenate(scores) if scores else np.empty(0))
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), score], ["lang", "score"])
-
-    return predict(text)
+            bits = model.costs(data, offsets)
+            best = bits.argmin(axis=1)
+            least = bits[np.arange(n), best]
+            power = lambda x: np.exp2(-np.minimum(x, 1000))
+            rest = power(bits - least[:, None]).sum(axis=1)
+            was, was_rest = known_bits[first : first + n], known_rest[first : first + n]
+            better = np.isnan(was) | (least < was)
+            low = np.where(better, least, was)
+            fresh = np.isnan(was)
+            total = rest * power(least - low) + np.where(fresh, 0.0, was_rest) * power(np.where(fresh, low, was) - low)
+            names += [(model.languages[b] if new else old) if ok else None for b, new, old, ok in zip(best.tolist(), better.tolist(), known_lang[first : first + n], letters.tolist())]
+            all_bits.append(low)
+            all_rest.append(total)
+        join = lambda x: pa.array(np.concatenate(x) if x else np.empty(0))
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), join(all_bits), join(all_rest)], ["lang", "bits", "rest"])
+
+    return predict(text, known)
+
+
+def identify(rows: DataFrame, text: str, models: list[Model], out: str = "language") -> DataFrame:
+    """``rows`` and a struct ``out`` of the language and its share of the probability of the text.
+
+    Several models are applied one after the other, each over a written table, so no worker holds more than one.
+    """
+    state = F.lit(None).cast(_STATE)
+    for number, model in enumerate(models):
+        rows = rows.withColumn(out, _improved(F.col(text), state, model))
+        if number < len(models) - 1:
+            rows = cut_lineage(rows, "languages")
+        state = F.col(out)
+    found = F.col(f"{out}.lang") if models else F.lit(None).cast("string")
+    score = F.when(found.isNotNull(), 1 / F.col(f"{out}.rest")).otherwise(0.0) if models else F.lit(0.0)
+    return rows.withColumn(out, F.struct(F.coalesce(found, F.lit(UNKNOWN)).alias("lang"), score.alias("score")))

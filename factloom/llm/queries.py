@@ -74,8 +74,8 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     held_out = fold(F.col("doc_id"), 5) == 0
-    model = language.train(docs.filter(~held_out))
-    found = docs.select("doc_id", held_out.alias("held_out"), language.language(F.col("text"), model).alias("p"))
+    models = language.train(docs.filter(~held_out))
+    found = language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), "text", models, "p")
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 

@@ -249,17 +249,29 @@ def plain_bits(training, text):
 def test_code_lengths_equal_the_definition(spark):
     training = {"aa": ["the cat sat on the mat", "the dog"], "bb": ["le chat est là", "où est le chien é"]}
     rows = [(k, t, lang) for k, (lang, t) in enumerate((a, t) for a, ts in training.items() for t in ts)] + [(9, None, "aa"), (10, "zzz", None)]
-    model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    (model,) = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert model.languages == ["aa", "bb"]
     texts = ["the chat", "xyz", "", "là-bas où", "t", "ññ", "on the mat the cat"]
     offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
     got = model.costs(np.frombuffer("".join(texts).encode(), np.uint8), offsets)
     want = [[plain_bits(training[x], t) for x in model.languages] for t in texts]
     assert np.allclose(got, want, rtol=1e-5)
-    out = docs(spark, ["the cat", "est là", None, "", "123 !", "ß"]).select("doc_id", language.language(F.col("text"), model).alias("p")).collect()
+    out = language.identify(docs(spark, ["the cat", "est là", None, "", "123 !", "ß"]).select("doc_id", "text"), "text", [model], "p").select("doc_id", "p").collect()
     assert [r["p"]["lang"] for r in sorted(out)][:5] == ["aa", "bb", "und", "und", "und"] and sorted(out)[5]["p"]["lang"] != "und"
     nothing = language.train(docs(spark, []).select("doc_id", "text", "lang"))
-    assert docs(spark, ["abc"]).select(language.language(F.col("text"), nothing)["lang"]).first()[0] == "und"
+    assert language.identify(docs(spark, ["abc"]), "text", nothing).select("language.lang").first()[0] == "und"
+
+
+def test_many_languages_in_groups_equal_one_table(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(140)]
+    rows = [(k, f"{w} {words[(k + 1) % 140]} {w}", f"l{k:03}") for k, w in enumerate(words)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    whole, parts = language.train(labelled), language.train(labelled, cells=12_000)
+    assert len(whole) == 1 and len(whole[0].languages) == 140 and len(parts) > 2 and [x for m in parts for x in m.languages] == whole[0].languages
+    texts = docs(spark, [*words[:20], "zzz", None, "1"]).select("doc_id", "text")
+    got = [sorted(language.identify(texts, "text", models, "p").select("doc_id", "p.lang", "p.score").collect()) for models in (whole, parts)]
+    assert [r[:2] for r in got[0]] == [r[:2] for r in got[1]] and np.allclose([r[2] for r in got[0]], [r[2] for r in got[1]])
 
 
 def plain_segments(weights):
