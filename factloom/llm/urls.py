@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import bounded
+from factloom.llm.common import BROADCAST_KEYS, bounded
+from factloom.scale import within_rows
 from factloom.session import cut_lineage, release
 
 #: (verdict, host, path)
@@ -25,6 +26,7 @@ DAMPING = 0.85
 SETTLED, APART = 1e-5, 1e-4
 #: Steps between two tables that are written and compared.
 STRIDE = 10
+FEW_TASKS = 4
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 
@@ -64,15 +66,20 @@ def host_edges(pages: DataFrame) -> DataFrame:
 def propagate(edges: DataFrame, seeds: DataFrame, *, settled: float = SETTLED, damping: float = DAMPING) -> DataFrame:
     """kind, host, rank at the fixed point; seeds (kind, host, seed), edges (kind, src, dst, share).
 
-    A host first reached counts as changed, so chains of any length are followed to their ends.
+    A host first reached counts as changed, so chains of any length are followed to their ends. Ranks have at most a row for each
+    kind and host; while these are counted to be few, a round runs in ``FEW_TASKS`` tasks and leaves as few shuffle files.
     """
+    hosts = edges.select("kind", F.col("dst").alias("host")).union(seeds.select("kind", "host")).distinct()
+    few = within_rows(hosts, BROADCAST_KEYS)
+    small = lambda rows: rows.coalesce(FEW_TASKS) if few else rows
+    edges = small(edges)
     ranks = before = cut_lineage(seeds.select("kind", "host", F.col("seed").alias("rank")), "ranks")
     number = 0
     while True:
         number += 1
         sent = edges.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
         start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("rank"))
-        ranks = sent.union(start).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        ranks = small(small(sent.union(start)).groupBy("kind", "host").agg(F.sum("rank").alias("rank")))
         if number % STRIDE == 0:
             ranks = cut_lineage(ranks, "ranks")
             was = before.withColumnRenamed("rank", "was")
