@@ -122,6 +122,34 @@ def examples_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("read_text_folder", "SELECT doc_id, md5(text) AS digest, length(text) AS size FROM documents WHERE text IS NOT NULL")
+def read_text_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, some twenty to a text file, read back as a folder of text files."""
+    path = _folder(spark, "texts")
+    line = F.to_json(F.struct("doc_id", "text")).alias("value")
+    table(spark, folder, "documents").filter("text IS NOT NULL").select(line).write.option("maxRecordsPerFile", 20).text(path)
+    files = readers.text_folder(spark, path, max_bytes=128 * 1024 * 1024)
+    rows = files.select(F.explode(F.split("text", "\n")).alias("line")).select(F.from_json("line", "doc_id bigint, text string").alias("d"))
+    return longs(rows.select("d.doc_id", F.md5("d.text").alias("digest"), F.length("d.text").alias("size")), "size")
+
+
+@query(
+    "read_snapshot_limit",
+    """SELECT CAST(doc_id AS VARCHAR) AS example_id, 'about ' || source AS question, md5(text) AS text FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 100""",
+)
+def read_snapshot_limit(spark: SparkSession, folder: str) -> DataFrame:
+    """The first hundred examples of the snapshot that sorts first; the other one asks other questions."""
+    path = _folder(spark, "snapshots")
+    for name, start in (("snap-b", "not about "), ("snap-a", "about ")):
+        rows = table(spark, folder, "documents").select(
+            F.col("doc_id").cast("string").alias("id"), F.concat(F.lit(start), "source").alias("question"),
+            F.array(F.struct(F.col("source").alias("source_id"), "text", F.col("lang").alias("title"))).alias("documents"),
+        )
+        sinks.write_json(rows, f"{path}/{name}")
+    found = readers.first_examples(readers.examples_jsonl(spark, readers.latest_snapshot(spark, f"{path}/snap-*")), 100)
+    return found.select("example_id", "question", F.md5(F.col("documents")[0]["text"]).alias("text"))
+
+
 @query(
     "result_log_lines",
     """SELECT o_orderpriority AS variant, count(*) FILTER (o_orderkey % 50 <> 0) AS good, count(*) FILTER (o_orderkey % 50 = 0) AS bad,

@@ -532,14 +532,31 @@ def fact_verification_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "invalid_citations",
-    """SELECT l_orderkey, count_if(ps.p_partkey IS NULL)::BIGINT AS invalid FROM lineitem
-LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 25) ps ON p_partkey = l_partkey GROUP BY 1""",
+    """SELECT a.l_orderkey, count_if(NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_partkey = a.l_partkey AND b.l_returnflag = 'N'))::BIGINT AS invalid
+FROM lineitem a GROUP BY 1""",
 )
 def invalid_citations(spark: SparkSession, folder: str) -> DataFrame:
-    """Cited ids (with repeats) that are not among the known ids."""
-    known = table(spark, folder, "part").filter(F.col("p_size") <= 25).select(F.col("p_partkey").alias("l_partkey"), F.lit(1).alias("known"))
-    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey").join(known, "l_partkey", "left")
-    return rows.groupBy("l_orderkey").agg(F.count_if(F.col("known").isNull()).alias("invalid"))
+    """Cited ids (with repeats) that are not among the known ids: parts of an order that it did not keep."""
+    kept = F.when(F.col("l_returnflag") == "N", F.col("l_partkey"))
+    rows = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("cited"), F.collect_set(kept).alias("known"))
+    return longs(rows.select("l_orderkey", M.invalid_citations(F.col("cited"), F.col("known")).alias("invalid")), "invalid")
+
+
+@query(
+    "order_answer_matches",
+    O.chain(
+        """t AS (SELECT o_orderkey, o_orderpriority AS gold, CASE o_orderkey % 4 WHEN 0 THEN o_orderpriority WHEN 1 THEN lower(o_orderpriority) || '.'
+  WHEN 2 THEN '  ' ELSE o_orderstatus END AS prediction FROM orders)""",
+        final=f"""SELECT o_orderkey, CAST(prediction = gold AS INTEGER) AS exact_match, CAST(trim(prediction) = '' AS INTEGER) AS empty_prediction,
+  CAST(array_to_string({O.answer_words('prediction')}, ' ') = array_to_string({O.answer_words('gold')}, ' ') AS INTEGER) AS normalized_match FROM t""",
+    ),
+)
+def order_answer_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers about the priority of orders: right, right but for case and marks, blank, or wrong."""
+    key, priority = F.col("o_orderkey") % 4, F.col("o_orderpriority")
+    said = F.when(key == 0, priority).when(key == 1, F.concat(F.lower(priority), F.lit("."))).when(key == 2, F.lit("  ")).otherwise(F.col("o_orderstatus"))
+    rows = table(spark, folder, "orders").select("o_orderkey", said.alias("prediction"), priority.alias("gold"))
+    return evaluation.answer_scores(rows, ["o_orderkey"]).select("o_orderkey", "exact_match", "empty_prediction", "normalized_match")
 
 
 # --- datasets --------------------------------------------------------------------------------
@@ -582,19 +599,23 @@ def dataset_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "manifest_examples",
-    """SELECT l.doc_id, l.position, d.source, d.doc_id IS NULL AS missing FROM (
-  SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM labels) l
-LEFT JOIN (SELECT * FROM documents WHERE lang <> 'es') d ON d.doc_id = l.doc_id""",
+    """WITH m AS (SELECT example_id, row_number() OVER (ORDER BY example_id) - 1 AS position FROM (
+  SELECT doc_id AS example_id FROM labels UNION ALL SELECT -1 - item_id FROM benchmark))
+SELECT m.example_id, m.position, d.source, d.doc_id IS NULL AS missing FROM m LEFT JOIN documents d ON d.doc_id = m.example_id""",
 )
 def manifest_examples(spark: SparkSession, folder: str) -> DataFrame:
-    """A manifest of ids in order, joined to examples, with the missing ones."""
+    """A manifest of the labelled documents and of ids that name none, joined to the documents, with the missing ones."""
     from factloom.scale import running_total
-
-    labels = table(spark, folder, "labels").select("doc_id", F.lit(1).alias("all"))
-    manifest = running_total(labels, ["all"], "doc_id", F.lit(1).cast("bigint"), "position").select("doc_id", "position")
-    known = table(spark, folder, "documents").filter(F.col("lang") != "es").select("doc_id", "source")
-    rows = manifest.join(known, "doc_id", "left")
-    return longs(rows.withColumn("missing", F.col("source").isNull()), "position")
+    from factloom.sources import readers
+
+    ids = table(spark, folder, "labels").select(F.col("doc_id").alias("example_id")).unionByName(
+        table(spark, folder, "benchmark").select((F.lit(-1) - F.col("item_id")).alias("example_id")))
+    manifest = running_total(ids.withColumn("all", F.lit(1)), ["all"], "example_id", F.lit(1).cast("bigint"), "position").select("example_id", "position")
+    known = table(spark, folder, "documents").select(F.col("doc_id").alias("example_id"), "source")
+    found, missing = readers.by_manifest(known, cut_lineage(manifest, "manifest"))
+    rows = found.withColumn("missing", F.lit(False)).unionByName(
+        missing.withColumns({"source": F.lit(None).cast("string"), "missing": F.lit(True)}))
+    return longs(rows, "position")
 
 
 @query(
