@@ -101,6 +101,24 @@ def candidate_stats(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.candidate_stats(claims, found)
 
 
+@query(
+    "candidate_budget",
+    _sql(
+        [*O.CLAIMS, O.FEATURES, O.PAIRS],
+        """SELECT n.query_id, num_claims, num_claims * (num_claims - 1) // 2 AS possible_pairs, least(coalesce(g, 0), 5) AS generated_pairs,
+       num_claims * (num_claims - 1) // 2 - coalesce(g, 0) AS pruned_pairs, greatest(coalesce(g, 0) - 5, 0) AS budget_truncated
+FROM (SELECT query_id, count(*) AS num_claims FROM claims GROUP BY 1) n
+LEFT JOIN (SELECT query_id, count(*) AS g FROM pairs GROUP BY 1) p ON p.query_id = n.query_id""",
+    ),
+)
+def candidate_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs under a budget of five a query, and how many it cut off."""
+    claims = evidence(spark, folder).claims
+    found = cut_lineage(pairs.candidate_pairs(claims).select("query_id", "a_id", "b_id"), "pairs")
+    kept = pairs.candidate_pairs(claims, pairs.CandidateRules(max_pairs=5))
+    return pairs.candidate_stats(claims, cut_lineage(kept.select("query_id", "a_id", "b_id"), "kept"), found)
+
+
 @query(
     "lexical_relation_scores",
     _sql([*O.CLAIMS, O.FEATURES, O.PAIRS, O.SCORED], "SELECT query_id, a_id, b_id, entail, contra, neutral FROM scored"),
