@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from factloom import schemas as S
 from factloom.functions import text as T
 from factloom.functions.vectors import clamp01, logit, sigmoid
 from factloom.operators import graph as G
-from factloom.session import cut_lineage, release
+from factloom.session import cut_lineage
 
 KEY = ["query_id", "claim_id"]
 
@@ -198,46 +199,67 @@ def message_weights(claims: DataFrame, relations: DataFrame, rules: PropagationR
     return rows.select(*KEY, "sender", weight.alias("weight")).filter(F.col("weight") != 0)
 
 
+#: Rounds that run in one job before the stop test looks at all of them.
+ROUNDS_PER_JOB = 5
+
+
 def propagate(claims: DataFrame, relations: DataFrame, scores: DataFrame, rules: PropagationRules | None = None) -> DataFrame:
     """Damped fixed point of beliefs under support and contradiction.
 
     Returns ``query_id, claim_id, belief, iterations, converged, error`` for every claim; one without a score starts at
     0.5. Every query stops on its own when its largest change falls below the tolerance. A query that
     does not settle keeps its last beliefs and names the fault in ``error``; the others are not touched by it.
-    The rounds are joins and combinable sums at every size.
+
+    Edges are static rows by sender, with a row of its own for every claim, so a round is one join and one combinable
+    sum: its single shuffle carries messages and beliefs together, and its result already lies where the next join needs
+    it. A few rounds run in one job and keep the belief of each; the stop test then finds the first round at which a
+    query had settled. Settled queries leave before the next job.
     """
     rules = rules or PropagationRules()
-    weights = cut_lineage(message_weights(claims, relations, rules), "weights")
     start = F.least(F.greatest(F.coalesce("initial_belief", F.lit(0.5)), F.lit(0.0)), F.lit(1.0))
     nodes = claims.select(*KEY).distinct().join(scores.select(*KEY, "initial_belief"), KEY, "left")
-    state = nodes.select(
-        *KEY, logit(start, rules.logit_clamp).alias("base"), start.alias("belief"), F.lit(0).alias("iterations"), F.lit(False).alias("converged")
-    )
-    state = cut_lineage(state, "beliefs")
-    for _ in range(rules.max_iterations):
-        moved = cut_lineage(_step(state, weights, rules), "beliefs")
-        release(state)
-        state = moved
-        if state.filter(~F.col("converged")).isEmpty():
+    own = nodes.select(*KEY, F.col("claim_id").alias("sender"), start.alias("start"), logit(start, rules.logit_clamp).alias("base"))
+    flows = cut_lineage(message_weights(claims, relations, rules).unionByName(own, allowMissingColumns=True), "flows")
+    state = flows.filter(F.col("start").isNotNull()).select(*KEY, F.col("start").alias("b0"))
+    parts, done = [], 0
+    while done < rules.max_iterations:
+        rounds = min(ROUNDS_PER_JOB, rules.max_iterations - done)
+        for i in range(rounds):
+            state = _step(state, flows, i, rules)
+        state = cut_lineage(state, "beliefs")
+        # the largest changes of a query are a two-phase aggregate, so a query with very many claims is not gathered
+        changes = state.groupBy("query_id").agg(*[F.max(F.abs(F.col(f"b{i + 1}") - F.col(f"b{i}"))).alias(f"d{i}") for i in range(rounds)])
+        settled = F.coalesce(*[F.when(F.col(f"d{i}") < rules.tolerance, F.lit(i + 1)) for i in range(rounds)])
+        changes = changes.select("query_id", settled.alias("at"))
+        judged = state.join(changes, "query_id")
+        reached = F.element_at(F.array(*[f"b{i + 1}" for i in range(rounds)]), F.col("at"))
+        parts.append(
+            judged.filter(F.col("at").isNotNull()).select(*KEY, reached.alias("belief"), (F.col("at") + done).alias("iterations"), F.lit(True).alias("converged"))
+        )
+        state = judged.filter(F.col("at").isNull()).select(*KEY, F.col(f"b{rounds}").alias("b0"))
+        done += rounds
+        if changes.filter(F.col("at").isNull()).isEmpty():
             break
+    parts.append(state.select(*KEY, F.col("b0").alias("belief"), F.lit(done).alias("iterations"), F.lit(False).alias("converged")))
     message = F.lit(f"belief propagation did not settle within {rules.max_iterations} iterations")
     error = F.when(~F.col("converged"), message)
-    return state.select(*KEY, clamp01(F.col("belief")).alias("belief"), "iterations", "converged", error.alias("error"))
-
-
-def _step(state: DataFrame, weights: DataFrame, rules: PropagationRules) -> DataFrame:
-    """One synchronous update of every query that has not settled; settled ones send no messages."""
-    active = state.filter(~F.col("converged"))
-    sent = active.select("query_id", F.col("claim_id").alias("sender"), (2 * (F.col("belief") - 0.5)).alias("_signed"))
-    inbox = weights.join(sent, ["query_id", "sender"]).groupBy(*KEY).agg(F.sum(F.col("weight") * F.col("_signed")).alias("_net"))
-    target = sigmoid(F.col("base") + F.coalesce("_net", F.lit(0.0)), rules.logit_clamp)
-    moved = active.join(inbox, KEY, "left").withColumn("_next", rules.damping * F.col("belief") + (1 - rules.damping) * target)
-    # the largest change of a query is a two-phase aggregate, so a query with very many claims is not gathered
-    change = moved.groupBy("query_id").agg(F.max(F.abs(F.col("_next") - F.col("belief"))).alias("_delta"))
-    after = moved.join(change, "query_id").select(
-        *KEY, "base", F.col("_next").alias("belief"), (F.col("iterations") + 1).alias("iterations"), (F.col("_delta") < rules.tolerance).alias("converged")
+    return reduce(DataFrame.unionByName, parts).select(*KEY, clamp01(F.col("belief")).alias("belief"), "iterations", "converged", error.alias("error"))
+
+
+def _step(state: DataFrame, flows: DataFrame, done: int, rules: PropagationRules) -> DataFrame:
+    """One synchronous update: adds ``b<done+1>`` to the beliefs ``b0`` to ``b<done>`` of every claim."""
+    kept = [f"b{i}" for i in range(done + 1)]
+    own, last = F.col("start").isNotNull(), F.col(kept[-1])
+    met = flows.join(state.withColumnRenamed("claim_id", "sender"), ["query_id", "sender"])
+    sums = met.groupBy(*KEY).agg(
+        F.sum(F.col("weight") * (2 * (last - 0.5))).alias("_net"),
+        F.max("base").alias("_base"),
+        *[F.max(F.when(own, F.col(b))).alias(b) for b in kept],
     )
-    return after.unionByName(state.filter("converged"))
+    # a receiver that is no claim has no row of its own
+    target = sigmoid(F.col("_base") + F.coalesce("_net", F.lit(0.0)), rules.logit_clamp)
+    moved = rules.damping * last + (1 - rules.damping) * target
+    return sums.filter(F.col("_base").isNotNull()).select(*KEY, *kept, moved.alias(f"b{done + 1}"))
 
 
 def keep_initial(scores: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 from datetime import datetime
@@ -227,6 +228,36 @@ def test_claims_without_a_score_start_at_one_half(spark):
     assert found == {"a": (0.6, 1), "b": (0.5, 1), "z": (0.99, 1)}
 
 
+@pytest.mark.parametrize("limit", [0, 3, 7, 50])
+def test_propagation_equals_plain_rounds(spark, limit):
+    rng = random.Random(5)
+    table = claims(spark, *[(q, f"c{i}", "x", f"s{i}") for q in "pqr" for i in range(9)])
+    kinds = [S.SUPPORT, S.CONTRADICTION]
+    edges = [(q, *rng.sample([f"c{i}" for i in range(9)] + ["nobody"], 2), rng.choice(kinds), rng.uniform(0.2, 0.95)) for q in "qr" for _ in range(14)]
+    parts = [relations(spark, *[e[1:] for e in edges if e[0] == q]).withColumn("query_id", F.lit(q)) for q in "qr"]
+    graph = parts[0].unionByName(parts[1])
+    scores = spark.createDataFrame([(q, f"c{i}", rng.uniform(0.1, 0.9)) for q in "pqr" for i in range(8)], "query_id string, claim_id string, initial_belief double")
+    rules = reasoning.PropagationRules(max_iterations=limit, duplicate_discount=1.0)
+    weights = [tuple(r) for r in reasoning.message_weights(table, graph, rules).select("query_id", "claim_id", "sender", "weight").collect()]
+    first = {(r.query_id, r.claim_id): 0.5 for r in table.collect()} | {(r.query_id, r.claim_id): r.initial_belief for r in scores.collect()}
+    expected = {}
+    for q in "pqr":
+        base = {c: math.log(b / (1 - b)) for (p, c), b in first.items() if p == q}
+        belief, n, settled = {c: b for (p, c), b in first.items() if p == q}, 0, False
+        while n < limit and not settled:
+            net = dict.fromkeys(belief, 0.0)
+            for p, to, sender, w in weights:
+                if p == q and to in net:
+                    net[to] += w * (2 * belief[sender] - 1)
+            moved = {c: b / 2 + 0.5 / (1 + math.exp(-base[c] - net[c])) for c, b in belief.items()}
+            settled = max(abs(moved[c] - belief[c]) for c in belief) < rules.tolerance
+            belief, n = moved, n + 1
+        expected |= {(q, c): (round(b, 9), n, settled, not settled) for c, b in belief.items()}
+    found = reasoning.propagate(table, graph, scores, rules).collect()
+    assert {(r.query_id, r.claim_id): (round(r.belief, 9), r.iterations, r.converged, r.error is not None) for r in found} == expected
+    assert len(found) == len(expected)
+
+
 def test_repeated_source_counts_less_than_independent_ones(spark):
     table = claims(spark, ("q", "t", "x y", "s0"), ("q", "a", "x z", "s1"), ("q", "b", "x w", "s1"), ("q", "c", "x v", "s2"))
     asked = spark.createDataFrame([("q", "x")], S.QUERIES)
