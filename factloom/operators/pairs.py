@@ -2,8 +2,8 @@
 
 Claims of one query come from its top passages, so a query's claim set is bounded
 by the retrieval settings. Pairs are found by equality joins on the values that
-can make two claims a candidate (a shared token, entity or subject), never by
-enumerating all pairs.
+can make two claims a candidate (a rare enough shared token, an entity or a subject),
+never by enumerating all pairs.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from factloom.functions import fixed_values as V
 from factloom.functions import text as T
@@ -37,6 +38,7 @@ class CandidateRules:
     def blockable(self) -> bool:
         """True if every candidate shares a token, an entity or a subject."""
         unblocked = self.known_times or self.other_source or self.same_polarity or self.brute_force
+        unblocked = unblocked or (self.query_relevance and self.min_relevance <= 0) or (self.shared_entities and self.min_entities <= 0)
         return not unblocked and not (self.lexical_overlap and self.min_overlap <= 0)
 
 
@@ -58,39 +60,81 @@ def _features(claims: DataFrame) -> DataFrame:
 
 
 def _keys(rules: CandidateRules) -> Column:
-    parts = []
-    if rules.lexical_overlap:
-        parts.append(F.transform("terms", lambda t: F.concat(F.lit("t:"), t)))
+    """Values other than tokens that make two claims a candidate."""
+    none = F.array().cast("array<string>")
+    parts = [none]
     if rules.shared_entities:
         parts.append(F.transform("names", lambda t: F.concat(F.lit("e:"), t)))
     if rules.same_subject:
-        parts.append(F.when(F.col("subject_key") != "", F.array(F.concat(F.lit("s:"), "subject_key"))).otherwise(
-            F.array().cast("array<string>")
-        ))
+        parts.append(F.when(F.col("subject_key") != "", F.array(F.concat(F.lit("s:"), "subject_key"))).otherwise(none))
     if rules.query_relevance:
-        parts.append(F.transform("query_terms", lambda t: F.concat(F.lit("q:"), F.lit("relevant"))))
-    return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
+        parts.append(F.when(F.col("relevance") >= rules.min_relevance, F.array(F.lit("q:relevant"))).otherwise(none))
+    return F.array_distinct(F.concat(*parts))
+
+
+#: Slack of the bounds below, so that a ratio rounded in its last place is never lost.
+_SLACK = 1e-9
+
+
+def overlap_prefixes(rows: DataFrame, threshold: float) -> DataFrame:
+    """``query_id, claim_id, n, word, place``: the words by which claims of a given overlap must meet.
+
+    The ``n`` words of a claim are ordered from the rarest of its query to the most frequent, ties by the word. Two claims
+    with a Jaccard overlap of ``threshold`` share at least ``ceil(threshold * n)`` words of each, so they share one within
+    the first ``n - ceil(threshold * n) + 1`` places of both. Frequent words stand last and mostly fall outside.
+    Frequencies are combined before the shuffle.
+    """
+    words = rows.select("query_id", "claim_id", F.size("terms").alias("n"), F.explode("terms").alias("word"))
+    spread = words.groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("_claims"))
+    order = W.partitionBy("query_id", "claim_id").orderBy("_claims", "word")
+    placed = words.join(spread, ["query_id", "word"]).withColumn("place", F.row_number().over(order))
+    least = F.greatest(F.ceil(threshold * F.col("n") - _SLACK), F.lit(1))
+    return placed.filter(F.col("place") <= F.col("n") - least + 1).select("query_id", "claim_id", "n", "word", "place")
+
+
+def overlap_meetings(rows: DataFrame, threshold: float) -> DataFrame:
+    """``query_id, a_claim_id, b_claim_id``: every pair that can reach the overlap, most others left out.
+
+    ``rows`` holds ``query_id, claim_id`` and the distinct words ``terms``; ``threshold`` must be above 0. Beside the prefixes,
+    a pair must have lengths that allow the overlap, and enough words after the place where it meets: at the first
+    word it shares, both claims have nothing in common before.
+    """
+    if threshold <= 0:
+        raise ValueError("an overlap of 0 holds for every pair")
+    placed = overlap_prefixes(rows, threshold)
+    sides = [placed.select("query_id", "word", *[F.col(c).alias(f"{side}_{c}") for c in ("claim_id", "n", "place")]) for side in "ab"]
+    met = sides[0].join(sides[1], ["query_id", "word"]).filter(F.col("a_claim_id") < F.col("b_claim_id"))
+    lengths = F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - _SLACK
+    left = 1 + F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    enough = left >= threshold / (1 + threshold) * (F.col("a_n") + F.col("b_n")) - _SLACK
+    return met.filter(lengths & enough).select("query_id", "a_claim_id", "b_claim_id").distinct()
+
+
+def _meetings(rows: DataFrame, rules: CandidateRules) -> DataFrame:
+    """Distinct pairs that at least one equality rule can make a candidate."""
+    keyed = rows.select("query_id", "claim_id", F.explode(_keys(rules)).alias("key"))
+    left = keyed.select("query_id", "key", F.col("claim_id").alias("a_claim_id"))
+    right = keyed.select("query_id", "key", F.col("claim_id").alias("b_claim_id"))
+    met = left.join(right, ["query_id", "key"]).filter(F.col("a_claim_id") < F.col("b_claim_id")).select("query_id", "a_claim_id", "b_claim_id")
+    if rules.lexical_overlap:
+        met = met.unionByName(overlap_meetings(rows, rules.min_overlap))
+    return met.distinct()
 
 
 def candidate_pairs(claims: DataFrame, rules: CandidateRules | None = None, queries: DataFrame | None = None) -> DataFrame:
     """Unordered pairs ``a_id < b_id`` per query with the reasons for each."""
     rules = rules or CandidateRules()
     rows = _features(claims)
+    relevance = F.lit(0.0)
     if rules.query_relevance and queries is not None:
         terms = queries.select("query_id", T.token_set(F.col("text")).alias("_q"))
-        rows = rows.join(terms, "query_id").withColumn("relevance", T.jaccard(F.col("terms"), F.col("_q")))
-        rows = rows.withColumn("query_terms", F.array_intersect("terms", "_q")).drop("_q")
-    else:
-        rows = rows.withColumn("relevance", F.lit(0.0)).withColumn("query_terms", F.array().cast("array<string>"))
+        rows, relevance = rows.join(terms, "query_id"), T.jaccard(F.col("terms"), F.col("_q"))
+    rows = rows.withColumn("relevance", relevance).drop("_q")
     a = rows.select([F.col(c).alias(c if c == "query_id" else f"a_{c}") for c in rows.columns])
     b = rows.select([F.col(c).alias(c if c == "query_id" else f"b_{c}") for c in rows.columns])
     ordered = F.col("a_claim_id") < F.col("b_claim_id")
     if rules.blockable():
-        keyed = rows.select("query_id", "claim_id", F.explode(_keys(rules)).alias("key"))
-        left = keyed.select("query_id", "key", F.col("claim_id").alias("a_claim_id"))
-        right = keyed.select("query_id", "key", F.col("claim_id").alias("b_claim_id"))
-        met = left.join(right, ["query_id", "key"]).filter(ordered)
-        met = met.select("query_id", "a_claim_id", "b_claim_id").distinct()
+        met = _meetings(rows, rules)
         pairs = met.join(a, ["query_id", "a_claim_id"]).join(b, ["query_id", "b_claim_id"])
     else:
         pairs = a.join(b, "query_id").filter(ordered)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom import schemas as S
+from factloom.functions import text as T
 from factloom.operators import bridges as BR
 from factloom.operators import extraction, packaging, pairs, reasoning, selection, temporal
 from factloom.operators import graph as G
@@ -101,8 +102,57 @@ def candidate_stats(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.candidate_stats(claims, found)
 
 
+_MEETINGS = """
+claim_words AS MATERIALIZED (SELECT query_id, claim_id, len(terms) AS n, unnest(terms) AS word FROM feats),
+word_counts AS (SELECT query_id, word, count(*) AS c FROM claim_words GROUP BY ALL),
+ranked_words AS MATERIALIZED (
+  SELECT w.*, row_number() OVER (PARTITION BY w.query_id, w.claim_id ORDER BY c, w.word) AS place
+  FROM claim_words w JOIN word_counts s ON s.query_id = w.query_id AND s.word = w.word
+),
+word_pairs AS (SELECT a.query_id, a.claim_id AS a_id, b.claim_id AS b_id, a.n AS a_n, b.n AS b_n, a.place AS a_place, b.place AS b_place
+  FROM ranked_words a JOIN ranked_words b ON a.query_id = b.query_id AND a.word = b.word AND a.claim_id < b.claim_id),
+overlap_steps AS (SELECT unnest([2, 5, 8]) AS tenths),
+met_pairs AS (
+  SELECT query_id, tenths, a_id, b_id, count(*) * 10 >= tenths * (a_n + b_n - count(*)) AS alike,
+    bool_or(10 * (a_n - a_place) + 10 >= tenths * a_n AND 10 * (b_n - b_place) + 10 >= tenths * b_n
+      AND 10 * least(a_n, b_n) >= tenths * greatest(a_n, b_n)
+      AND (10 + tenths) * (1 + least(a_n - a_place, b_n - b_place)) >= tenths * (a_n + b_n)) AS met
+  FROM word_pairs CROSS JOIN overlap_steps GROUP BY query_id, tenths, a_id, b_id, a_n, b_n
+)
+"""
+
+
 @query(
-    "candidate_budget",
+    "overlap_meetings",
+    _sql(
+        [*O.CLAIMS, O.FEATURES, _MEETINGS],
+        """SELECT query_id, CAST(tenths AS BIGINT) AS tenths, count(*) AS sharing, count(*) FILTER (met) AS met, count(*) FILTER (alike) AS alike
+FROM met_pairs GROUP BY 1, 2""",
+    ),
+)
+def overlap_meetings(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of claims that share a word, that the overlap join lets meet, and that reach overlaps of 0.2, 0.5 and 0.8."""
+    claims = evidence(spark, folder).claims
+    rows = cut_lineage(claims.select("query_id", "claim_id", T.token_set(F.col("text")).alias("terms")), "claim-words")
+    words = rows.select("query_id", "claim_id", F.size("terms").alias("n"), F.explode("terms").alias("word"))
+    sides = [words.select("query_id", "word", F.col("claim_id").alias(f"{x}_claim_id"), F.col("n").alias(f"{x}_n")) for x in "ab"]
+    both = sides[0].join(sides[1], ["query_id", "word"]).filter("a_claim_id < b_claim_id")
+    pair = ["query_id", "a_claim_id", "b_claim_id"]
+    sharing = cut_lineage(both.groupBy(*pair, "a_n", "b_n").agg(F.count(F.lit(1)).alias("shared")), "sharing")
+    parts = []
+    for tenths in (2, 5, 8):
+        met = pairs.overlap_meetings(rows, tenths / 10).withColumn("met", F.lit(True))
+        alike = F.col("shared") * 10 >= tenths * (F.col("a_n") + F.col("b_n") - F.col("shared"))
+        parts.append(sharing.join(met, pair, "left").select("query_id", F.lit(tenths).alias("tenths"), F.coalesce("met", F.lit(False)).alias("met"), alike.alias("alike")))
+    judged = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    found = judged.groupBy("query_id", "tenths").agg(
+        F.count(F.lit(1)).alias("sharing"), F.count_if("met").alias("met"), F.count_if("alike").alias("alike")
+    )
+    return longs(found, "tenths")
+
+
+@query(
+    "candidate_budget_stats",
     _sql(
         [*O.CLAIMS, O.FEATURES, O.PAIRS],
         """SELECT n.query_id, num_claims, num_claims * (num_claims - 1) // 2 AS possible_pairs, least(coalesce(g, 0), 5) AS generated_pairs,
@@ -111,7 +161,7 @@ FROM (SELECT query_id, count(*) AS num_claims FROM claims GROUP BY 1) n
 LEFT JOIN (SELECT query_id, count(*) AS g FROM pairs GROUP BY 1) p ON p.query_id = n.query_id""",
     ),
 )
-def candidate_budget(spark: SparkSession, folder: str) -> DataFrame:
+def candidate_budget_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs under a budget of five a query, and how many it cut off."""
     claims = evidence(spark, folder).claims
     found = cut_lineage(pairs.candidate_pairs(claims).select("query_id", "a_id", "b_id"), "pairs")

@@ -63,6 +63,42 @@ def test_pruned_candidates_equal_brute_force(spark):
         assert pruned.get((r.a_id, r.b_id), []) == want
 
 
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.6, 0.8, 1.0])
+def test_overlap_meetings_lose_no_pair_and_skip_most(spark, threshold):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    often = [1 / (i + 1) for i in range(60)]
+    texts = [set(rng.choices(words, often, k=rng.randint(0, 14))) for _ in range(60)]
+    texts += [set(words[:5]), set(words[4:9]), set(words[:10]), set(words[:8]), set(words[:8]), set()]
+    rows = [(q, f"c{i:02d}", sorted(t)) for q in "pq" for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "query_id string, claim_id string, terms array<string>")
+    found = [(r.query_id, r.a_claim_id, r.b_claim_id) for r in pairs.overlap_meetings(table, threshold).collect()]
+    sharing, alike = set(), set()
+    for q, a, left in rows:
+        for p, b, right in rows:
+            common = len(set(left) & set(right))
+            if p == q and a < b and common:
+                sharing.add((q, a, b))
+                if common >= threshold * len(set(left) | set(right)) - 1e-12:
+                    alike.add((q, a, b))
+    assert alike and alike <= set(found) <= sharing and len(found) == len(set(found))
+    assert len(found) < len(sharing) * (0.95 if threshold < 0.5 else 0.3)
+    assert pairs.overlap_meetings(table.limit(0), threshold).count() == 0
+
+
+def test_overlap_of_zero_is_refused(spark):
+    with pytest.raises(ValueError, match="every pair"):
+        pairs.overlap_meetings(spark.createDataFrame([], "query_id string, claim_id string, terms array<string>"), 0.0)
+
+
+def test_candidates_by_relevance_alone(spark):
+    table = claims(spark, ("q", "a", "acme grew", "s"), ("q", "b", "acme fell today", "s"), ("q", "c", "other words", "s"))
+    asked = spark.createDataFrame([("q", "acme")], S.QUERIES)
+    only = {"shared_entities": False, "lexical_overlap": False, "same_subject": False, "query_relevance": True}
+    found = lambda least: {(r.a_id, r.b_id) for r in pairs.candidate_pairs(table, pairs.CandidateRules(**only, min_relevance=least), asked).collect()}
+    assert found(0.3) == {("a", "b")} and found(0.4) == set() and found(0.0) == {("a", "b"), ("a", "c"), ("b", "c")}
+
+
 def test_candidate_budget_prefers_more_signals(spark):
     table = claims(
         spark,
