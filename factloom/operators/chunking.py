@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions import fixed_values as V
 from factloom.functions import text as T
 from factloom.scale import spread
 
-_SPANS = "array<struct<first:int,last:int,start:int,end:int>>"
+#: The pieces of ``T.chunk_sentence_pieces``.
+_PIECE = re.compile(V.CHUNK_SENTENCE.replace(r"\z", r"\Z"))
+#: Documents of an Arrow batch whose chunks are built together.
+DOCUMENTS_AT_ONCE = 1000
 
 
 def _pack(leads: np.ndarray, bodies: np.ndarray, lengths: np.ndarray, size: int, overlap: int) -> list[dict]:
@@ -31,17 +38,20 @@ def _pack(leads: np.ndarray, bodies: np.ndarray, lengths: np.ndarray, size: int,
     return spans
 
 
-def packed_spans(pieces: Column, size: int, overlap: int) -> Column:
-    @F.pandas_udf(_SPANS)
-    def pack(leads: pd.Series, bodies: pd.Series, lengths: pd.Series) -> pd.Series:
-        rows = zip(leads, bodies, lengths, strict=True)
-        return pd.Series([_pack(a, b, c, size, overlap) if len(c) else [] for a, b, c in rows])
+def _sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leading spaces, stripped length and length of every piece of a text; the pieces cover it."""
+    pieces = _PIECE.findall(text)
+    lengths = [len(p) for p in pieces]
+    leads = [n - len(p.lstrip(V.SPACES)) for n, p in zip(lengths, pieces, strict=True)]
+    bodies = [len(p.strip(V.SPACES)) for p in pieces]
+    return np.array(leads, "int64"), np.array(bodies, "int64"), np.array(lengths, "int64")
 
-    return pack(
-        F.transform(pieces, T.lead),
-        F.transform(pieces, lambda p: F.length(T.strip(p))),
-        F.transform(pieces, F.length),
-    )
+
+def _chunks(text: str, size: int, overlap: int) -> list[tuple[int, int, str]]:
+    """Start, end and text of the chunks of one stripped text; a text without any sentence is kept whole."""
+    if not text:
+        return [(0, 0, text)]
+    return [(s["start"], s["end"], text[s["start"] : s["end"]]) for s in _pack(*_sentences(text), size, overlap)]
 
 
 def whole_documents(documents: DataFrame) -> DataFrame:
@@ -61,37 +71,27 @@ def sentence_chunks(documents: DataFrame, size: int = 512, overlap: int = 64) ->
     """Pack whole sentences into passages of at most ``size`` characters.
 
     An oversized sentence is its own passage; a text without any sentence is kept
-    whole. Splitting and slicing stay in the JVM, only piece lengths go to Python.
+    whole. Texts are cut in one pass over Arrow batches, so a long text costs no more per character than a short one.
     """
     if size < 1 or overlap < 0 or overlap >= size:
         raise ValueError("need size >= 1 and 0 <= overlap < size")
     keys = [c for c in ("query_id", "document_id", "source_id") if c in documents.columns]
-    base = spread(documents, "document_id").select(*keys, T.strip(F.col("text")).alias("_text"))
-    base = base.withColumn("_pieces", T.chunk_sentence_pieces(F.col("_text")))
-    spans = base.withColumn("_spans", packed_spans(F.col("_pieces"), size, overlap))
-    whole = F.array(
-        F.struct(
-            F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0).alias("start"), F.length("_text").alias("end")
-        )
-    )
-    packed = F.transform(
-        F.col("_spans"),
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            T.strip(F.array_join(F.slice("_pieces", s["first"] + 1, s["last"] - s["first"] + 1), "")).alias("text"),
-        ),
-    )
-    kept_whole = F.transform(
-        whole, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.col("_text").alias("text"))
-    )
-    chunks = F.when(F.size("_spans") > 0, packed).otherwise(kept_whole)
-    # the outer form keeps Spark from building the chunks again for a "not empty" filter
-    rows = spans.select(*keys, F.posexplode_outer(chunks).alias("_i", "_c")).filter(F.col("_c").isNotNull())
-    return rows.select(
-        F.concat("document_id", F.lit("::p"), F.col("_i").cast("string")).alias("passage_id"),
-        *keys,
-        F.col("_c.start").alias("span_start"),
-        F.col("_c.end").alias("span_end"),
-        F.col("_c.text").alias("text"),
-    )
+    base = spread(documents, "document_id").filter(F.col("text").isNotNull()).select(*keys, T.strip(F.col("text")).alias("text"))
+    fields = ", ".join(f"{c} {base.schema[c].dataType.simpleString()}" for c in keys)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, DOCUMENTS_AT_ONCE):
+                batch = whole.slice(at, DOCUMENTS_AT_ONCE)
+                found = [_chunks(t, size, overlap) for t in batch["text"].to_pylist()]
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(c) for c in found]), "int64")
+                flat = [c for chunks in found for c in chunks]
+                columns = {c: batch[c].take(rows) for c in keys}
+                columns["place"] = pa.array([i for chunks in found for i in range(len(chunks))], "int32")
+                for k, (name, kind) in enumerate((("span_start", "int32"), ("span_end", "int32"), ("text", "string"))):
+                    columns[name] = pa.array([c[k] for c in flat], kind)
+                yield pa.RecordBatch.from_pydict(columns)
+
+    rows = base.mapInArrow(cut, f"{fields}, place int, span_start int, span_end int, text string")
+    passage = F.concat("document_id", F.lit("::p"), F.col("place").cast("string"))
+    return rows.select(passage.alias("passage_id"), *keys, "span_start", "span_end", "text")

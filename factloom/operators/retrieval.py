@@ -8,14 +8,19 @@ score, then id. Scores are rounded before ranking so that ties are real ties.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from factloom.functions import fixed_values as V
 from factloom.functions import text as T
 from factloom.functions.vectors import hashed_embedding
 from factloom.session import cut_lineage
@@ -108,8 +113,111 @@ def bm25_within(passages: DataFrame, queries: DataFrame, k: int, *, k1: float =
     return top_per_key(scored.filter(F.col("score") > 0), ["query_id"], _ordered(), k, "rank")
 
 
-def bm25_top_k(passages: DataFrame, queries: DataFrame, k: int, **options: float) -> DataFrame:
-    return top_per_key(bm25_scores(passages, queries, **options), ["query_id"], _ordered(), k, "rank")
+def bm25_top_k(passages: DataFrame, queries: DataFrame, k: int, *, k1: float = K1, b: float = B) -> DataFrame:
+    """The best ``k`` passages of each query by ``bm25_scores``.
+
+    While the terms of all queries are proven to fit a broadcast, every Arrow batch of passages is scored as one small
+    inverted index and returns its best ``k`` passages of each query, so no (query, passage) pairs are shuffled.
+    """
+    if k < 0:
+        raise ValueError(f"top_k must be >= 0, got {k}")
+    terms = query_terms(queries)
+    if not within_rows(terms):
+        return top_per_key(bm25_scores(passages, queries, k1=k1, b=b), ["query_id"], _ordered(), k, "rank")
+    asked: dict = {}
+    for query_id, term in terms.collect():
+        asked.setdefault(query_id, []).append(term)
+    vocabulary = {term: i for i, term in enumerate(sorted({t for found in asked.values() for t in found}))}
+    counted = cut_lineage(_vocabulary_words(passages, vocabulary), "counted")
+    weigh = _idf(counted, len(vocabulary))
+    wanted = [(query_id, np.array(sorted(vocabulary[t] for t in found))) for query_id, found in asked.items()]
+    id_type, query_type = passages.schema["passage_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    query_arrow = to_arrow_type(queries.schema["query_id"].dataType)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            query_ids, rows, scores = _best(batch, weigh, wanted, k, k1, b)
+            columns = {"query_id": pa.array(query_ids, query_arrow), "passage_id": batch["passage_id"].take(pa.array(rows, "int64")), "score": pa.array(scores, "float64")}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    hits = counted.mapInArrow(search, f"query_id {query_type}, passage_id {id_type}, score double")
+    return top_per_key(hits, ["query_id"], _ordered(), k, "rank")
+
+
+def _vocabulary_words(passages: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """passage_id and, for each of its texts, the number of tokens and the numbers of those in the vocabulary, with repeats."""
+    rows = passages.filter(F.col("text").isNotNull()).select("passage_id", F.lower("text").alias("text"))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = re.compile(V.TOKEN)
+        for batch in batches:
+            found = [token.findall(t) for t in batch["text"].to_pylist()]
+            words = [[vocabulary[t] for t in tokens if t in vocabulary] for tokens in found]
+            columns = {"passage_id": batch["passage_id"], "length": pa.array([len(t) for t in found], "int32"), "words": pa.array(words, pa.list_(pa.int32()))}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    schema = f"passage_id {passages.schema['passage_id'].dataType.simpleString()}, length int, words array<int>"
+    return rows.mapInArrow(look_up, schema).groupBy("passage_id").agg(F.collect_list(F.struct("length", "words")).alias("texts"))
+
+
+def _postings(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, ...]:
+    """Passage and length of every text, and text, word and frequency of every posting; texts of one passage with equal lengths count as one."""
+    texts = batch["texts"]
+    passage = np.repeat(np.arange(len(texts)), texts.value_lengths().to_numpy(zero_copy_only=False))
+    flat = texts.flatten()
+    length, found = flat.field("length").to_numpy(zero_copy_only=False).astype("int64"), flat.field("words")
+    span = int(length.max(initial=0)) + 1
+    places, text = np.unique(passage * span + length, return_inverse=True)
+    of_word = np.repeat(text, found.value_lengths().to_numpy(zero_copy_only=False))
+    pairs, tf = np.unique(of_word * words + found.flatten().to_numpy(zero_copy_only=False), return_counts=True)
+    return places // span, places % span, pairs // max(words, 1), pairs % max(words, 1), tf
+
+
+def _idf(counted: DataFrame, words: int) -> tuple[np.ndarray, float]:
+    """The inverse document frequency of every word of the vocabulary, and the mean length of texts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, length, _, word, _ = _postings(batch, words)
+            df = np.bincount(word, minlength=words)
+            seen = np.flatnonzero(df)
+            # the word -1 stands for the corpus
+            columns = {"word": pa.array([-1, *seen], "int32"), "df": pa.array([len(length), *df[seen]], "int64"), "length": pa.array([int(length.sum()), *[0] * len(seen)], "int64")}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    rows = counted.mapInArrow(count, "word int, df bigint, length bigint").groupBy("word").agg(F.sum("df"), F.sum("length")).collect()
+    n, total = next(((df, length) for word, df, length in rows if word < 0), (0, 0))
+    idf = np.zeros(words)
+    for word, df, _ in rows:
+        if word >= 0:
+            idf[word] = math.log(1 + (n - df + 0.5) / (df + 0.5))
+    return idf, total / n if n else 0.0
+
+
+def _best(batch: pa.RecordBatch, weigh: tuple[np.ndarray, float], wanted: list, k: int, k1: float, b: float) -> tuple[list, np.ndarray, np.ndarray]:
+    """Query, row in the batch and score of the best ``k`` rows of one batch for every query."""
+    idf, mean = weigh
+    passage, length, text, word, tf = _postings(batch, len(idf))
+    penalty = k1 * (1 - b + b * length / mean) if mean > 0 else np.full(len(length), k1)
+    part = idf[word] * tf * (k1 + 1) / (tf + penalty[text])
+    order = np.argsort(word, kind="stable")
+    rows, part = passage[text[order]], part[order]
+    bounds = np.searchsorted(word[order], np.arange(len(idf) + 1))
+    place = np.empty(batch.num_rows, "int64")
+    place[pc.array_sort_indices(batch["passage_id"], null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
+    query_ids, hits, scores = [], [np.empty(0, "int64")], [np.empty(0)]
+    for query_id, words in wanted:
+        spans = [slice(bounds[w], bounds[w + 1]) for w in words]
+        score = np.round(np.bincount(np.concatenate([rows[s] for s in spans]), np.concatenate([part[s] for s in spans]), batch.num_rows), 6)
+        found = np.flatnonzero(score > 0)
+        if len(found) > k > 0:
+            least = np.partition(score[found], len(found) - k)[len(found) - k]
+            found = found[score[found] >= least]
+        found = found[np.lexsort((place[found], -score[found]))][:k]
+        query_ids += [query_id] * len(found)
+        hits.append(found)
+        scores.append(score[found])
+    return query_ids, np.concatenate(hits), np.concatenate(scores)
 
 
 def lexical_top_k(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame:

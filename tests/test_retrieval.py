@@ -136,3 +136,25 @@ def test_chunks_reproduce_the_text(spark):
     with pytest.raises(ValueError):
         chunking.sentence_chunks(docs, 5, 5)
     assert chunking.whole_documents(docs).filter(F.col("document_id") == "d1").first().text == texts[1]
+
+
+def test_bm25_shuffles_no_pairs_and_counts_repeated_ids_as_the_scores_do(spark):
+    rows = [*CORPUS, ("p1", "red fox runs"), ("p2", "red"), (None, "red fox"), ("p9", None), ("p8", ""), ("p0", "blue whale")]
+    corpus, asked = passages(spark, rows), queries(spark, "red fox", "whale?", "fox red red", "none")
+    found = retrieval.bm25_top_k(corpus, asked, 3)
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+    scores = retrieval.bm25_scores(corpus, asked)
+    want = {}
+    for r in sorted(scores.collect(), key=lambda r: (-r["score"], r["passage_id"] is not None, r["passage_id"])):
+        want.setdefault(r["query_id"], []).append((r["passage_id"], r["score"]))
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["passage_id"], r["score"]))
+    assert got == {q: v[:3] for q, v in want.items()} and [p for p, _ in got["q1"]] == ["p0", "p3"]
+
+
+def test_chunks_skip_texts_that_are_missing(spark):
+    docs = spark.createDataFrame([("1", None, "a"), ("2", "", "b"), ("3", "One. Two!", None)], "document_id string, text string, source_id string")
+    rows = chunking.sentence_chunks(docs, 5, 0).orderBy("passage_id").collect()
+    assert [(r["passage_id"], r["span_start"], r["span_end"], r["text"]) for r in rows] == [("2::p0", 0, 0, ""), ("3::p0", 0, 4, "One."), ("3::p1", 5, 9, "Two!")]
