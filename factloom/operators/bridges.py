@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,55 +17,96 @@ from factloom.session import cut_lineage, release
 def bridge_candidates(claims: DataFrame, relations: DataFrame, queries: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """All pairs that qualify as a bridge, before the degree limit.
 
-    Claims meet on a shared entity; pairs already related by evidence are removed.
+    A claim that names a goal of its query meets the claims that share a name with it; a pair is kept where its first
+    shared name meets, and only then compared with the pairs already related by evidence. Pairs without a goal are never built.
     """
     subgoals = queries.select("query_id", T.bridge_entities(F.col("text")).alias("goals"))
     entities = T.claim_bridge_entities(
         F.coalesce("entities", F.array().cast("array<string>")), F.col("text")
     )
-    rows = claims.select("query_id", "claim_id", T.strip(F.col("text")).alias("text"), entities.alias("names"))
-    keyed = rows.select("query_id", "claim_id", F.explode("names").alias("name"))
-    met = (
-        keyed.select("query_id", "name", F.col("claim_id").alias("a_id"))
-        .join(keyed.select("query_id", "name", F.col("claim_id").alias("b_id")), ["query_id", "name"])
-        .filter(F.col("a_id") < F.col("b_id"))
-        .select("query_id", "a_id", "b_id")
-        .distinct()
+    text = T.strip(F.col("text"))
+    told = F.when(F.length(text) <= 64, text).otherwise(F.sha2(text, 256))  # tells texts apart
+    rows = claims.select("query_id", "claim_id", told.alias("told"), entities.alias("names"))
+    asking = rows.join(subgoals, "query_id").filter(F.arrays_overlap("names", "goals"))
+    x = asking.select("query_id", F.explode("names").alias("name"), F.col("claim_id").alias("x_id"), F.col("told").alias("x_told"), F.col("names").alias("x_names"), "goals")
+    y = rows.select("query_id", F.explode("names").alias("name"), F.col("claim_id").alias("y_id"), F.col("told").alias("y_told"), F.col("names").alias("y_names"))
+    shared = F.array_sort(F.array_intersect("x_names", "y_names"))
+    both = F.arrays_overlap("y_names", "goals")
+    complementary = (F.size(F.array_except("x_names", "y_names")) > 0) & (F.size(F.array_except("y_names", "x_names")) > 0)
+    # two claims that both name a goal meet from either side: the smaller one brings the pair
+    once = (F.col("x_id") < F.col("y_id")) | ((F.col("x_id") > F.col("y_id")) & ~both)
+    met = x.join(y, ["query_id", "name"]).filter(
+        once & (F.col("x_told") != F.col("y_told")) & complementary & (F.col("name") == F.element_at(shared, 1))
+    )
+    pairs = met.select(
+        "query_id",
+        F.least("x_id", "y_id").alias("a_id"),
+        F.greatest("x_id", "y_id").alias("b_id"),
+        shared.alias("terms"),
+        F.array_intersect(shared, F.col("goals")).alias("asked"),
+        both.alias("both"),
     )
     blocked = relations.filter(F.col("relation_type").isin(*S.EVIDENTIAL)).select(
         "query_id",
         F.least("source_claim_id", "target_claim_id").alias("a_id"),
         F.greatest("source_claim_id", "target_claim_id").alias("b_id"),
     )
-    free = met.join(blocked, ["query_id", "a_id", "b_id"], "left_anti")
-    a = rows.select("query_id", F.col("claim_id").alias("a_id"), F.col("text").alias("a_text"), F.col("names").alias("a_names"))
-    b = rows.select("query_id", F.col("claim_id").alias("b_id"), F.col("text").alias("b_text"), F.col("names").alias("b_names"))
-    pairs = free.join(a, ["query_id", "a_id"]).join(b, ["query_id", "b_id"]).join(subgoals, "query_id")
-    shared = F.array_sort(F.array_intersect("a_names", "b_names"))
-    pairs = pairs.withColumn("terms", shared).withColumn("asked", F.array_intersect("terms", "goals"))
-    a_asked, b_asked = F.arrays_overlap("a_names", "goals"), F.arrays_overlap("b_names", "goals")
-    complementary = (F.size(F.array_except("a_names", "terms")) > 0) & (F.size(F.array_except("b_names", "terms")) > 0)
     confidence = (
         F.lit(0.6)
         + F.when(F.size("asked") > 0, 0.2).otherwise(0.0)
-        + F.when(a_asked & b_asked, 0.2).otherwise(0.0)
+        + F.when(F.col("both"), 0.2).otherwise(0.0)
     )
     confidence = F.round(F.least(confidence, F.lit(1.0)), 4)
-    return pairs.filter(
-        (F.col("a_text") != F.col("b_text")) & (a_asked | b_asked) & complementary & (confidence >= min_confidence)
-    ).select(
+    rated = pairs.select(
         "query_id",
         "a_id",
         "b_id",
-        F.coalesce(F.array_min("asked"), F.array_min("terms")).alias("bridge_entity"),
+        F.coalesce(F.array_min("asked"), F.element_at("terms", 1)).alias("bridge_entity"),
         F.col("terms").alias("bridge_terms"),
         confidence.alias("confidence"),
     )
+    return rated.filter(F.col("confidence") >= min_confidence).join(blocked, ["query_id", "a_id", "b_id"], "left_anti")
+
+
+#: Pairs of a query that one task decides in order; larger queries are decided in rounds.
+PAIRS_IN_ORDER = 200_000
 
 
 def limit_degree(candidates: DataFrame, max_degree: int = 4) -> DataFrame:
     """Accept pairs in id order while both ends have fewer than the limit.
 
+    Queries of at most ``PAIRS_IN_ORDER`` pairs are dealt over the tasks, which read their sorted pairs one by one and
+    hold the degrees of one query. Queries with more pairs are decided in rounds over all tasks.
+    """
+    candidates = cut_lineage(candidates, "bridges")
+    large = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("pairs")).filter(F.col("pairs") > PAIRS_IN_ORDER).select("query_id")
+    large = cut_lineage(large, "large")
+    few = candidates.join(F.broadcast(large), "query_id", "left_anti")  # a row for PAIRS_IN_ORDER pairs
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, before, taken, used = None, None, False, {}
+        for batch in batches:
+            kept = []
+            for pair in zip(*(batch[c].to_pylist() for c in ("query_id", "a_id", "b_id")), strict=True):
+                if pair != before:
+                    if pair[0] != query:
+                        query, used = pair[0], {}
+                    before, ends = pair, pair[1:]
+                    taken = all(used.get(e, 0) < max_degree for e in ends)
+                    if taken:
+                        used.update({e: used.get(e, 0) + 1 for e in ends})
+                kept.append(taken)
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    in_order = few.repartition("query_id").sortWithinPartitions("query_id", "a_id", "b_id").mapInArrow(accept, candidates.schema)
+    if large.isEmpty():
+        return cut_lineage(in_order, "limited")
+    return cut_lineage(in_order.union(_limit_in_rounds(candidates.join(F.broadcast(large), "query_id", "left_semi"), max_degree)), "limited")
+
+
+def _limit_in_rounds(candidates: DataFrame, max_degree: int) -> DataFrame:
+    """The rule of ``limit_degree`` in rounds.
+
     The rule is sequential, but a pair that is among the first open pairs of both of its ends, as many as they have
     places left, is accepted whatever happens to the others. Every round accepts all such pairs of all queries and closes the
     pairs of full ends, until no pair is open; the first open pair always qualifies. A round sends at most ``max_degree``

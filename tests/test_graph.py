@@ -199,6 +199,52 @@ def test_degree_limit_equals_the_sequential_rule(spark):
     assert {tuple(r) for r in found.select("query_id", "a_id", "b_id").collect()} == want
 
 
+@pytest.mark.parametrize("in_order", [200_000, 40, 0])
+def test_degree_limit_does_not_go_round_for_small_queries(spark, monkeypatch, in_order):
+    monkeypatch.setattr(bridges, "PAIRS_IN_ORDER", in_order)
+    written, cut = [], bridges.cut_lineage
+    monkeypatch.setattr(bridges, "cut_lineage", lambda df, name: written.append(name) or cut(df, name))
+    rng = random.Random(9)
+    # a chain: every pair waits for the one before it
+    pairs = {("chain", f"n{k:02}", f"n{k + 1:02}") for k in range(45)} | {("q", *sorted(rng.sample("abcdefghijkl", 2))) for _ in range(30)}
+    rows = [(*p, 0.5) for p in sorted(pairs) for _ in range(1 + (p[1] < "d"))]
+    found = bridges.limit_degree(spark.createDataFrame(rows, "query_id string, a_id string, b_id string, confidence double"), 1)
+    degree, want = set(), Counter()
+    for p in sorted(pairs):
+        if not degree & {(p[0], p[1]), (p[0], p[2])}:
+            degree |= {(p[0], p[1]), (p[0], p[2])}
+            want[p] = 1 + (p[1] < "d")
+    assert Counter(tuple(r) for r in found.select("query_id", "a_id", "b_id").collect()) == want
+    assert in_order < 200_000 or len(written) <= 3
+
+
+def test_bridges_equal_the_rule_and_meet_in_one_join(spark):
+    rng = random.Random(10)
+    names = ["Ada", "Bob", "Cid", "Dan", "Eve"]
+    rows = []
+    for q in ("q", "r"):
+        for k in range(14):
+            own = rng.sample(names, rng.randrange(1, 4))
+            rows.append((q, f"c{k:02}", rng.choice(["same", " same ", f"text {k}", "long " * 30]), "s", None, None, None, own))
+    table = claims(spark, *rows)
+    goals = {"q": {"Ada", "Eve"}, "r": {"Dan"}}
+    asked = spark.createDataFrame([("q", "Who met Ada or Eve?"), ("r", "about Dan")], S.QUERIES)
+    blocked = relations(spark, ("c00", "c01", S.SUPPORT, 0.7))
+    gone = {(r.query_id, *sorted((r.source_claim_id, r.target_claim_id))) for r in blocked.collect()}
+    found = bridges.bridge_candidates(table, blocked, asked)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 3
+    want = set()
+    for q, a, at, *_, an in rows:
+        for r, b, bt, *_, bn in rows:
+            shared = sorted({*an} & {*bn})
+            if q == r and a < b and shared and at.strip() != bt.strip() and {*an} - {*bn} and {*bn} - {*an} and ({*an} | {*bn}) & goals[q] and (q, a, b) not in gone:
+                hit = [s for s in shared if s in goals[q]]
+                rate = 0.6 + 0.2 * bool(hit) + 0.2 * bool({*an} & goals[q] and {*bn} & goals[q])
+                want.add((q, a, b, (hit or shared)[0], tuple(shared), round(rate, 4)))
+    assert {(r.query_id, r.a_id, r.b_id, r.bridge_entity, tuple(r.bridge_terms), r.confidence) for r in found.collect()} == want and len(want) > 10
+
+
 def test_linear_supersession_answers_equal_the_pairs(spark):
     rng = random.Random(8)
     times = [None, *[datetime(2024, 1, d) for d in range(1, 9)]]
