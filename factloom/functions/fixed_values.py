@@ -41,7 +41,8 @@ ATTRIBUTION_VERBS = ["said", "reported", "claimed", "stated", "announced", "argu
 
 NEGATION = rf"(?i){WORD_START}(?:{'|'.join(NEGATION_WORDS)}){WORD_END}|n't"
 MODALITY = rf"(?i){WORD_START}(?:{'|'.join(MODALITY_WORDS)}){WORD_END}"
-ENTITY = rf"{WORD_START}[A-Z][a-zA-Z0-9]*(?:[{SPACE}]+[A-Z][a-zA-Z0-9]*)*{WORD_END}"
+# Possessive: no word can be given up once it has ended, and a long run does not grow the stack of the matching thread.
+ENTITY = rf"{WORD_START}[A-Z][a-zA-Z0-9]*+{WORD_END}(?:[{SPACE}]++[A-Z][a-zA-Z0-9]*+{WORD_END})*+"
 ATTRIBUTION_ACCORDING = rf"(?i)according to ([A-Z][{WORD}.\-]*)"
 ATTRIBUTION_VERB = (
     rf"{WORD_START}([A-Z][{WORD}.\-]*)[{SPACE}]+(?:{'|'.join(ATTRIBUTION_VERBS)}){WORD_END}"

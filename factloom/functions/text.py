@@ -151,7 +151,7 @@ def span_matches(text: Column, start: Column, end: Column, part: Column) -> Colu
 
 def _phrases(text: Column, leading: Sequence[str]) -> Column:
     """Capitalised runs without their leading function words."""
-    drop = rf"\A(?:(?i:{'|'.join(leading)})(?:[{V.SPACE}]+|\z))+"
+    drop = rf"\A(?:(?i:{'|'.join(leading)})(?:[{V.SPACE}]++|\z))++"
     return F.transform(_all(text, V.ENTITY), lambda p: collapse(F.regexp_replace(p, drop, "")))
 
 

@@ -105,3 +105,11 @@ def test_metric_edge_cases(spark):
     assert (value(p), value(r)) == (0.5, 1.0)
     assert value(M.benchmark_prf(F.lit(0), F.lit(0), F.lit(0))[2]) == 1.0
     assert value(M.mechanism_pr(F.lit(0), F.lit(0), F.lit(2))[0]) == 1.0
+
+
+def test_long_runs_of_capitalised_words_do_not_overflow_the_stack(spark):
+    rows = spark.createDataFrame([("Word " * 30_000 + "Barré",), ("The " * 30_000 + "Sun",), ("Ada Loveé An Cafe_ The B2 C\u2003D",)], "text string")
+    named, bridge = (r[0] for r in rows.select(T.named_entities(F.col("text"))).collect()), (r[0] for r in rows.select(T.bridge_entities(F.col("text"))).collect())
+    long = ["Word " * 29_999 + "Word"]
+    assert [*named] == [long, ["Sun"], ["Ada", "B2 C D"]]
+    assert [*bridge] == [long, ["Sun"], ["Ada", "B2 C D"]]
