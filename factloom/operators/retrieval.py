@@ -17,9 +17,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
+from factloom import scale
 from factloom.functions import fixed_values as V
 from factloom.functions import text as T
 from factloom.functions.vectors import hashed_embedding
@@ -113,37 +113,51 @@ def bm25_within(passages: DataFrame, queries: DataFrame, k: int, *, k1: float =
     return top_per_key(scored.filter(F.col("score") > 0), ["query_id"], _ordered(), k, "rank")
 
 
+#: Query terms that every task of a search may hold, as numbers. Beyond, terms and passages meet by the join of ``bm25_scores``.
+SEARCH_TERMS = 4_000_000
+
+
 def bm25_top_k(passages: DataFrame, queries: DataFrame, k: int, *, k1: float = K1, b: float = B) -> DataFrame:
     """The best ``k`` passages of each query by ``bm25_scores``.
 
-    While the terms of all queries are proven to fit a broadcast, every Arrow batch of passages is scored as one small
-    inverted index and returns its best ``k`` passages of each query, so no (query, passage) pairs are shuffled.
+    While the terms of all queries fit a task, every Arrow batch of passages is scored as one small inverted index, so no
+    (query, passage) pairs are shuffled. A task returns a passage only if it is among the best ``k`` it has met so far.
     """
     if k < 0:
         raise ValueError(f"top_k must be >= 0, got {k}")
     terms = query_terms(queries)
-    if not within_rows(terms):
+    if not scale.within_rows(terms, SEARCH_TERMS):
         return top_per_key(bm25_scores(passages, queries, k1=k1, b=b), ["query_id"], _ordered(), k, "rank")
-    asked: dict = {}
-    for query_id, term in terms.collect():
-        asked.setdefault(query_id, []).append(term)
-    vocabulary = {term: i for i, term in enumerate(sorted({t for found in asked.values() for t in found}))}
+    query_ids, vocabulary, starts, words = _numbered_terms(terms)
     counted = cut_lineage(_vocabulary_words(passages, vocabulary), "counted")
     weigh = _idf(counted, len(vocabulary))
-    wanted = [(query_id, np.array(sorted(vocabulary[t] for t in found))) for query_id, found in asked.items()]
     id_type, query_type = passages.schema["passage_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    query_arrow = to_arrow_type(queries.schema["query_id"].dataType)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros((len(query_ids), k))  # the best scores of each query, from the lowest on
         for batch in batches:
-            query_ids, rows, scores = _best(batch, weigh, wanted, k, k1, b)
-            columns = {"query_id": pa.array(query_ids, query_arrow), "passage_id": batch["passage_id"].take(pa.array(rows, "int64")), "score": pa.array(scores, "float64")}
+            asked, rows, scores = _best(batch, weigh, starts, words, met, k1, b)
+            columns = {"query_id": query_ids.take(pa.array(asked, "int64")), "passage_id": batch["passage_id"].take(pa.array(rows, "int64")), "score": pa.array(scores, "float64")}
             yield pa.RecordBatch.from_pydict(columns)
 
     hits = counted.mapInArrow(search, f"query_id {query_type}, passage_id {id_type}, score double")
     return top_per_key(hits, ["query_id"], _ordered(), k, "rank")
 
 
+def _numbered_terms(terms: DataFrame) -> tuple[pa.Array, dict[str, int], np.ndarray, np.ndarray]:
+    """The query ids, the number of every term in sorted order, and the terms of the queries as numbers: those of query i from ``starts[i]`` on, sorted."""
+    rows = terms.toArrow()
+    asked = pc.dictionary_encode(rows["query_id"], null_encoding="encode").combine_chunks()
+    found = pc.dictionary_encode(rows["term"]).combine_chunks()
+    if isinstance(asked, pa.ChunkedArray):  # no rows, no chunks
+        return pa.array([], rows.schema.field("query_id").type), {}, np.zeros(1, "int64"), np.empty(0, "int32")
+    vocabulary = {term: i for i, term in enumerate(sorted(found.dictionary.to_pylist()))}
+    numbers = np.array([vocabulary[t] for t in found.dictionary.to_pylist()], "int32")
+    query, words = asked.indices.to_numpy(), numbers[found.indices.to_numpy()]
+    order = np.lexsort((words, query))
+    return asked.dictionary, vocabulary, np.searchsorted(query[order], np.arange(len(asked.dictionary) + 1)), words[order]
+
+
 def _vocabulary_words(passages: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     """passage_id and, for each of its texts, the number of tokens and the numbers of those in the vocabulary, with repeats."""
     rows = passages.filter(F.col("text").isNotNull()).select("passage_id", F.lower("text").alias("text"))
@@ -194,30 +208,35 @@ def _idf(counted: DataFrame, words: int) -> tuple[np.ndarray, float]:
     return idf, total / n if n else 0.0
 
 
-def _best(batch: pa.RecordBatch, weigh: tuple[np.ndarray, float], wanted: list, k: int, k1: float, b: float) -> tuple[list, np.ndarray, np.ndarray]:
-    """Query, row in the batch and score of the best ``k`` rows of one batch for every query."""
+def _best(batch: pa.RecordBatch, weigh: tuple[np.ndarray, float], starts: np.ndarray, words: np.ndarray, met: np.ndarray, k1: float, b: float) -> tuple[np.ndarray, ...]:
+    """Query, row in the batch and score of the rows of one batch among the best of a query so far; ``met`` takes their scores."""
     idf, mean = weigh
+    k = met.shape[1]
     passage, length, text, word, tf = _postings(batch, len(idf))
     penalty = k1 * (1 - b + b * length / mean) if mean > 0 else np.full(len(length), k1)
     part = idf[word] * tf * (k1 + 1) / (tf + penalty[text])
     order = np.argsort(word, kind="stable")
     rows, part = passage[text[order]], part[order]
     bounds = np.searchsorted(word[order], np.arange(len(idf) + 1))
+    spans = [slice(start, end) for start, end in zip(bounds, bounds[1:])]
     place = np.empty(batch.num_rows, "int64")
     place[pc.array_sort_indices(batch["passage_id"], null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
-    query_ids, hits, scores = [], [np.empty(0, "int64")], [np.empty(0)]
-    for query_id, words in wanted:
-        spans = [slice(bounds[w], bounds[w + 1]) for w in words]
-        score = np.round(np.bincount(np.concatenate([rows[s] for s in spans]), np.concatenate([part[s] for s in spans]), batch.num_rows), 6)
-        found = np.flatnonzero(score > 0)
-        if len(found) > k > 0:
+    asked, hits, scores = [np.empty(0, "int64")], [np.empty(0, "int64")], [np.empty(0)]
+    for query in range(len(met) if k else 0):
+        own = [spans[w] for w in words[starts[query] : starts[query + 1]]]
+        score = np.round(np.bincount(np.concatenate([rows[s] for s in own]), np.concatenate([part[s] for s in own]), batch.num_rows), 6)
+        found = np.flatnonzero((score > 0) & (score >= met[query, 0]))
+        if not len(found):
+            continue
+        if len(found) > k:
             least = np.partition(score[found], len(found) - k)[len(found) - k]
             found = found[score[found] >= least]
         found = found[np.lexsort((place[found], -score[found]))][:k]
-        query_ids += [query_id] * len(found)
+        met[query] = np.sort(np.concatenate((met[query], score[found])))[-k:]
+        asked.append(np.full(len(found), query))
         hits.append(found)
         scores.append(score[found])
-    return query_ids, np.concatenate(hits), np.concatenate(scores)
+    return np.concatenate(asked), np.concatenate(hits), np.concatenate(scores)
 
 
 def lexical_top_k(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -1,10 +1,13 @@
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from factloom import scale
 from factloom.operators import chunking, retrieval
 from factloom.operators.chunking import _pack
 
@@ -158,3 +161,28 @@ def test_chunks_skip_texts_that_are_missing(spark):
     docs = spark.createDataFrame([("1", None, "a"), ("2", "", "b"), ("3", "One. Two!", None)], "document_id string, text string, source_id string")
     rows = chunking.sentence_chunks(docs, 5, 0).orderBy("passage_id").collect()
     assert [(r["passage_id"], r["span_start"], r["span_end"], r["text"]) for r in rows] == [("2::p0", 0, 0, ""), ("3::p0", 0, 4, "One."), ("3::p1", 5, 9, "Two!")]
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 0])
+def test_many_query_terms_take_the_search_and_only_more_take_the_join(spark, monkeypatch, limit):
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(retrieval, "SEARCH_TERMS", limit)
+    joined, scores = [], retrieval.bm25_scores
+    monkeypatch.setattr(retrieval, "within_rows", lambda df: False)
+    monkeypatch.setattr(retrieval, "bm25_scores", lambda *a, **k: joined.append(1) or scores(*a, **k))
+    asked = spark.createDataFrame([("a", "red fox"), (None, "blue"), ("a", "red"), ("b", "?!")], "query_id string, text string")
+    found = [(r.query_id, r.passage_id, r["rank"]) for r in retrieval.bm25_top_k(passages(spark, CORPUS), asked, 2).orderBy("query_id", "rank").collect()]
+    assert found == [(None, "p3", 0), ("a", "p1", 0), ("a", "p2", 1)]
+    assert bool(joined) == (limit == 0)
+
+
+def test_a_task_returns_only_passages_among_its_best_so_far():
+    texts = pa.array([[{"length": 2, "words": [0, 1]}], [{"length": 2, "words": [0]}], [{"length": 2, "words": [0, 1]}]], pa.list_(pa.struct([("length", pa.int32()), ("words", pa.list_(pa.int32()))])))
+    met = np.zeros((1, 1))
+    batch = pa.RecordBatch.from_pydict({"passage_id": pa.array(["b", "c", "a"]), "texts": texts})
+    weigh, starts, words = (np.array([1.0, 2.0]), 2.0), np.array([0, 2]), np.array([0, 1])
+    first = retrieval._best(batch, weigh, starts, words, met, retrieval.K1, retrieval.B)
+    assert first[1].tolist() == [2] and met[0, 0] == first[2][0] == 3.0
+    assert len(retrieval._best(batch.slice(1, 1), weigh, starts, words, met, retrieval.K1, retrieval.B)[1]) == 0
+    # a tie may still win by its id
+    assert retrieval._best(batch.slice(0, 1), weigh, starts, words, met, retrieval.K1, retrieval.B)[2].tolist() == [3.0]
