@@ -115,13 +115,28 @@ def bm25_within(passages: DataFrame, queries: DataFrame, k: int, *, k1: float =
 
 #: Query terms that every task of a search may hold, as numbers. Beyond, terms and passages meet by the join of ``bm25_scores``.
 SEARCH_TERMS = 4_000_000
+#: Passages whose postings a task holds at once.
+BLOCK_PASSAGES = 32_768
+#: Postings of a query's rarest terms that are scored first, for a floor under its best scores.
+FLOOR_POSTINGS = 128
+#: Pairs of a query's term and a passage that are looked up at once.
+PAIRS_AT_ONCE = 1_000_000
+#: Postings of a term that are read in the time it takes to look one up.
+LOOK_UP = 4
+#: Bounds of scores are whole numbers of this size, rounded up, so that sums of them are exact.
+UNIT = 2.0**-20
+#: Scores that round alike differ by less.
+SLACK = 2e-6
 
 
 def bm25_top_k(passages: DataFrame, queries: DataFrame, k: int, *, k1: float = K1, b: float = B) -> DataFrame:
     """The best ``k`` passages of each query by ``bm25_scores``.
 
-    While the terms of all queries fit a task, every Arrow batch of passages is scored as one small inverted index, so no
-    (query, passage) pairs are shuffled. A task returns a passage only if it is among the best ``k`` it has met so far.
+    While the terms of all queries fit a task, every block of passages is scored as one small inverted index, so no
+    (query, passage) pairs are shuffled. The passages of a query's rarest terms are scored first: their k-th best score is a
+    floor. Then only those terms of a query are read in a block that can still lift a passage to the floor (the most a
+    term adds there is known), and only passages that stay above it meet the other terms. This loses no passage. A task returns a
+    passage only if it is among the best ``k`` it has met so far.
     """
     if k < 0:
         raise ValueError(f"top_k must be >= 0, got {k}")
@@ -130,20 +145,35 @@ def bm25_top_k(passages: DataFrame, queries: DataFrame, k: int, *, k1: float = K
         return top_per_key(bm25_scores(passages, queries, k1=k1, b=b), ["query_id"], _ordered(), k, "rank")
     query_ids, vocabulary, starts, words = _numbered_terms(terms)
     counted = cut_lineage(_vocabulary_words(passages, vocabulary), "counted")
-    weigh = _idf(counted, len(vocabulary))
+    weigh, texts = _idf(counted, len(vocabulary))
+    rare = _by_rarity(weigh[0], starts, words)
+    floors = _floors(counted, weigh, texts, starts, words, rare, k, k1, b)
     id_type, query_type = passages.schema["passage_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = np.zeros((len(query_ids), k))  # the best scores of each query, from the lowest on
-        for batch in batches:
-            asked, rows, scores = _best(batch, weigh, starts, words, met, k1, b)
-            columns = {"query_id": query_ids.take(pa.array(asked, "int64")), "passage_id": batch["passage_id"].take(pa.array(rows, "int64")), "score": pa.array(scores, "float64")}
+        met = np.repeat(floors[:, None], k, axis=1)  # the best scores of each query, from the lowest on
+        for block in _blocks(batches):
+            asked, rows, scores = _best(block, weigh, starts, words, met, k1, b, rare)
+            columns = {"query_id": query_ids.take(pa.array(asked, "int64")), "passage_id": block["passage_id"].take(pa.array(rows, "int64")), "score": pa.array(scores, "float64")}
             yield pa.RecordBatch.from_pydict(columns)
 
     hits = counted.mapInArrow(search, f"query_id {query_type}, passage_id {id_type}, score double")
     return top_per_key(hits, ["query_id"], _ordered(), k, "rank")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to blocks of at most ``BLOCK_PASSAGES`` rows, larger batches as they are."""
+    held, rows = [], 0
+    for batch in batches:
+        if held and rows + batch.num_rows > BLOCK_PASSAGES:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+        held.append(batch)
+        rows += batch.num_rows
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _numbered_terms(terms: DataFrame) -> tuple[pa.Array, dict[str, int], np.ndarray, np.ndarray]:
     """The query ids, the number of every term in sorted order, and the terms of the queries as numbers: those of query i from ``starts[i]`` on, sorted."""
     rows = terms.toArrow()
@@ -159,7 +189,10 @@ def _numbered_terms(terms: DataFrame) -> tuple[pa.Array, dict[str, int], np.ndar
 
 
 def _vocabulary_words(passages: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """passage_id and, for each of its texts, the number of tokens and the numbers of those in the vocabulary, with repeats."""
+    """passage_id and, for each of its texts, the number of tokens and the numbers of those in the vocabulary, with repeats.
+
+    Rows come in the order of their length: what a word can add to a score depends on it, so its most in a block is seldom far off.
+    """
     rows = passages.filter(F.col("text").isNotNull()).select("passage_id", F.lower("text").alias("text"))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +204,9 @@ def _vocabulary_words(passages: DataFrame, vocabulary: dict[str, int]) -> DataFr
             yield pa.RecordBatch.from_pydict(columns)
 
     schema = f"passage_id {passages.schema['passage_id'].dataType.simpleString()}, length int, words array<int>"
-    return rows.mapInArrow(look_up, schema).groupBy("passage_id").agg(F.collect_list(F.struct("length", "words")).alias("texts"))
+    whole = rows.mapInArrow(look_up, schema).groupBy("passage_id")
+    found = whole.agg(F.collect_list(F.struct("length", "words")).alias("texts"), F.max("length").alias("span"))
+    return found.repartitionByRange("span", F.xxhash64("passage_id")).sortWithinPartitions("span").drop("span")
 
 
 def _postings(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, ...]:
@@ -187,8 +222,8 @@ def _postings(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, ...]:
     return places // span, places % span, pairs // max(words, 1), pairs % max(words, 1), tf
 
 
-def _idf(counted: DataFrame, words: int) -> tuple[np.ndarray, float]:
-    """The inverse document frequency of every word of the vocabulary, and the mean length of texts."""
+def _idf(counted: DataFrame, words: int) -> tuple[tuple[np.ndarray, float], int]:
+    """The inverse document frequency of every word of the vocabulary, the mean length of texts, and their number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,38 +240,166 @@ def _idf(counted: DataFrame, words: int) -> tuple[np.ndarray, float]:
     for word, df, _ in rows:
         if word >= 0:
             idf[word] = math.log(1 + (n - df + 0.5) / (df + 0.5))
-    return idf, total / n if n else 0.0
+    return (idf, total / n if n else 0.0), n
 
 
-def _best(batch: pa.RecordBatch, weigh: tuple[np.ndarray, float], starts: np.ndarray, words: np.ndarray, met: np.ndarray, k1: float, b: float) -> tuple[np.ndarray, ...]:
-    """Query, row in the batch and score of the rows of one batch among the best of a query so far; ``met`` takes their scores."""
+def _by_rarity(idf: np.ndarray, starts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The terms of every query from the rarest on."""
+    query = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    return words[np.lexsort((-idf[words], query))] if len(words) else words
+
+
+def _index(batch: pa.RecordBatch, weigh: tuple[np.ndarray, float], k1: float, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The postings of a batch by word, then row, as word * rows + row, what each adds to a score, and where those of a word begin."""
     idf, mean = weigh
-    k = met.shape[1]
     passage, length, text, word, tf = _postings(batch, len(idf))
     penalty = k1 * (1 - b + b * length / mean) if mean > 0 else np.full(len(length), k1)
     part = idf[word] * tf * (k1 + 1) / (tf + penalty[text])
-    order = np.argsort(word, kind="stable")
-    rows, part = passage[text[order]], part[order]
-    bounds = np.searchsorted(word[order], np.arange(len(idf) + 1))
-    spans = [slice(start, end) for start, end in zip(bounds, bounds[1:])]
-    place = np.empty(batch.num_rows, "int64")
-    place[pc.array_sort_indices(batch["passage_id"], null_placement="at_start").to_numpy()] = np.arange(batch.num_rows)
-    asked, hits, scores = [np.empty(0, "int64")], [np.empty(0, "int64")], [np.empty(0)]
-    for query in range(len(met) if k else 0):
-        own = [spans[w] for w in words[starts[query] : starts[query + 1]]]
-        score = np.round(np.bincount(np.concatenate([rows[s] for s in own]), np.concatenate([part[s] for s in own]), batch.num_rows), 6)
-        found = np.flatnonzero((score > 0) & (score >= met[query, 0]))
-        if not len(found):
-            continue
-        if len(found) > k:
-            least = np.partition(score[found], len(found) - k)[len(found) - k]
-            found = found[score[found] >= least]
-        found = found[np.lexsort((place[found], -score[found]))][:k]
-        met[query] = np.sort(np.concatenate((met[query], score[found])))[-k:]
-        asked.append(np.full(len(found), query))
-        hits.append(found)
-        scores.append(score[found])
-    return np.concatenate(asked), np.concatenate(hits), np.concatenate(scores)
+    place = word * batch.num_rows + passage[text]
+    order = np.argsort(place, kind="stable")
+    place, part = place[order], part[order]
+    first = np.flatnonzero(np.diff(place, prepend=-1))  # the texts of a passage add up
+    if len(first) < len(place):
+        place, part = place[first], np.add.reduceat(part, first)
+    counts = np.bincount(place // max(batch.num_rows, 1), minlength=len(idf))
+    return place, part, np.concatenate(([0], np.cumsum(counts)))
+
+
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of all spans one after the other: ``counts[i]`` of them from ``starts[i]`` on."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
+
+
+def _pieces(counts: np.ndarray) -> Iterator[slice]:
+    """Runs of rows whose counts add up to some ``PAIRS_AT_ONCE``, or of one row."""
+    group = (np.cumsum(counts) - counts) // PAIRS_AT_ONCE
+    edges = np.concatenate((np.flatnonzero(np.diff(group, prepend=-1)), [len(counts)]))
+    return (slice(start, end) for start, end in zip(edges, edges[1:]))
+
+
+def _scores(place: np.ndarray, part: np.ndarray, n: int, starts: np.ndarray, words: np.ndarray, query: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The scores of pairs of a query and one of ``n`` rows, summed in the order of the words."""
+    counts, scores = starts[query + 1] - starts[query], [np.empty(0)]
+    for piece in _pieces(counts):
+        own = counts[piece]
+        pair = np.repeat(np.arange(len(own)), own)
+        wanted = words[_spans(starts[query[piece]], own)].astype("int64") * n + row[piece][pair]
+        at = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+        hit = place[at] == wanted
+        scores.append(np.bincount(pair[hit], part[at[hit]], len(own)))
+    return np.round(np.concatenate(scores), 6)
+
+
+def _keep(met: np.ndarray, query: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Which pairs, sorted by query and from the best score on, are among the best of their query in the batch; ``met`` takes their scores."""
+    k = met.shape[1]
+    nth = np.arange(len(query)) - np.searchsorted(query, query)
+    asked, at = np.unique(query[nth < k], return_inverse=True)
+    own = np.zeros((len(asked), k))
+    own[at, nth[nth < k]] = score[nth < k]
+    met[asked] = np.sort(np.concatenate((met[asked], own), axis=1), axis=1)[:, -k:]
+    return nth < k
+
+
+def _floors(counted: DataFrame, weigh: tuple[np.ndarray, float], texts: int, starts: np.ndarray, words: np.ndarray, rare: np.ndarray, k: int, k1: float, b: float) -> np.ndarray:
+    """A score for each query that ``k`` of its passages reach, or 0: the k-th best among some passages of its rarest terms."""
+    queries, idf = len(starts) - 1, weigh[0]
+    if not (queries and k and texts):
+        return np.zeros(queries)
+    df = np.where(idf > 0, np.rint((texts + 1) / np.exp(idf) - 0.5), 0).astype("int64")
+    before = np.concatenate(([0], np.cumsum(df[rare])))
+    reach = np.minimum(np.searchsorted(before, before[starts[:-1]] + FLOOR_POSTINGS), starts[1:])
+    chosen = np.concatenate(([0], np.cumsum(reach - starts[:-1])))
+    term, asker = rare[_spans(starts[:-1], np.diff(chosen))], np.repeat(np.arange(queries), np.diff(chosen))
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros((queries, k))
+        for block in _blocks(batches):
+            n = block.num_rows
+            place, part, bounds = _index(block, weigh, k1, b)
+            counts = np.minimum(bounds[term + 1] - bounds[term], math.ceil(FLOOR_POSTINGS * n / texts) + 1)
+            read = np.concatenate(([0], np.cumsum(counts)))
+            # a query stays in one piece, so that no passage counts twice
+            for piece in _pieces(np.diff(read[chosen])):
+                terms = slice(chosen[piece.start], chosen[piece.stop])
+                row = place[_spans(bounds[term[terms]], counts[terms])] % n
+                pairs = np.unique(np.repeat(asker[terms], counts[terms]) * n + row)
+                if len(pairs):
+                    query, row = pairs // n, pairs % n
+                    score = _scores(place, part, n, starts, words, query, row)
+                    order = np.lexsort((-score, query))
+                    _keep(met, query[order], score[order])
+        query, nth = np.nonzero(met)
+        yield pa.RecordBatch.from_pydict({"query": pa.array(query, "int64"), "score": pa.array(met[query, nth], "float64")})
+
+    found = top_per_key(counted.mapInArrow(sample, "query bigint, score double"), ["query"], [F.desc("score")], k, "rank")
+    rows = found.filter(F.col("rank") == k - 1).select("query", "score").toArrow()
+    floors = np.zeros(queries)
+    floors[rows["query"].to_numpy()] = rows["score"].to_numpy()
+    return floors
+
+
+def _best(
+    batch: pa.RecordBatch, weigh: tuple[np.ndarray, float], starts: np.ndarray, words: np.ndarray, met: np.ndarray, k1: float, b: float, rare: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
+    """Query, row in the batch and score of the rows of one batch among the best of a query so far; ``met`` takes their scores."""
+    n, k = batch.num_rows, met.shape[1]
+    place, part, bounds = _index(batch, weigh, k1, b)
+    if not (k and len(place) and len(met)):
+        return np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0)
+    rare = _by_rarity(weigh[0], starts, words) if rare is None else rare
+    query, row = _candidates(place, part, bounds, n, starts, rare, met)
+    score = _scores(place, part, n, starts, words, query, row)
+    kept = (score > 0) & (score >= met[query, 0])
+    query, row, score = query[kept], row[kept], score[kept]
+    rank = np.empty(n, "int64")
+    rank[pc.array_sort_indices(batch["passage_id"], null_placement="at_start").to_numpy()] = np.arange(n)
+    order = np.lexsort((rank[row], -score, query))
+    query, row, score = query[order], row[order], score[order]
+    kept = _keep(met, query, score)
+    return query[kept], row[kept], score[kept]
+
+
+def _candidates(place: np.ndarray, part: np.ndarray, bounds: np.ndarray, n: int, starts: np.ndarray, rare: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a query and a row that may be among the best of the query; no other row of the batch is.
+
+    A row whose rarest shared term is t scores at most what t and the more frequent terms of the query can add in this batch. So
+    rows are found by the terms for which this reaches the floor; the others, from the rarer on, only add to rows that can still reach it.
+    """
+    k, rows = met.shape[1], place % n
+    most, present = np.zeros(len(bounds) - 1, "int64"), np.flatnonzero(np.diff(bounds))
+    most[present] = np.ceil(np.maximum.reduceat(part, bounds[present]) / UNIT)
+    before = np.concatenate(([0], np.cumsum(most[rare])))
+    floors, first, last = met[:, 0] - SLACK, starts[:-1], starts[1:]
+    stop = np.minimum(np.searchsorted(before, before[last] - np.floor(floors / UNIT).astype("int64"), side="right"), last)
+    stop = np.maximum(stop, first)
+    asked, found = [np.empty(0, "int64")], [np.empty(0, "int64")]
+    for query in np.flatnonzero(before[stop] > before[first]):
+        at, end, floor = int(stop[query]), int(last[query]), floors[query]
+        own = [slice(bounds[w], bounds[w + 1]) for w in rare[first[query] : at]]
+        score = np.bincount(np.concatenate([rows[s] for s in own]), np.concatenate([part[s] for s in own]), n)
+        alive = np.flatnonzero(score > max(floor - (before[end] - before[at]) * UNIT, 0))
+        while len(alive) > 2 * k:
+            reached = score[alive]
+            # the best of these rows stay as good, so they raise the floor
+            floor = max(floor, np.partition(reached, len(reached) - k)[len(reached) - k] - SLACK)
+            alive = alive[reached > floor - (before[end] - before[at]) * UNIT]
+            if at == end:
+                break
+            start, close = bounds[rare[at]], bounds[rare[at] + 1]
+            own = rows[start:close]
+            if LOOK_UP * len(alive) < len(own):
+                place = np.searchsorted(own, alive)
+                place[place == len(own)] = 0
+                hit = own[place] == alive
+                score[alive[hit]] += part[start + place[hit]]
+            else:
+                score[own] += part[start:close]
+            at += 1
+        asked.append(np.full(len(alive), query))
+        found.append(alive)
+    return np.concatenate(asked), np.concatenate(found)
 
 
 def lexical_top_k(passages: DataFrame, queries: DataFrame, k: int) -> DataFrame:

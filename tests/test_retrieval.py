@@ -186,3 +186,49 @@ def test_a_task_returns_only_passages_among_its_best_so_far():
     assert len(retrieval._best(batch.slice(1, 1), weigh, starts, words, met, retrieval.K1, retrieval.B)[1]) == 0
     # a tie may still win by its id
     assert retrieval._best(batch.slice(0, 1), weigh, starts, words, met, retrieval.K1, retrieval.B)[2].tolist() == [3.0]
+
+
+def _zipf_texts(rng, n, longest):
+    return [" ".join(f"w{w}" for w in np.minimum(rng.zipf(1.3, rng.integers(1, longest)), 3000)) for _ in range(n)]
+
+
+def test_search_meets_few_passages_and_loses_none():
+    rng = np.random.default_rng(5)
+    found = [[int(w[1:]) for w in t.split()] for t in _zipf_texts(rng, 3000, 60)]
+    found += found[:500]  # ties
+    kind = pa.list_(pa.struct([("length", pa.int32()), ("words", pa.list_(pa.int32()))]))
+    batch = pa.RecordBatch.from_pydict({"passage_id": pa.array([f"p{i * 7 % 3500:04}" for i in range(3500)]), "texts": pa.array([[{"length": len(w), "words": w}] for w in found], kind)})
+    df = np.bincount([w for t in found for w in set(t)], minlength=3001)
+    weigh = np.where(df > 0, np.log(1 + (3500 - df + 0.5) / (df + 0.5)), 0), float(np.mean([len(t) for t in found]))
+    asked = [sorted({int(w[1:]) for w in t.split()}) for t in _zipf_texts(rng, 60, 40)]
+    starts, words = np.concatenate(([0], np.cumsum([len(t) for t in asked]))), np.array([w for t in asked for w in t], "int32")
+    place, part, bounds = retrieval._index(batch, weigh, retrieval.K1, retrieval.B)
+    full = np.zeros((60, 3500))
+    for query, terms in enumerate(asked):
+        for w in terms:
+            full[query, place[bounds[w] : bounds[w + 1]] % 3500] += part[bounds[w] : bounds[w + 1]]
+    ids = batch["passage_id"].to_pylist()
+    want = [sorted(((-round(s, 6), ids[i]) for i, s in enumerate(row) if round(s, 6) > 0))[:4] for row in full]
+
+    met, got = np.zeros((60, 4)), [[] for _ in asked]
+    for at in range(0, 3500, 1000):
+        block = batch.slice(at, 1000)
+        for query, row, score in zip(*retrieval._best(block, weigh, starts, words, met, retrieval.K1, retrieval.B)):
+            got[query].append((-score, block["passage_id"][row].as_py()))
+    assert [[(round(s, 6), i) for s, i in sorted(rows)[:4]] for rows in got] == want
+    met = np.repeat(np.array([-w[3][0] if len(w) > 3 else 0.0 for w in want])[:, None], 4, axis=1)
+    pairs = retrieval._candidates(place, part, bounds, 3500, starts, retrieval._by_rarity(weigh[0], starts, words), met)[0]
+    assert len(pairs) < (full > 0).sum() / 20
+
+
+def test_search_of_many_queries_equals_the_scores(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"p{i % 380}", t) for i, t in enumerate(_zipf_texts(rng, 400, 50))]  # some ids repeat
+    corpus, asked = passages(spark, rows), queries(spark, *_zipf_texts(rng, 80, 30))
+    want = {}
+    for r in sorted(retrieval.bm25_scores(corpus, asked).collect(), key=lambda r: (-r["score"], r["passage_id"])):
+        want.setdefault(r["query_id"], []).append((r["passage_id"], r["score"]))
+    got = {}
+    for r in retrieval.bm25_top_k(corpus, asked, 3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["passage_id"], r["score"]))
+    assert got == {q: v[:3] for q, v in want.items()}
