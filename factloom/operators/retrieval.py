@@ -121,10 +121,8 @@ BLOCK_PASSAGES = 32_768
 FLOOR_POSTINGS = 128
 #: Pairs of a query's term and a passage that are looked up at once.
 PAIRS_AT_ONCE = 1_000_000
-#: Postings of a term that are read in the time it takes to look one up.
-LOOK_UP = 4
-#: Bounds of scores are whole numbers of this size, rounded up, so that sums of them are exact.
-UNIT = 2.0**-20
+#: A word in more than one of so many rows of a batch is read from a table by row, of so many values at most.
+TABLE_SHARE, TABLE_VALUES = 48, 16_000_000
 #: Scores that round alike differ by less.
 SLACK = 2e-6
 
@@ -134,8 +132,8 @@ def bm25_top_k(passages: DataFrame, queries: DataFrame, k: int, *, k1: float = K
 
     While the terms of all queries fit a task, every block of passages is scored as one small inverted index, so no
     (query, passage) pairs are shuffled. The passages of a query's rarest terms are scored first: their k-th best score is a
-    floor. Then only those terms of a query are read in a block that can still lift a passage to the floor (the most a
-    term adds there is known), and only passages that stay above it meet the other terms. This loses no passage. A task returns a
+    floor. Queries whose terms cannot lift a passage of a block to their floor are left out there (the most a term adds is known), and
+    only passages that sums of upper bounds leave above it are scored exactly. This loses no passage. A task returns a
     passage only if it is among the best ``k`` it has met so far.
     """
     if k < 0:
@@ -199,7 +197,7 @@ def _vocabulary_words(passages: DataFrame, vocabulary: dict[str, int]) -> DataFr
         token = re.compile(V.TOKEN)
         for batch in batches:
             found = [token.findall(t) for t in batch["text"].to_pylist()]
-            words = [[vocabulary[t] for t in tokens if t in vocabulary] for tokens in found]
+            words = [[n for n in map(vocabulary.get, tokens) if n is not None] for tokens in found]
             columns = {"passage_id": batch["passage_id"], "length": pa.array([len(t) for t in found], "int32"), "words": pa.array(words, pa.list_(pa.int32()))}
             yield pa.RecordBatch.from_pydict(columns)
 
@@ -361,42 +359,60 @@ def _best(
     return query[kept], row[kept], score[kept]
 
 
+def _by_row(rows: np.ndarray, part: np.ndarray, bounds: np.ndarray, n: int, asked: np.ndarray, most: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """A line for each frequent word: what it adds to every row of a batch, rounded up to whole units. Returns the line of every word, or -1, the table and the unit.
+
+    ``query`` has the query of each of the terms ``asked``; in units, the lines of a query add up to 16 bits at most.
+    """
+    counts = np.diff(bounds)
+    frequent = np.argsort(-counts, kind="stable")[: TABLE_VALUES // max(n, 1)]
+    frequent = frequent[counts[frequent] * TABLE_SHARE > n]
+    line, table = np.full(len(counts), -1), np.zeros((len(frequent), n), "uint16")
+    line[frequent] = np.arange(len(frequent))
+    tabled = line[asked] >= 0
+    unit = float(np.bincount(query[tabled], most[asked[tabled]]).max(initial=0)) / (2**16 - 2 - len(frequent)) or 1.0
+    for values, word in zip(table, frequent):
+        own = slice(bounds[word], bounds[word + 1])
+        values[rows[own]] = np.ceil(part[own] / unit)
+    return line, table, unit
+
+
 def _candidates(place: np.ndarray, part: np.ndarray, bounds: np.ndarray, n: int, starts: np.ndarray, rare: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a query and a row that may be among the best of the query; no other row of the batch is.
 
-    A row whose rarest shared term is t scores at most what t and the more frequent terms of the query can add in this batch. So
-    rows are found by the terms for which this reaches the floor; the others, from the rarer on, only add to rows that can still reach it.
+    A query is left out if the most its terms add in this batch does not reach its floor. Otherwise its frequent terms are
+    added line by line from a table of small whole numbers, the others from their postings; rows whose sum, at least their score, stays
+    below the floor are dropped.
     """
-    k, rows = met.shape[1], place % n
-    most, present = np.zeros(len(bounds) - 1, "int64"), np.flatnonzero(np.diff(bounds))
-    most[present] = np.ceil(np.maximum.reduceat(part, bounds[present]) / UNIT)
-    before = np.concatenate(([0], np.cumsum(most[rare])))
-    floors, first, last = met[:, 0] - SLACK, starts[:-1], starts[1:]
-    stop = np.minimum(np.searchsorted(before, before[last] - np.floor(floors / UNIT).astype("int64"), side="right"), last)
-    stop = np.maximum(stop, first)
+    k, rows, queries = met.shape[1], place % n, len(starts) - 1
+    most, present = np.zeros(len(bounds) - 1), np.flatnonzero(np.diff(bounds))
+    most[present] = np.maximum.reduceat(part, bounds[present])
+    query = np.repeat(np.arange(queries), np.diff(starts))
+    floors, total = met[:, 0] - SLACK, np.bincount(query, most[rare], queries)
+    line, table, unit = _by_row(rows, part, bounds, n, rare, most, query)
+    begin, close, lines = bounds[rare], bounds[rare + 1], line[rare]
     asked, found = [np.empty(0, "int64")], [np.empty(0, "int64")]
-    for query in np.flatnonzero(before[stop] > before[first]):
-        at, end, floor = int(stop[query]), int(last[query]), floors[query]
-        own = [slice(bounds[w], bounds[w + 1]) for w in rare[first[query] : at]]
-        score = np.bincount(np.concatenate([rows[s] for s in own]), np.concatenate([part[s] for s in own]), n)
-        alive = np.flatnonzero(score > max(floor - (before[end] - before[at]) * UNIT, 0))
-        while len(alive) > 2 * k:
-            reached = score[alive]
+    for query in np.flatnonzero((total > floors) & (total > 0)):
+        terms, floor = slice(int(starts[query]), int(starts[query + 1])), max(float(floors[query]), 0.0)
+        tabled, own, score = [], [], np.zeros(n)
+        for x, y, i in zip(begin[terms].tolist(), close[terms].tolist(), lines[terms].tolist()):
+            if i >= 0:
+                tabled.append(i)
+            elif x < y:
+                own.append(slice(x, y))
+        if own:
+            score = np.bincount(np.concatenate([rows[s] for s in own]), np.concatenate([part[s] for s in own]), n)
+        if tabled:
+            units = table[tabled[0]].copy()
+            for i in tabled[1:]:
+                np.add(units, table[i], out=units)
+            score += units * unit
+        alive = np.flatnonzero(score > floor)
+        if len(alive) > 2 * k:
             # the best of these rows stay as good, so they raise the floor
-            floor = max(floor, np.partition(reached, len(reached) - k)[len(reached) - k] - SLACK)
-            alive = alive[reached > floor - (before[end] - before[at]) * UNIT]
-            if at == end:
-                break
-            start, close = bounds[rare[at]], bounds[rare[at] + 1]
-            own = rows[start:close]
-            if LOOK_UP * len(alive) < len(own):
-                place = np.searchsorted(own, alive)
-                place[place == len(own)] = 0
-                hit = own[place] == alive
-                score[alive[hit]] += part[start + place[hit]]
-            else:
-                score[own] += part[start:close]
-            at += 1
+            reached = score[alive]
+            best = np.partition(reached, len(reached) - k)[len(reached) - k]
+            alive = alive[reached > best - len(tabled) * unit - SLACK]
         asked.append(np.full(len(alive), query))
         found.append(alive)
     return np.concatenate(asked), np.concatenate(found)

@@ -221,6 +221,26 @@ def test_search_meets_few_passages_and_loses_none():
     assert len(pairs) < (full > 0).sum() / 20
 
 
+def test_rows_that_are_scored_reach_the_floor_also_for_queries_of_many_frequent_words(monkeypatch):
+    rng = np.random.default_rng(8)
+    found = [rng.choice(700, rng.integers(1, 400), replace=False).tolist() for _ in range(600)]
+    kind = pa.list_(pa.struct([("length", pa.int32()), ("words", pa.list_(pa.int32()))]))
+    batch = pa.RecordBatch.from_pydict({"passage_id": pa.array([f"p{i}" for i in range(600)]), "texts": pa.array([[{"length": len(w), "words": w}] for w in found], kind)})
+    df = np.bincount([w for t in found for w in t], minlength=700)
+    weigh = np.log(1 + (600 - df + 0.5) / (df + 0.5)), float(np.mean([len(t) for t in found]))
+    asked = [np.arange(700), *[np.sort(rng.choice(700, 30, replace=False)) for _ in range(20)]]
+    starts, words = np.concatenate(([0], np.cumsum([len(t) for t in asked]))), np.concatenate(asked).astype("int32")
+    place, part, bounds = retrieval._index(batch, weigh, retrieval.K1, retrieval.B)
+    full = np.array([np.bincount(place[np.isin(place // 600, t)] % 600, part[np.isin(place // 600, t)], 600) for t in asked])
+    met = np.sort(full, axis=1)[:, -4:]
+    for values in (retrieval.TABLE_VALUES, 100 * 600, 0):  # all, some and no words by row
+        monkeypatch.setattr(retrieval, "TABLE_VALUES", values)
+        query, row = retrieval._candidates(place, part, bounds, 600, starts, retrieval._by_rarity(weigh[0], starts, words), met)
+        assert {(q, r) for q, r in zip(*np.nonzero(full >= met[:, :1]))} <= set(zip(query, row))
+        # sums are rounded up to units of some 0.01 for each term
+        assert (full[query, row] > met[query, 0] - 0.02 * np.diff(starts)[query]).all()
+
+
 def test_search_of_many_queries_equals_the_scores(spark):
     rng = np.random.default_rng(6)
     rows = [(f"p{i % 380}", t) for i, t in enumerate(_zipf_texts(rng, 400, 50))]  # some ids repeat
