@@ -168,13 +168,13 @@ def named_entities(text: Column) -> Column:
 def bridge_entities(text: Column) -> Column:
     keep = _not_in(["", *V.BRIDGE_GENERIC_WORDS, *V.BRIDGE_STOP_WORDS])
     found = F.filter(_phrases(text, V.BRIDGE_STOP_WORDS), lambda p: keep(F.lower(p)))
-    return F.array_sort(F.array_distinct(found))
+    return F.sort_array(F.array_distinct(found))
 
 
 def claim_bridge_entities(entities: Column, text: Column) -> Column:
     """A claim's own entities unless none of them is usable for a bridge."""
     keep = _not_in([*V.BRIDGE_GENERIC_WORDS, *V.BRIDGE_STOP_WORDS])
-    own = F.array_sort(F.array_distinct(F.filter(entities, lambda e: keep(F.lower(e)))))
+    own = F.sort_array(F.array_distinct(F.filter(entities, lambda e: keep(F.lower(e)))))
     return let(own, lambda e: F.when(F.size(e) > 0, e).otherwise(bridge_entities(text)))
 
 

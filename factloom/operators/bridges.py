@@ -5,67 +5,100 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import schemas as S
 from factloom.functions import text as T
 from factloom.scale import top_per_key
-from factloom.session import cut_lineage, release
+from factloom.session import cut_lineage, release, shuffles_dropped
+
+
+#: Claims of a query that meet one by one; claims of larger queries meet on the names they share.
+CLAIMS_BY_QUERY = 256
 
 
 def bridge_candidates(claims: DataFrame, relations: DataFrame, queries: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """All pairs that qualify as a bridge, before the degree limit.
 
-    A claim that names a goal of its query meets the claims that share a name with it; a pair is kept where its first
-    shared name meets, and only then compared with the pairs already related by evidence. Pairs without a goal are never built.
+    A claim that names a goal of its query meets the others that share a name with it; pairs without a goal are never
+    built. Claims are shuffled once, by query, and the pairs already related by evidence come as a list of the query. Queries of
+    more than ``CLAIMS_BY_QUERY`` claims, if there are any, meet by name instead, in any number of tasks.
     """
     subgoals = queries.select("query_id", T.bridge_entities(F.col("text")).alias("goals"))
-    entities = T.claim_bridge_entities(
-        F.coalesce("entities", F.array().cast("array<string>")), F.col("text")
-    )
+    none = F.array().cast("array<string>")
+    entities = T.claim_bridge_entities(F.coalesce("entities", none), F.col("text"))
     text = T.strip(F.col("text"))
     told = F.when(F.length(text) <= 64, text).otherwise(F.sha2(text, 256))  # tells texts apart
-    rows = claims.select("query_id", "claim_id", told.alias("told"), entities.alias("names"))
-    asking = rows.join(subgoals, "query_id").filter(F.arrays_overlap("names", "goals"))
-    x = asking.select("query_id", F.explode("names").alias("name"), F.col("claim_id").alias("x_id"), F.col("told").alias("x_told"), F.col("names").alias("x_names"), "goals")
-    y = rows.select("query_id", F.explode("names").alias("name"), F.col("claim_id").alias("y_id"), F.col("told").alias("y_told"), F.col("names").alias("y_names"))
-    shared = F.array_sort(F.array_intersect("x_names", "y_names"))
-    both = F.arrays_overlap("y_names", "goals")
-    complementary = (F.size(F.array_except("x_names", "y_names")) > 0) & (F.size(F.array_except("y_names", "x_names")) > 0)
-    # two claims that both name a goal meet from either side: the smaller one brings the pair
-    once = (F.col("x_id") < F.col("y_id")) | ((F.col("x_id") > F.col("y_id")) & ~both)
-    met = x.join(y, ["query_id", "name"]).filter(
-        once & (F.col("x_told") != F.col("y_told")) & complementary & (F.col("name") == F.element_at(shared, 1))
-    )
-    pairs = met.select(
-        "query_id",
-        F.least("x_id", "y_id").alias("a_id"),
-        F.greatest("x_id", "y_id").alias("b_id"),
-        shared.alias("terms"),
-        F.array_intersect(shared, F.col("goals")).alias("asked"),
-        both.alias("both"),
+    # columns without nulls: Spark filters no side by them, so that both sides of a pair read one shuffle
+    rows = claims.filter(F.col("text").isNotNull()).select(
+        "query_id", "claim_id", F.coalesce(told, F.lit("")).alias("told"), F.coalesce(entities, none).alias("names")
     )
     blocked = relations.filter(F.col("relation_type").isin(*S.EVIDENTIAL)).select(
         "query_id",
         F.least("source_claim_id", "target_claim_id").alias("a_id"),
         F.greatest("source_claim_id", "target_claim_id").alias("b_id"),
     )
-    confidence = (
-        F.lit(0.6)
-        + F.when(F.size("asked") > 0, 0.2).otherwise(0.0)
-        + F.when(F.col("both"), 0.2).otherwise(0.0)
-    )
+    sizes = claims.filter(F.col("query_id").isNotNull()).groupBy("query_id").agg(F.count(F.lit(1)).alias("claims"))
+    large = sizes.filter(F.col("claims") > CLAIMS_BY_QUERY).select("query_id")
+    with shuffles_dropped(claims.sparkSession):
+        large = cut_lineage(large, "large")
+    if large.isEmpty():
+        return _met_by_query(rows, blocked, subgoals, min_confidence)
+    with shuffles_dropped(claims.sparkSession):
+        blocked = cut_lineage(blocked, "blocked")  # read on both ways
+    of = lambda df, how: df.join(F.broadcast(large), "query_id", how)  # noqa: E731  (a row for CLAIMS_BY_QUERY claims)
+    few = _met_by_query(of(rows, "left_anti"), of(blocked, "left_anti"), subgoals, min_confidence)
+    return few.unionByName(_met_by_name(of(rows, "left_semi"), blocked, subgoals, min_confidence))
+
+
+def _asking(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """Claims that name a goal, with the columns of ``asked``; only their names change, so that both sides are one shuffle."""
+    asking = rows.join(asked, "query_id").filter(F.arrays_overlap("names", "goals"))
+    return asking.withColumnsRenamed({"claim_id": "x_id", "told": "x_told", "names": "x_names"})
+
+
+def _shared() -> Column:
+    return F.sort_array(F.array_intersect("x_names", "names"))
+
+
+def _ends() -> list[Column]:
+    return [F.least("x_id", "claim_id").alias("a_id"), F.greatest("x_id", "claim_id").alias("b_id")]
+
+
+def _pairs(met: DataFrame, meets: Column, free: Column, min_confidence: float) -> DataFrame:
+    """Pairs of claims that met, in order of their ids, if they differ in texts and both bring a name of their own."""
+    both = F.arrays_overlap("names", "goals")
+    complementary = (F.size(F.array_except("x_names", "names")) > 0) & (F.size(F.array_except("names", "x_names")) > 0)
+    # two claims that both name a goal meet from either side: the smaller one brings the pair
+    once = (F.col("x_id") < F.col("claim_id")) | ((F.col("x_id") > F.col("claim_id")) & ~both)
+    asked = F.array_intersect(_shared(), F.col("goals"))
+    confidence = F.lit(0.6) + F.when(F.size(asked) > 0, 0.2).otherwise(0.0) + F.when(both, 0.2).otherwise(0.0)
     confidence = F.round(F.least(confidence, F.lit(1.0)), 4)
-    rated = pairs.select(
+    differ = F.col("x_told") != F.col("told")
+    # one filter, the cheap tests first
+    return met.filter(meets & once & differ & complementary & free & (confidence >= min_confidence)).select(
         "query_id",
-        "a_id",
-        "b_id",
-        F.coalesce(F.array_min("asked"), F.element_at("terms", 1)).alias("bridge_entity"),
-        F.col("terms").alias("bridge_terms"),
+        *_ends(),
+        F.coalesce(F.array_min(asked), F.element_at(_shared(), 1)).alias("bridge_entity"),
+        _shared().alias("bridge_terms"),
         confidence.alias("confidence"),
     )
-    return rated.filter(F.col("confidence") >= min_confidence).join(blocked, ["query_id", "a_id", "b_id"], "left_anti")
+
+
+def _met_by_query(rows: DataFrame, blocked: DataFrame, subgoals: DataFrame, min_confidence: float) -> DataFrame:
+    """Pairs of queries with few claims: every shuffle is by query, and none is of pairs."""
+    known = blocked.groupBy("query_id").agg(F.collect_set(F.struct("a_id", "b_id")).alias("known"))
+    asking = _asking(rows, subgoals.join(known, "query_id", "left"))
+    free = F.col("known").isNull() | ~F.array_contains("known", F.struct(*_ends()))
+    return _pairs(asking.join(rows, "query_id"), F.arrays_overlap("x_names", "names"), free, min_confidence)
+
+
+def _met_by_name(rows: DataFrame, blocked: DataFrame, subgoals: DataFrame, min_confidence: float) -> DataFrame:
+    """Pairs of queries with any number of claims: a pair is kept where its first shared name meets."""
+    asking = _asking(rows, subgoals).withColumn("name", F.explode("x_names"))
+    pairs = _pairs(asking.join(rows.withColumn("name", F.explode("names")), ["query_id", "name"]), F.col("name") == F.element_at(_shared(), 1), F.lit(True), min_confidence)
+    return pairs.join(blocked, ["query_id", "a_id", "b_id"], "left_anti")
 
 
 #: Pairs of a query that one task decides in order; larger queries are decided in rounds.

@@ -15,7 +15,7 @@ from factloom.operators import graph as G
 from factloom.operators import bridges, packaging, reasoning, temporal
 from factloom.plans import oracle as O
 from factloom.plans.registry import joined, longs, query, table
-from factloom.session import cut_lineage
+from factloom.session import cut_lineage, shuffles_dropped
 
 KEY = ["query_id", "claim_id"]
 
@@ -243,16 +243,19 @@ _RATED = "round(0.6 + CASE WHEN len(asked) > 0 THEN 0.2 ELSE 0 END + CASE WHEN a
 
 def line_bridges(spark: SparkSession, folder: str) -> DataFrame:
     """Bridge candidates among a customer's order lines; a line supports the next one of its order."""
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
-    lines = lines.join(table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = lines.join(table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").distinct()
+    # the lines that follow in the order stand in the row of a line, as numbers; texts are made where they are read
+    after = W.partitionBy("o_custkey", "l_orderkey").orderBy("l_linenumber").rangeBetween(1, 1)
+    after = F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")).over(after)
+    with shuffles_dropped(spark):
+        lines = cut_lineage(lines.withColumn("after", F.when(F.col("l_linenumber").isNotNull(), after)), "lines")
     name = lambda kind, c, n=None: F.concat(F.lit(kind), (F.col(c) % n if n else F.col(c)).cast("string"))
     entities = [name("Supplier", "l_suppkey", 10), name("Part", "l_partkey", 50), name("Line", "l_linenumber")]
-    claim = F.concat_ws("-", F.concat(F.lit("l"), F.col("l_orderkey").cast("string")), *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey")])
-    rows = lines.select(F.col("o_custkey").cast("string").alias("query_id"), claim.alias("claim_id"), F.array(*entities).alias("entities"), F.concat_ws(" in ", *entities).alias("text"), "l_orderkey", "l_linenumber")
-    rows = cut_lineage(rows.distinct(), "lines")
-    after = rows.select("query_id", "l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("claim_id").alias("target_claim_id"))
-    support = rows.withColumnRenamed("claim_id", "source_claim_id").join(after, ["query_id", "l_orderkey", "l_linenumber"])
-    support = support.select("query_id", "source_claim_id", "target_claim_id", F.lit(S.SUPPORT).alias("relation_type"))
+    claim = lambda of="": F.concat_ws("-", F.concat(F.lit("l"), F.col("l_orderkey").cast("string")), *[F.col(f"{of}{c}").cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey")])
+    customer = F.col("o_custkey").cast("string").alias("query_id")
+    rows = lines.select(customer, claim().alias("claim_id"), F.array(*entities).alias("entities"), F.concat_ws(" in ", *entities).alias("text"))
+    support = lines.withColumn("next", F.explode("after")).select(customer, claim().alias("source_claim_id"), claim("next.").alias("target_claim_id"), F.lit(S.SUPPORT).alias("relation_type"))
     asked = F.concat_ws(" with ", name("compare Supplier", "o_custkey", 10), name("Part", "o_custkey", 50))
     queries = table(spark, folder, "orders").select(F.col("o_custkey").cast("string").alias("query_id"), asked.alias("text")).distinct()
     return bridges.bridge_candidates(rows, support, queries)

@@ -245,6 +245,35 @@ def test_bridges_equal_the_rule_and_meet_in_one_join(spark):
     assert {(r.query_id, r.a_id, r.b_id, r.bridge_entity, tuple(r.bridge_terms), r.confidence) for r in found.collect()} == want and len(want) > 10
 
 
+@pytest.mark.parametrize("by_query", [256, 9, 0])
+def test_bridges_of_large_queries_meet_by_name(spark, monkeypatch, by_query):
+    monkeypatch.setattr(bridges, "CLAIMS_BY_QUERY", by_query)
+    rng = random.Random(11)
+    names = ["Ada", "Bob", "Cid", "Dan", "Eve"]
+    rows = [(q, f"c{k:02}", rng.choice(["same", " same ", None, f"text {k}"]), "s", None, None, None, rng.sample(names, rng.randrange(1, 4))) for q, n in (("q", 20), ("r", 9), ("s", 5)) for k in range(n)]
+    rows += rows[3:6]  # a claim that comes twice brings its pairs twice
+    asked = spark.createDataFrame([("q", "Who met Ada?"), ("r", "about Dan or Eve"), ("s", "Bob")], S.QUERIES)
+    ends = {(f"c{k:02}", f"c{k + d:02}") for k in range(15) for d in (1, 3)}
+    blocked = relations(spark, *[(b, a, S.CONTRADICTION, 0.7) for a, b in sorted(ends)])
+    gone = {(r.query_id, *sorted((r.source_claim_id, r.target_claim_id))) for r in blocked.collect()}
+    goals = {"q": {"Ada"}, "r": {"Dan", "Eve"}, "s": {"Bob"}}
+    want = Counter()
+    for q, a, at, *_, an in rows:
+        for r, b, bt, *_, bn in rows:
+            if q == r and a < b and {*an} & {*bn} and at and bt and at.strip() != bt.strip() and {*an} - {*bn} and {*bn} - {*an} and ({*an} | {*bn}) & goals[q]:
+                want[q, a, b] += (q, a, b) not in gone
+    found = bridges.bridge_candidates(claims(spark, *rows), blocked, asked)
+    assert Counter((r.query_id, r.a_id, r.b_id) for r in found.collect()) == +want and gone & {*want} and max(want.values()) > 1
+
+
+def test_bridges_shuffle_no_pairs(spark):
+    rows = [("q", f"c{k}", f"Ada met Person{k}", "s", None, None, None, ["Ada", f"Person{k}"]) for k in range(6)]
+    found = bridges.bridge_candidates(claims(spark, *rows), relations(spark, ("c0", "c1", S.SUPPORT, 0.7)), spark.createDataFrame([("q", "Ada")], S.QUERIES))
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert len(joins) == 3 and not any("a_id" in line.split(", ((")[0] for line in joins)
+    assert found.count() == 14
+
+
 def test_linear_supersession_answers_equal_the_pairs(spark):
     rng = random.Random(8)
     times = [None, *[datetime(2024, 1, d) for d in range(1, 9)]]
