@@ -111,7 +111,11 @@ def limit_degree(candidates: DataFrame, max_degree: int = 4) -> DataFrame:
     Queries of at most ``PAIRS_IN_ORDER`` pairs are dealt over the tasks, which read their sorted pairs one by one and
     hold the degrees of one query. Queries with more pairs are decided in rounds over all tasks.
     """
-    candidates = cut_lineage(candidates, "bridges")
+    with shuffles_dropped(candidates.sparkSession):
+        return _limit_degree(cut_lineage(candidates, "bridges"), max_degree)
+
+
+def _limit_degree(candidates: DataFrame, max_degree: int) -> DataFrame:
     large = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("pairs")).filter(F.col("pairs") > PAIRS_IN_ORDER).select("query_id")
     large = cut_lineage(large, "large")
     few = candidates.join(F.broadcast(large), "query_id", "left_anti")  # a row for PAIRS_IN_ORDER pairs
@@ -132,9 +136,11 @@ def limit_degree(candidates: DataFrame, max_degree: int = 4) -> DataFrame:
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     in_order = few.repartition("query_id").sortWithinPartitions("query_id", "a_id", "b_id").mapInArrow(accept, candidates.schema)
-    if large.isEmpty():
-        return cut_lineage(in_order, "limited")
-    return cut_lineage(in_order.union(_limit_in_rounds(candidates.join(F.broadcast(large), "query_id", "left_semi"), max_degree)), "limited")
+    if not large.isEmpty():
+        in_order = in_order.union(_limit_in_rounds(candidates.join(F.broadcast(large), "query_id", "left_semi"), max_degree))
+    limited = cut_lineage(in_order, "limited")
+    release(candidates)
+    return limited
 
 
 def _limit_in_rounds(candidates: DataFrame, max_degree: int) -> DataFrame:
@@ -168,7 +174,8 @@ def _limit_in_rounds(candidates: DataFrame, max_degree: int) -> DataFrame:
     return candidates.join(accepted, pair, "left_semi")
 
 
-def bridge_relations(bridges: DataFrame) -> DataFrame:
+def bridge_relations(bridges: DataFrame, *more: str) -> DataFrame:
+    """Relations of bridges, with the columns ``more`` of the bridges beside them."""
     return bridges.select(
         "query_id",
         F.concat(F.lit("bridge-"), "a_id", F.lit("-"), "b_id").alias("relation_id"),
@@ -178,4 +185,5 @@ def bridge_relations(bridges: DataFrame) -> DataFrame:
         F.col("confidence").alias("relation_confidence"),
         F.lit("symmetric").alias("direction"),
         F.concat(F.lit("complementary claims linked by "), "bridge_entity").alias("rationale"),
+        *more,
     )

@@ -283,5 +283,8 @@ def line_bridge_candidates(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def line_bridges_by_degree(spark: SparkSession, folder: str) -> DataFrame:
-    found = bridges.limit_degree(line_bridges(spark, folder))
-    return bridges.bridge_relations(found).join(found.select("query_id", F.concat_ws("-", F.lit("bridge"), "a_id", "b_id").alias("relation_id"), "bridge_entity"), ["query_id", "relation_id"]).select("query_id", "relation_id", "bridge_entity")
+    found = bridges.limit_degree(line_bridges(spark, folder).drop("bridge_terms"))
+    found = bridges.bridge_relations(found, "bridge_entity").select("query_id", "relation_id", "bridge_entity")
+    # a pair that stands n times, as claims may share an id, is a relation that stands n times and names its entity at each
+    found = found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("query_id", "relation_id")))
+    return found.select("query_id", "relation_id", "bridge_entity", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("n")).drop("n")

@@ -1,5 +1,7 @@
 import math
+import os
 import random
+import time
 from collections import Counter
 from datetime import datetime
 
@@ -274,6 +276,25 @@ def test_bridges_shuffle_no_pairs(spark):
     assert found.count() == 14
 
 
+def _shuffle_files(spark) -> int:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(k).getName().startswith("shuffle_") for k in range(files.size()))
+
+
+def test_degree_limit_leaves_only_its_result(spark, monkeypatch):
+    cuts, cut = [], bridges.cut_lineage
+    monkeypatch.setattr(bridges, "cut_lineage", lambda df, name: cuts.append(cut(df, name)) or cuts[-1])
+    pairs = spark.createDataFrame([(f"q{k % 7}", f"a{k:02}", f"b{k:02}", 0.5) for k in range(60)], "query_id string, a_id string, b_id string, confidence double")
+    before, was = _shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    found = bridges.limit_degree(pairs.repartition(5, "b_id"))
+    for _ in range(100):  # the files are deleted without waiting for them
+        if _shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert _shuffle_files(spark) <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
+    assert found.count() == 60 and [os.path.exists(c.cut_path.removeprefix("file:")) for c in cuts] == [False, True, True]
+
+
 def test_linear_supersession_answers_equal_the_pairs(spark):
     rng = random.Random(8)
     times = [None, *[datetime(2024, 1, d) for d in range(1, 9)]]
